@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapsmith.llm import decontaminate, line_dedup
+from mapsmith.llm import bitpack, decontaminate, line_dedup, packing
 from mapsmith.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = bitpack.write_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
+    return bitpack.read_files(files).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_items = F.size("_items")
@@ -49,8 +65,10 @@ SELECT doc_id, count(*) n_lines, count(*) FILTER (WHERE gone) n_dropped, sha256(
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bitpack": op2_bitpack,
     "op5_decontaminate": op5_decontaminate,
     "op8_line_dedup": op8_line_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {
