@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapsmith.llm import bitpack, decontaminate, line_dedup, packing
+from mapsmith.llm import ann, bitpack, decontaminate, line_dedup, packing, secrets
 from mapsmith.llm.common import table
 
 
@@ -51,6 +51,10 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -64,11 +68,19 @@ m AS (SELECT k.doc_id, pos, line, coalesce(k.doc_id > f.first_doc, false) gone F
 SELECT doc_id, count(*) n_lines, count(*) FILTER (WHERE gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) kept_sha256 FROM m GROUP BY doc_id
 """
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bitpack": op2_bitpack,
     "op5_decontaminate": op5_decontaminate,
+    "op7_ann": op7_ann,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
