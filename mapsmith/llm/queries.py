@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapsmith.llm import ann, bitpack, decontaminate, line_dedup, packing, secrets
+from mapsmith.llm import ann, bitpack, decontaminate, htmltext, line_dedup, packing, secrets
 from mapsmith.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bitpack.write_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1)
     return bitpack.read_files(files).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -75,6 +79,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_bitpack": op2_bitpack,
     "op5_decontaminate": op5_decontaminate,
     "op7_ann": op7_ann,

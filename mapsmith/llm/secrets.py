@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 SAMPLE = 2_000
 #: A word of so many characters is held against the models; it is a secret from so many nats a character.
-LEAST_CHARS, LEAST_RATIO = 20, 0.3
+LEAST_CHARS, LEAST_RATIO = 20, 0.5
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
@@ -45,18 +45,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Markov:
-    """First-order character model with add-one smoothing, over SIGNS."""
+    """First-order character model over SIGNS; pairs that were seldom seen fall back to how common the second
+    character is."""
 
     index = {c: i for i, c in enumerate(SIGNS)}
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], fallback: float = 5.0):
         n = len(SIGNS)
-        first, pairs = np.ones(n), np.ones((n, n))
+        one, pairs = np.full(n, 0.2), np.zeros((n, n))
         for w in words:
             at = [self.index[c] for c in w]
-            first[at[0]] += 1
+            np.add.at(one, at, 1)
             np.add.at(pairs, (at[:-1], at[1:]), 1)
-        self.first, self.pairs = np.log(first / first.sum()), np.log(pairs / pairs.sum(1, keepdims=True))
+        one /= one.sum()
+        self.first, self.pairs = np.log(one), np.log((pairs + fallback * one) / (pairs.sum(1, keepdims=True) + fallback))
 
 
 class Ratio:
