@@ -10,7 +10,7 @@ CASES = {
     f'<body><div id="page"><header><h1>Site</h1></header><div class="sidebar"><ul><li><a href=x>one</a><li><a>two</a></ul></div><div class="content"><h2>Title</h2><p>{LONG}<p>Second <a href=q>link</a> para &amp; more.</p><ul><li>item one<li>item two</ul></div><div class="comments"><p>{"I like it. " * 30}</div><form><input><label>Mail</label></form></div><footer>c</footer>': f"Title\n{LONG.strip()}\nSecond link para & more.\nitem one\nitem two",
     f"<html><script>var t='</p>';</script><style>p{{}}</style><nav><a>x</a></nav><article><h1>H&eacute;</h1><p><b>{LONG}<br><p>more\n\t text</article><footer>&copy;": f"Hé\n{LONG.strip()}\nmore text",
     "<article><p>cut off &am": "cut off &am",
-    "<p>a<!-- c --> b</p><": "a b <",
+    "<p>a<!-- c --> b</p><": "a b\n<",
 }
 
 
