@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapsmith.llm import ann, bitpack, decontaminate, htmltext, line_dedup, packing, secrets
+from mapsmith.llm import ann, bitpack, decontaminate, htmltext, line_dedup, packing, secrets, toxicity
 from mapsmith.llm.common import table
 
 
@@ -55,6 +55,13 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = toxicity.scorer(toxicity.train(docs, table(spark, sf_dir, "labels")))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_bitpack": op2_bitpack,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op7_ann": op7_ann,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
