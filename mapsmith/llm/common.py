@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapsmith.plans.cutting import cut as cut
+from mapsmith.plans.cutting import shared_dir as shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: U+0020 and U+0009 to U+000D: what separates words and is stripped from lines.
 SPACE = " \t\n\x0b\f\r"
@@ -20,23 +20,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else unchanged (lower() would also change other letters)."""
     return F.translate(text, UPPER, LOWER)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; in a session without one (tests), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mapsmith-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no recomputation of what stands before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

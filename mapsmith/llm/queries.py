@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapsmith.llm import ann, bitpack, decontaminate, htmltext, line_dedup, packing, secrets, toxicity
+from mapsmith.llm import ann, bitpack, decontaminate, htmltext, jaccard, line_dedup, packing, secrets, toxicity
 from mapsmith.llm.common import table
 
 
@@ -31,6 +31,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + k - 1), ' ') || '#' || k g FROM (SELECT doc_id, w, least(len(w), 5) k, unnest(range(1, len(w) - least(len(w), 5) + 2)) i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY x, y),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id x, doc_id y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(c.m, d.doc_id) component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x doc_id, min(y) m FROM r GROUP BY x) c USING (doc_id)
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_items = F.size("_items")
@@ -88,6 +105,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_bitpack": op2_bitpack,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_ann": op7_ann,
@@ -97,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
 }

@@ -14,6 +14,8 @@ import numpy as np
 
 #: Words kept by a worker; beyond, its cache starts anew (about 150 bytes a word).
 CACHE_WORDS = 1_500_000
+#: Characters that are encoded together.
+AT_ONCE = 6_000_000
 
 
 class Encoder:
@@ -34,37 +36,58 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, cache: dict[str, bytes | None], words: set[str], before: str) -> None:
-        todo = [w for w in words if w not in cache]
-        if len(cache) + len(todo) > CACHE_WORDS:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Of any number of texts, AT_ONCE characters at a time."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                out += self.batch(held)
+                held, size = [], 0
+        return out + self.batch(held) if held else out
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Arrow finds the distinct words, each is looked up once, and numpy puts the ids of all words in place."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        heads = [words[i] for i in which[at[:-1]]]
+        which[at[:-1]] = np.arange(len(heads)) + len(words)  # a first word has no space before it
+        parts = [*self.look_up(self.inner, words, " "), *self.look_up(self.first, heads, "")]
+        odd = np.fromiter((p is None for p in parts), bool, len(parts))
+        if odd.any():
+            parts = [p or b"" for p in parts]
+        n = np.fromiter(map(len, parts), np.int64, len(parts)) // self.type.itemsize
+        table, start = np.frombuffer(b"".join(parts), self.type), np.cumsum(n) - n
+        each = n[which]
+        ends = np.cumsum(each)
+        ids = table[np.repeat(start[which] - (ends - each), each) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[at]
+        bad = np.add.reduceat(odd[which], at[:-1]) > 0
+        return [(self.whole([t])[0] if w else ids[a:b].tobytes()) + self.end for t, a, b, w in zip(texts, cuts, cuts[1:], bad.tolist(), strict=False)]
+
+    def look_up(self, cache: dict[str, bytes | None], words: list[str], before: str) -> list[bytes | None]:
+        """Ids of each word; None for one with white space at its ends."""
+        parts = list(map(cache.get, words))
+        new = [w for w, p in zip(words, parts, strict=True) if p is None and w not in cache]
+        if not new:
+            return parts
+        if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            todo = list(words)
-        good = [w for w in todo if w and w == w.strip()]
-        cache.update(dict.fromkeys(todo))
+        good = [w for w in dict.fromkeys(new) if not w or w == w.strip()]
+        found = dict.fromkeys(new)
         for i in range(0, len(good), 4096):
-            cache.update(zip(good[i : i + 4096], self.whole([before + w for w in good[i : i + 4096]]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 128):
-            split = [(t or "").split(" ") for t in texts[at : at + 128]]
-            self.learn(self.first, {w[0] for w in split}, "")
-            get = self.inner.get
-            got = [list(map(get, words)) for words in split]
-            new = {w for words, parts in zip(split, got, strict=True) if None in parts for w, p in zip(words[1:], parts[1:], strict=True) if p is None}
-            many = len(new) > CACHE_WORDS // 2  # texts of very many words: encoded whole
-            if not many:
-                self.learn(self.inner, new, " ")
-            for words, parts in zip(split, got, strict=True):
-                if words == [""]:
-                    out.append(self.end)
-                    continue
-                if not many and None in parts:
-                    parts = list(map(get, words))
-                parts[0] = self.first[words[0]]
-                # None: a word with white space at its ends, or one that the cache has let go
-                out.append((self.whole([" ".join(words)])[0] if None in parts else b"".join(parts)) + self.end)
-        return out
+            found.update(zip(good[i : i + 4096], self.whole([before + w if w else "" for w in good[i : i + 4096]]), strict=True))
+        if before:
+            found.pop("", None)  # two spaces in a row: not a word
+            found |= {"": None} if "" in new else {}
+        cache.update(found)
+        return [found[w] if p is None and w in found else p for w, p in zip(words, parts, strict=True)]
 
 
 _encoders: dict[tuple[str, int | None], Encoder] = {}
