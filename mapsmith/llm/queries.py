@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapsmith.llm import ann, bitpack, decontaminate, htmltext, jaccard, line_dedup, packing, secrets, toxicity
+from mapsmith.llm import ann, bitpack, decontaminate, htmltext, jaccard, line_dedup, packing, secrets, substring_dedup, toxicity
 from mapsmith.llm.common import table
 
 
@@ -31,6 +31,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) m FROM g GROUP BY g),
+h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) p FROM g JOIN f USING (g) WHERE doc_id > m),
+x AS (SELECT doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p FROM d),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE h.p IS NULL) kept, count(*) n, count(h.p) r FROM x LEFT JOIN h ON x.doc_id = h.doc_id AND x.p = h.p GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n, 0) n_words, coalesce(r, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -105,6 +121,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_bitpack": op2_bitpack,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
@@ -115,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
     "op4_jaccard_join": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
