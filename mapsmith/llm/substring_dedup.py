@@ -4,8 +4,8 @@ Suffixes are taken at anchors: of any ``length`` consecutive words, one shingle
 hash, so two equal windows hold an equal anchor at the same place. An anchor that only one document has cannot start
 a repeat, and its suffix is dropped before anything long is moved.
 
-The suffixes left are split by a prefix of variable length: the anchor itself where few suffixes share it, more
-words where many do; prefixes are gathered into groups of a size that fits in memory. In a group the suffixes are
+The suffixes left are split by a prefix of variable length: the anchor itself where few suffixes share it; where
+many do, more words, once from the anchor on and once from some words before it, as a window may lie; prefixes are gathered into groups of a size that fits in memory. In a group the suffixes are
 sorted, which with the lengths of their common prefixes is their suffix tree; the words before each anchor make a
 second tree, read backwards. A node of the first at depth ``length`` - o and one of the second at depth o enclose
 the documents that hold one window whose anchor lies o words in: the least id among them keeps it, the others lose
@@ -91,7 +91,8 @@ def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
 
 def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
     """From (_id, _th, _z, _at: [(pos, n)]) to rows of two kinds: suffixes to compare (grp, _id, _th, pos, left:
-    words before the anchor, words) and, with a mask and no words, those known to repeat a lesser id's."""
+    words before the anchor, words, mask: of the windows to judge there) and, without words, those known to repeat a
+    lesser id's (mask: these windows)."""
     before = length - ANCHOR
 
     def run(batches: Iterator) -> Iterator:
@@ -99,6 +100,8 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
+        half = before // 2
+        every, near = (1 << before + 1) - 1, (1 << half + 1) - 1
         names = ["grp", "_id", "_th", "pos", "left", "words", "mask"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
         least: dict[tuple[int, bytes], tuple] = {}
@@ -110,9 +113,15 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
         def sent() -> Iterator:
             out = []
             for doc, crc, pos, left, n, _, context in (*least.values(), *also):
-                ahead = context.split(b" ")[left:]
-                out.append((group_of(b" ".join(ahead[: ANCHOR if n <= GROUP else length]), groups), doc, crc, pos, left, context, None))
-                if len(out) == 20_000:
+                words = context.split(b" ")
+                if n <= GROUP:
+                    out.append((group_of(b" ".join(words[left : left + ANCHOR]), groups), doc, crc, pos, left, context, every))
+                else:
+                    # a window that starts up to half words before the anchor holds length - half from it on
+                    out.append((group_of(b" ".join(words[left : left + length - half]), groups), doc, crc, pos, left, context, near))
+                    if left > half:  # and one that starts earlier holds half + 1 words before it
+                        out.append((group_of(b" ".join(words[left - half - 1 : left + ANCHOR]), groups), doc, crc, pos, left, context, every - near))
+                if len(out) >= 20_000:
                     yield rows(out)
                     out = []
             if out:
@@ -213,11 +222,12 @@ def repeated_windows(rows: DataFrame, texts: DataFrame, length: int) -> DataFram
         t = table.combine_chunks()
         ids = t.column("_id").to_numpy()
         mask = repeats_in(ids, t.column("left").to_numpy().astype(np.int64), t.column("words").to_pylist(), length)
+        mask &= t.column("mask").to_numpy()
         some = pa.array(mask > 0)
         return pa.table({"_id": t.column("_id"), "_th": t.column("_th"), "pos": t.column("pos"), "mask": pa.array(mask.astype(np.int32))}).filter(some)
 
     schema = "_id long, _th int, pos int, mask int"
-    new = tails.where("words IS NOT NULL").select("grp", "_id", "_th", "pos", "left", "words").groupBy("grp").applyInArrow(judge, schema)
+    new = tails.where("words IS NOT NULL").select("grp", "_id", "_th", "pos", "left", "words", "mask").groupBy("grp").applyInArrow(judge, schema)
     hits = new.unionByName(tails.where("words IS NULL").select("_id", "_th", "pos", "mask"))
     return hits.groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "mask")).alias("_hits"))
 
