@@ -81,38 +81,36 @@ def fit(texts: list[str], labels: list[int], *, n_features: int = FEATURES, swap
         return Model()
     if y.min() == y.max():
         return Model(bias=float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
-    counts: dict[str, list[int]] = {}
-    sets = []
+    counts: dict[str, int] = {}  # without the label, and 2**32 times with it
     for text, label in zip(texts, labels, strict=True):
-        sets.append(features_of(text))
-        for f in sets[-1]:
-            counts.setdefault(f, [0, 0])[label] += 1
+        for f in features_of(text):
+            counts[f] = counts.get(f, 0) + (1 << 32 if label else 1)
     n1, n0 = y.sum(), len(y) - y.sum()
+    counts = {f: c for f, c in counts.items() if (c >> 32) + (c & 0xFFFFFFFF) >= 4}
 
     def gain(f: str) -> float:
         """Signed root of the log-likelihood ratio statistic."""
-        a, b = counts[f][1], counts[f][0]
+        a, b = counts[f] >> 32, counts[f] & 0xFFFFFFFF
         p, q, r = (a + 0.1) / (n1 + 0.2), (b + 0.1) / (n0 + 0.2), (a + b) / (n1 + n0)
         return float(2 * (a * np.log(p / r) + b * np.log(q / r)))
 
-    frequent = [f for f, (b, a) in counts.items() if a + b >= 4]
-    chosen = sorted(frequent, key=lambda f: (-gain(f), f))[:n_features]
+    chosen = sorted(counts, key=lambda f: (-gain(f), f))[:n_features]
     named = {f for names in IDENTITY for name in names for f in features_of(name)}
     chosen += sorted(named & counts.keys() - set(chosen))
     column = {f: i for i, f in enumerate(chosen)}
 
-    def rows(found: list[set[str]]) -> np.ndarray:
+    def rows(found: list[str]) -> np.ndarray:
         x = np.zeros((len(found), len(chosen)), np.float32)
-        for i, fs in enumerate(found):
-            x[i, [column[f] for f in fs if f in column]] = 1
+        for i, text in enumerate(found):
+            x[i, [column[f] for f in features_of(text) if f in column]] = 1
         return x
 
-    x = rows(sets)
+    x = rows(texts)
     rng, pairs = np.random.default_rng(17), []
     for i, text in enumerate(texts):
         if other := swapped(text, rng):
-            pairs.append((i, features_of(other)))
-    gap = x[[i for i, _ in pairs]] - rows([fs for _, fs in pairs]) if pairs else None
+            pairs.append((i, other))
+    gap = x[[i for i, _ in pairs]] - rows([other for _, other in pairs]) if pairs else None
     of = np.array([i for i, _ in pairs], np.int64)
     w, b = np.zeros(len(chosen), np.float32), float(np.log(n1 / n0))
     m, v, lead = np.zeros(len(w) + 1), np.zeros(len(w) + 1), np.where(y == 1, n0 / n1, 1.0).clip(max=8.0)
@@ -137,7 +135,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     marked = marked.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
-    picked = marked.join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id").where("_t IS NOT NULL").orderBy(F.xxhash64("_id"), "_id", "_t", "_y").limit(sample)
+    some = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample))  # ``sample`` rows of two numbers
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(some, "_id").where("_t IS NOT NULL").orderBy(F.xxhash64("_id"), "_id", "_t", "_y").limit(sample)
     got = picked.select("_t", "_y").toArrow()
     return fit(got.column(0).to_pylist(), got.column(1).to_pylist())
 
