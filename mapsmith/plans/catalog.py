@@ -1,14 +1,430 @@
-"""Named queries over the driver's tables, each with the SQL that says the same where SQL can."""
+"""Named queries over the driver's tables, each with the SQL that says the same where SQL can.
+
+A query's name starts with the inventory's id of what it applies. Results are scalars (ids, counts, rounded
+measures), as two engines may order the vertices of one geometry differently.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mapsmith.algorithms import ALGORITHMS, areas, lines
+from mapsmith.functions import coordinates as co
+from mapsmith.functions import geometry as g
+from mapsmith.operators import features as fe
+from mapsmith.operators import network as nw
+from mapsmith.operators import points as pt
+from mapsmith.operators import spatial as sp
+from mapsmith.operators.model import Features
+from mapsmith.plans.views import duck, features, view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+AREA = "(x1 - x0) * (y1 - y0)"
+OVERLAP = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+MEET = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
+NEAR = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
+
+
+def rounded(c, n: int = 6):
+    return F.round(c.cast("double"), n)
+
+
+def reach(edges: str, nodes: str) -> str:
+    """Recursive CTEs r (x, y): y is reachable from x; ``edges``: name of (a, b)."""
+    return f"both_ AS MATERIALIZED (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), r AS (SELECT k x, k y FROM {nodes} UNION SELECT r.x, e.b FROM r JOIN both_ e ON r.y = e.a)"
+
+
+# points -----------------------------------------------------------------------------------------------------------
+
+EPS = 3
+POINTS_SQL = f"""WITH RECURSIVE {duck("pts")}, p AS MATERIALIZED (SELECT * FROM pts),
+near AS MATERIALIZED (SELECT a.k a, b.k b FROM p a JOIN p b ON a.k < b.k AND {NEAR} <= {EPS * EPS}),
+n AS (SELECT a k FROM near UNION SELECT b FROM near), {reach("near", "n")},
+c AS (SELECT x k, min(y) comp FROM r GROUP BY x)"""
+
+
+@query("A8_generalize_points", POINTS_SQL + """,
+m AS (SELECT comp, avg(x) x, avg(y) y FROM (SELECT DISTINCT comp, x, y FROM c JOIN p USING (k)) GROUP BY comp),
+i AS (SELECT comp, sha256('pointcluster' || string_agg(fid, '' ORDER BY fid)) fid, arg_min(cls, k) cls FROM c JOIN p USING (k) GROUP BY comp)
+SELECT fid, cls, round(m.x, 6) x, round(m.y, 6) y, true is_cluster FROM i JOIN m USING (comp)
+UNION ALL SELECT fid, cls, CAST(x AS DOUBLE), CAST(y AS DOUBLE), false FROM p WHERE k NOT IN (SELECT k FROM c)""")
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = Features(features(spark, sf_dir, "pts").select("fid", "cls", "geom", "_ord"))
+    out = lines.GeneralizePoints(cluster_distance=float(EPS)).execute(data).df
+    v = F.element_at(g.vertices("geom"), 1)
+    return out.select("fid", "cls", rounded(v[0]).alias("x"), rounded(v[1]).alias("y"), "is_cluster")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return points(spark, sf_dir)
+
+
+@query("G7_dbscan_cluster_ids", POINTS_SQL + """
+SELECT p.fid, CASE WHEN comp IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY comp NULLS LAST) - 1 END cluster FROM p LEFT JOIN c USING (k)""")
+def cluster_ids(spark, sf_dir):
+    return pt.cluster_ids(pt.xy(features(spark, sf_dir, "pts").select("fid", "geom", "_ord")), EPS).select("fid", "cluster")
+
+
+@query("G8_cluster_centroids", POINTS_SQL + """
+SELECT min_by(fid, k) fid, round(sum(v), 4) v, count(*) n, string_agg(fid, ',' ORDER BY k) ids FROM c JOIN p USING (k) GROUP BY comp""")
+def centroids(spark, sf_dir):
+    out = pt.cluster_centroids(features(spark, sf_dir, "pts").select("fid", "v", "geom", "_ord"), EPS, aggregation_functions={"v": "sum"})
+    return out.select("fid", F.round("v", 4).alias("v"), F.size("old_ids").cast("long").alias("n"), F.array_join("old_ids", ",").alias("ids"))
+
+
+@query("P1_displace_points", f"""WITH {duck("pts")}, p AS MATERIALIZED (SELECT * FROM pts),
+m AS (SELECT a.k, sum((a.x - b.x) / sqrt({NEAR}) * (4.0 - sqrt({NEAR})) / 2) dx, sum((a.y - b.y) / sqrt({NEAR}) * (4.0 - sqrt({NEAR})) / 2) dy FROM p a JOIN p b ON a.k != b.k AND {NEAR} < 16 AND {NEAR} > 0 GROUP BY a.k)
+SELECT fid, round(x + coalesce(dx, 0), 6) x, round(y + coalesce(dy, 0), 6) y FROM p LEFT JOIN m USING (k)""")
+def displaced(spark, sf_dir):
+    v = F.element_at(g.vertices("geom"), 1)
+    return pt.displace(features(spark, sf_dir, "pts").select("fid", "geom", "_ord"), 4.0, 1).select("fid", rounded(v[0]).alias("x"), rounded(v[1]).alias("y"))
+
+
+@query("P3_reduce_by_selecting")
+def reduced(spark, sf_dir):
+    return pt.reduce_by_selecting(features(spark, sf_dir, "pts").select("fid", "v", "geom", "_ord"), None, 5.0, "v").select("fid")
+
+
+@query("G9_reduce_by_clustering", f"""WITH RECURSIVE {duck("pts")}, p AS MATERIALIZED (SELECT * FROM pts),
+near AS MATERIALIZED (SELECT a.k a, b.k b FROM p a JOIN p b ON a.k < b.k AND {NEAR} < 16), {reach("near", "p")}, c AS (SELECT x k, min(y) comp FROM r GROUP BY x)
+SELECT min(k) k, count(*) n FROM c GROUP BY comp""")
+def by_clustering(spark, sf_dir):
+    out = pt.reduce_by_clustering(features(spark, sf_dir, "pts").select("fid", "k", "geom", "_ord"), 2.0, "k", "members")
+    return out.select("k", F.coalesce(F.size("members"), F.lit(1)).cast("long").alias("n"))
+
+
+# filters ----------------------------------------------------------------------------------------------------------
+
+
+def area_query(name: str, where: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    @query(name, f"WITH {duck('rects')} SELECT fid, CAST({AREA} AS DOUBLE) area FROM rects WHERE {where}")
+    def run(spark, sf_dir):
+        return f(features(spark, sf_dir, "rects")).select("fid", g.area("geom").alias("area"))
+
+
+area_query("F1_wrong_types", "false", lambda d: d.where(~g.geom_type("geom").isin("Polygon")))
+area_query("F3_remove_large_polygons", f"{AREA} <= 100", lambda d: fe.remove_large_polygons(d, 100))
+area_query("F4_remove_small_polygons", f"{AREA} >= 100", lambda d: fe.remove_small_polygons(d, 100))
+area_query("F6_drop_empty", "true", fe.drop_empty)
+area_query("F7_fix_invalid", "true", fe.fix_invalid)
+area_query("F8_remove_small_holes", "true", lambda d: fe.remove_small_holes(d, 10))
+area_query("F9_filter_buildings", f"({AREA} >= 50 AND NOT (cls IN ('Brand#11', 'Brand#12') AND {AREA} < 200)) OR cls = 'Brand#13'", lambda d: fe.filter_buildings(d, "cls", least=50, least_low=200, low=frozenset({"Brand#11", "Brand#12"}), always=frozenset({"Brand#13"})))
+area_query("F10_exclude_large_of_class", f"NOT (cls = 'Brand#11' AND {AREA} > 100)", lambda d: fe.exclude_large_of_class(d, "cls", frozenset({"Brand#11"}), 100))
+area_query("F15_by_box_side", "greatest(x1 - x0, y1 - y0) > 15", lambda d: fe.by_box_side(d, 15)[0])
+
+
+@query("F5_remove_short_lines", f"WITH {duck('rects')} SELECT fid, CAST(2 * (x1 - x0 + y1 - y0) AS DOUBLE) n FROM rects WHERE 2 * (x1 - x0 + y1 - y0) >= 60")
+def short_lines(spark, sf_dir):
+    rims = features(spark, sf_dir, "rects").withColumn("geom", g.boundary("geom"))
+    return fe.remove_short_lines(rims, 60).select("fid", g.length("geom").alias("n"))
+
+
+@query("F11_by_interval", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity % 5 = 0")
+def interval(spark, sf_dir):
+    return fe.by_interval(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_quantity", 5).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("F13_near_far_filter", f"""WITH {duck("rects")}, d AS (SELECT a.k, min(sqrt(power(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + power(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2))) d FROM rects a JOIN (SELECT * FROM rects WHERE {AREA} > 800) b ON a.k != b.k GROUP BY a.k)
+SELECT fid FROM rects LEFT JOIN d USING (k) WHERE {AREA} > CASE WHEN coalesce(d, 1e9) <= 10 THEN 300 ELSE 700 END""")
+def near_far(spark, sf_dir):
+    r = features(spark, sf_dir, "rects")
+    out = sp.nearest_other(r, r.where(g.area("geom") > 800), 10.0)
+    return out.where(g.area("geom") > F.when(F.coalesce(F.col("_dist") <= 10, F.lit(False)), 300).otherwise(700)).select("fid")
+
+
+# joins, overlay, dissolve -----------------------------------------------------------------------------------------
+
+
+@query("J1_self_intersects", f"WITH {duck('rects')} SELECT a.fid f1, b.fid f2 FROM rects a JOIN rects b ON a.k < b.k AND {MEET}")
+def self_meet(spark, sf_dir):
+    r = features(spark, sf_dir, "rects").select("fid", "_ord", "geom")
+    return sp.sjoin(r, r).where("l._ord < r._ord").select(F.col("l.fid").alias("f1"), F.col("r.fid").alias("f2"))
+
+
+@query("J4_split_by_points", f"WITH {duck('rects', 'pts')} SELECT fid, EXISTS (SELECT 1 FROM pts p WHERE p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1) held FROM rects")
+def split_points(spark, sf_dir):
+    a, b = sp.split_by_points(features(spark, sf_dir, "rects").select("fid", "geom"), features(spark, sf_dir, "pts").select("fid", "geom"))
+    return a.select("fid", F.lit(True).alias("held")).unionByName(b.select("fid", F.lit(False).alias("held")))
+
+
+@query("J5_inherit_first", f"""WITH {duck("rects", "masks")} SELECT a.fid, coalesce(arg_min(b.cls, b.k), (SELECT arg_min(cls, k) FROM rects)) cls
+FROM masks a LEFT JOIN rects b ON {MEET} GROUP BY a.fid""")
+def first_met(spark, sf_dir):
+    return sp.inherit_first(features(spark, sf_dir, "rects").select("fid", "cls", "geom", "_ord"), features(spark, sf_dir, "masks").select("fid", "geom", "_ord")).select("fid", "cls")
+
+
+@query("J6_inherit_largest", f"""WITH {duck("rects", "masks")}, m AS (SELECT a.k t, b.fid, b.cls, b.k, (b.x1 - b.x0) * (b.y1 - b.y0) s FROM masks a JOIN rects b ON {MEET})
+SELECT t, arg_min(fid, -s * 1000000 + k) fid, arg_min(cls, -s * 1000000 + k) cls, string_agg(fid, ',' ORDER BY s DESC, k) ids FROM m GROUP BY t""")
+def largest_met(spark, sf_dir):
+    out = sp.inherit_largest(features(spark, sf_dir, "rects").select("fid", "cls", "geom", "_ord"), features(spark, sf_dir, "masks").select("fid", "geom", "_ord"), old_ids="old_ids")
+    return out.select(F.col("_ord").alias("t"), "fid", "cls", F.array_join("old_ids", ",").alias("ids"))
+
+
+@query("J11_intersection", f"WITH {duck('rects', 'masks')} SELECT a.fid, count(*) n, CAST(sum({OVERLAP}) AS DOUBLE) area FROM rects a JOIN masks b ON {OVERLAP} > 0 GROUP BY a.fid")
+def overlaid(spark, sf_dir):
+    out = sp.intersection(features(spark, sf_dir, "rects").select("fid", "geom", "_ord"), features(spark, sf_dir, "masks").select("fid", "geom", "_ord"))
+    return out.groupBy("fid").agg(F.count("*").alias("n"), F.sum(g.area("geom")).alias("area"))
+
+
+CELLS = "SELECT k, fid, unnest(range(x0, x1)) cx, y0, y1 FROM {t}"
+DIFFERENCE_SQL = f"""WITH {duck("rects", "masks")}, u AS (SELECT k, fid, cx, unnest(range(y0, y1)) cy FROM ({CELLS.format(t="rects")})), m AS (SELECT DISTINCT cx, unnest(range(y0, y1)) cy FROM ({CELLS.format(t="masks")}))
+SELECT fid, CAST(count(*) AS DOUBLE) area FROM u ANTI JOIN m USING (cx, cy) GROUP BY fid"""
+
+
+@query("J12_difference", DIFFERENCE_SQL)
+def without(spark, sf_dir):
+    out = sp.difference(features(spark, sf_dir, "rects").select("fid", "geom", "_ord"), features(spark, sf_dir, "masks").select("fid", "geom", "_ord"))
+    return out.select("fid", rounded(g.area("geom")).alias("area"))
+
+
+@query("A18_keep_intersection", f"WITH {duck('rects', 'masks')} SELECT count(*) n, CAST(sum({OVERLAP}) AS DOUBLE) area FROM rects a JOIN masks b ON {OVERLAP} > 0")
+def keep(spark, sf_dir):
+    data, mask = (Features(features(spark, sf_dir, n).select("fid", "geom", "_ord")) for n in ("rects", "masks"))
+    return areas.KeepIntersection().execute(data, {"mask": mask}).df.agg(F.count("*").alias("n"), F.sum(g.area("geom")).alias("area"))
+
+
+@query("A19_remove_overlap", f"SELECT CAST(sum(area) AS DOUBLE) area FROM ({DIFFERENCE_SQL})")
+def remove(spark, sf_dir):
+    data, mask = (Features(features(spark, sf_dir, n).select("fid", "geom", "_ord")) for n in ("rects", "masks"))
+    return areas.RemoveOverlap().execute(data, {"mask": mask}).df.agg(rounded(F.sum(g.area("geom"))).alias("area"))
+
+
+@query("P7_coverage", f"WITH {duck('rects', 'masks')} SELECT a.fid, round(100.0 * coalesce(sum({OVERLAP}), 0) / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) pct FROM masks a LEFT JOIN rects b ON {OVERLAP} > 0 GROUP BY a.fid, a.x0, a.x1, a.y0, a.y1")
+def covered(spark, sf_dir):
+    return sp.coverage(features(spark, sf_dir, "masks").select("fid", "geom"), features(spark, sf_dir, "rects").select("fid", "geom"), "pct").select("fid", F.round("pct", 6).alias("pct"))
+
+
+@query("J16_within_distance", f"WITH {duck('pts', 'edges')} SELECT DISTINCT p.fid FROM pts p JOIN edges e ON p.x BETWEEN e.ax - 1 AND e.bx + 1 AND p.y BETWEEN e.ay - 1 AND e.by_ + 1 AND power(greatest(0, e.ax - p.x, p.x - e.bx), 2) + power(greatest(0, e.ay - p.y, p.y - e.by_), 2) <= 1")
+def slope(spark, sf_dir):
+    data, contours = (Features(features(spark, sf_dir, n).select("fid", "geom", "_ord")) for n in ("pts", "edges"))
+    return lines.GeneralizeSlopeLines().execute(data, {"contours": contours}).df.select("fid")
+
+
+QUERIES["A15_slope_lines"], ORACLES["A15_slope_lines"] = slope, ORACLES["J16_within_distance"]
+
+
+GROUPS_SQL = f"""WITH RECURSIVE {duck("rects")}, q AS MATERIALIZED (SELECT * FROM rects WHERE cls IN ('Brand#11', 'Brand#22')),
+near AS MATERIALIZED (SELECT a.k a, b.k b FROM q a JOIN q b ON a.k < b.k AND a.cls = b.cls AND {MEET}), {reach("near", "q")}, c AS (SELECT x k, min(y) comp FROM r GROUP BY x)"""
+
+
+def brands(spark, sf_dir):
+    return features(spark, sf_dir, "rects").where("cls IN ('Brand#11', 'Brand#22')").select("fid", "cls", "geom", "_ord")
+
+
+@query("G3_group_by_intersections", GROUPS_SQL.replace("AND a.cls = b.cls ", "") + " SELECT fid, dense_rank() OVER (ORDER BY comp) grp FROM q JOIN c USING (k)")
+def groups(spark, sf_dir):
+    return sp.group_by_intersections(brands(spark, sf_dir), "grp").select("fid", "grp")
+
+
+DISSOLVED = f"""{GROUPS_SQL}, u AS (SELECT DISTINCT comp, cx, unnest(range(y0, y1)) cy FROM (SELECT comp, unnest(range(x0, x1)) cx, y0, y1 FROM q JOIN c USING (k)))
+SELECT CAST(count(*) AS DOUBLE) area FROM u"""
+
+
+@query("A1_dissolve_polygons", DISSOLVED)
+def dissolved(spark, sf_dir):
+    out = areas.DissolvePolygons(by_column=frozenset({"cls"})).execute(Features(brands(spark, sf_dir))).df
+    return out.agg(rounded(F.sum(g.area("geom"))).alias("area"))
+
+
+@query("G2_union_parts", f"SELECT CAST(count(DISTINCT (cx, cy)) AS DOUBLE) area FROM (WITH {duck('masks')} SELECT cx, unnest(range(y0, y1)) cy FROM ({CELLS.format(t='masks')}))")
+def united(spark, sf_dir):
+    return sp.union_parts(features(spark, sf_dir, "masks").select("fid", "geom", "_ord")).agg(rounded(F.sum(g.area("geom"))).alias("area"))
+
+
+@query("G6_dissolve_layers", ORACLES["G2_union_parts"])
+def layers(spark, sf_dir):
+    m = features(spark, sf_dir, "masks").select("fid", "geom", "_ord")
+    return sp.dissolve_layers([m, m]).agg(rounded(F.sum(g.area("geom"))).alias("area"))
+
+
+# identity ---------------------------------------------------------------------------------------------------------
+
+
+@query("I1_hash_duplicates", f"WITH {duck('pts')}, d AS (SELECT CAST(k % 700 AS VARCHAR) fid, k, x, y FROM pts) SELECT k, CASE WHEN count(*) OVER (PARTITION BY fid) > 1 THEN sha256('test' || fid || 'POINT (' || x || ' ' || y || ')') ELSE fid END fid FROM d")
+def duplicates(spark, sf_dir):
+    return fe.hash_duplicates(features(spark, sf_dir, "pts").withColumn("fid", (F.col("k") % 700).cast("string")), "test").select("k", "fid")
+
+
+@query("I2_hash_old_ids", f"WITH {duck('pts')} SELECT cls, CAST(k % 90 AS BIGINT) grp, CASE WHEN count(*) > 1 THEN sha256('test' || string_agg(fid, '' ORDER BY fid)) ELSE min(fid) END fid FROM pts GROUP BY cls, k % 90")
+def old_ids(spark, sf_dir):
+    by = view(spark, sf_dir, "pts").groupBy("cls", (F.col("k") % 90).alias("grp")).agg(F.collect_list("fid").alias("old_ids"), F.min("fid").alias("fid"))
+    return fe.hash_old_ids(by, "test").select("cls", "grp", "fid")
+
+
+@query("I3_hash_geometry", f"WITH {duck('pts')} SELECT k, sha256('test' || 'POINT (' || x || ' ' || y || ')') fid FROM pts")
+def hashed(spark, sf_dir):
+    return fe.hash_geometry(features(spark, sf_dir, "pts"), "test").select("k", "fid")
+
+
+# coordinates ------------------------------------------------------------------------------------------------------
+
+
+def triangle(spark, sf_dir):
+    """Lines of three vertices: a point, the next two along its own numbers."""
+    p = view(spark, sf_dir, "pts").where("x != y")
+    at = lambda x, y, z: F.array(x.cast("double"), y.cast("double"), z.cast("double"))
+    return p.select("fid", F.array(at(F.col("x"), F.col("y"), F.col("k") % 7), at(F.col("y"), F.col("x"), F.col("k") % 5), at(F.col("y") + 3, F.col("x") + 4, F.col("k") % 3)).alias("line"))
+
+
+@query("S25_S29_line_measures", f"""WITH {duck("pts")} SELECT fid, round((degrees(atan2(x - y, y - x)) + 360) % 360, 6) bearing, round((degrees(atan2(x - y, y - x)) + 180) % 180, 6) direction,
+round(((degrees(atan2(x - y, y - x)) + 180) % 180 + degrees(atan2(4, 3))) / 2, 6) mean_direction, round(sqrt(2.0 * (x - y) * (x - y)) + 5, 6) n, round((k % 7 + k % 5 + k % 3) / 3.0, 6) z, CAST(least(k % 7, k % 5, k % 3) AS DOUBLE) zmin FROM pts WHERE x != y""")
+def measures(spark, sf_dir):
+    t = triangle(spark, sf_dir)
+    line = F.col("line")
+    return t.select("fid", F.round(co.bearing(line[0], line[1]), 6).alias("bearing"), F.round(co.direction(line[0], line[1]), 6).alias("direction"), F.round(co.mean_direction(line), 6).alias("mean_direction"), F.round(co.line_length(line), 6).alias("n"), F.round(co.mean_z(line), 6).alias("z"), co.equalize_z(line, "min")[1][2].alias("zmin"))
+
+
+@query("S14_S19_line_edits", f"""WITH {duck("pts")} SELECT fid, CAST(10 AS DOUBLE) scaled, round(y + 3 + 10 * 0.6, 6) ex, round(x + 4 + 10 * 0.8, 6) ey, CAST(4 AS BIGINT) inserted, CAST(5 AS BIGINT) joined, CAST(y + 3 AS DOUBLE) turned FROM pts WHERE x != y""")
+def edits(spark, sf_dir):
+    t = triangle(spark, sf_dir)
+    line = F.col("line")
+    end = F.element_at(co.extend(line, 10.0, False, True), -1)
+    return t.select("fid", F.round(co.line_length(co.scale_to_length(line, 10.0)), 6).alias("scaled"), F.round(end[0], 6).alias("ex"), F.round(end[1], 6).alias("ey"), F.size(co.insert_vertex(line, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), -1)).cast("long").alias("inserted"), F.size(co.concatenate(line, F.reverse(line))).cast("long").alias("joined"), co.orient_toward(line, line[0], True)[0][0].alias("turned"))
+
+
+@query("S3_chaikin", f"WITH {duck('rects')} SELECT fid, round({AREA} * 0.875, 6) area FROM rects")
+def chaikin(spark, sf_dir):
+    return features(spark, sf_dir, "rects").select("fid", rounded(g.area(g.call("smooth", "geom", F.array().cast("array<binary>"), F.lit(1)))).alias("area"))
+
+
+@query("S10_S11_box", f"WITH {duck('rects')} SELECT fid, CAST(least(x1 - x0, y1 - y0) AS DOUBLE) width, CAST(greatest(x1 - x0, y1 - y0) AS DOUBLE) height, round(least(x1 - x0, y1 - y0) / greatest(x1 - x0, y1 - y0), 6) ratio FROM rects")
+def box(spark, sf_dir):
+    b = g.call("box", "geom")
+    return features(spark, sf_dir, "rects").select("fid", rounded(b[0]).alias("width"), rounded(b[1]).alias("height"), rounded(fe.elongation()).alias("ratio"))
+
+
+@query("S5_topological_points", f"""WITH {duck("rects")}, q AS MATERIALIZED (SELECT * FROM rects WHERE cls IN ('Brand#11', 'Brand#22')), v AS (SELECT x0 x, y0 y FROM q UNION SELECT x1, y0 FROM q UNION SELECT x0, y1 FROM q UNION SELECT x1, y1 FROM q)
+SELECT CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM v JOIN q ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY x, y HAVING count(DISTINCT k) > 1""")
+def shared_points(spark, sf_dir):
+    return sp.topological_points(brands(spark, sf_dir)).select("x", "y")
+
+
+# networks ---------------------------------------------------------------------------------------------------------
+
+ENDS = "e AS MATERIALIZED (SELECT k, fid, ax x, ay y, 0 side FROM edges UNION ALL SELECT k, fid, bx, by_, 1 FROM edges)"
+
+
+@query("N1_endpoints", f"WITH {duck('edges')}, {ENDS} SELECT fid, CAST(side AS INTEGER) side, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y, count(*) OVER (PARTITION BY x, y) n FROM e")
+def ends(spark, sf_dir):
+    return nw.endpoints(features(spark, sf_dir, "edges")).select("fid", "side", "x", "y", "n")
+
+
+@query("N2_remove_disconnected_short", f"WITH {duck('edges')}, {ENDS}, s AS (SELECT k, count(*) OVER (PARTITION BY x, y) > 1 shared FROM e) SELECT fid FROM edges JOIN (SELECT k FROM s GROUP BY k HAVING bool_and(shared)) USING (k)")
+def connected(spark, sf_dir):
+    return nw.remove_disconnected_short(features(spark, sf_dir, "edges").select("fid", "geom", "_ord"), 2.0).select("fid")
+
+
+@query("N6_dead_ends", f"WITH {duck('edges')}, {ENDS}, s AS (SELECT k, side, count(*) OVER (PARTITION BY x, y) > 1 met FROM e) SELECT fid, count(*) FILTER (WHERE met) = 1 dead FROM s JOIN edges USING (k) GROUP BY fid")
+def dead(spark, sf_dir):
+    normal, ends_ = nw.dead_ends(features(spark, sf_dir, "edges").select("fid", "geom", "_ord"), 0.0, "dead")
+    return normal.select("fid", "dead").unionByName(ends_.select("fid", "dead"))
+
+
+@query("N16_count_connections", f"WITH {duck('edges')}, {ENDS}, s AS (SELECT k, side, count(*) OVER (PARTITION BY x, y) - 1 n FROM e) SELECT fid, CAST(sum(n) FILTER (WHERE side = 0) AS BIGINT) start_count, CAST(sum(n) FILTER (WHERE side = 1) AS BIGINT) end_count FROM s JOIN edges USING (k) GROUP BY fid")
+def counts(spark, sf_dir):
+    return nw.count_connections(features(spark, sf_dir, "edges").select("fid", "geom", "_ord")).select("fid", "start_count", "end_count")
+
+
+CHAINS = f"""WITH RECURSIVE {duck("edges")}, {ENDS}, j AS MATERIALIZED (SELECT x, y, count(*) n, min(k) a, max(k) b FROM e GROUP BY x, y), near AS (SELECT a, b FROM j WHERE n = 2 AND a != b), {reach("near", "edges")},
+c AS MATERIALIZED (SELECT x k, min(y) comp FROM r GROUP BY x), z AS MATERIALIZED (SELECT comp, count(*) n FROM c GROUP BY comp),
+o AS (SELECT comp, count(*) FILTER (WHERE j.n > 2) met, count(*) outer_ FROM e JOIN c USING (k) JOIN j USING (x, y) WHERE j.n != 2 GROUP BY comp)"""
+
+
+@query("N13_contiguous", CHAINS + " SELECT fid, CAST(z.n AS DOUBLE) n, coalesce(met = 1 AND outer_ = 2, false) dead, coalesce(met = 0 AND outer_ = 2, false) apart FROM edges JOIN c USING (k) JOIN z USING (comp) LEFT JOIN o USING (comp)")
+def contiguous(spark, sf_dir):
+    out = nw.contiguous(features(spark, sf_dir, "edges").select("fid", "geom", "_ord"), length="n", dead="dead", apart="apart")
+    return out.select("fid", rounded(F.col("n")).alias("n"), "dead", "apart")
+
+
+@query("A13_generalize_roads", CHAINS + " SELECT fid FROM edges JOIN c USING (k) JOIN z USING (comp) LEFT JOIN o USING (comp) WHERE NOT (z.n <= 4 AND coalesce(outer_ = 2 AND met < 2, false))")
+def roads(spark, sf_dir):
+    data = Features(features(spark, sf_dir, "edges").select("fid", "cls", "geom", "_ord"))
+    return lines.GeneralizeRoads(threshold_length=4.0).execute(data).df.select("fid")
+
+
+@query("G4_merge_by_attribute", f"WITH {duck('edges')} SELECT cls, CAST(count(*) AS DOUBLE) n FROM edges GROUP BY cls")
+def merged(spark, sf_dir):
+    e = features(spark, sf_dir, "edges").select("fid", "cls", "geom", "_ord")
+    out = nw.merge_by_attribute(e, "cls")
+    kind = e.select(F.col("fid").alias("_one"), "cls")
+    named = out.select(F.element_at("old_ids", 1).alias("_one"), "geom").join(kind, "_one")
+    return named.groupBy("cls").agg(rounded(F.sum(g.length("geom"))).alias("n"))
+
+
+@query("N18_cluster_graph", f"""WITH RECURSIVE {duck("edges")}, f AS MATERIALIZED (SELECT * FROM edges WHERE ax % 3 > 0 AND ay % 3 > 0 AND bx % 3 > 0 AND by_ % 3 > 0), near AS (SELECT ax * 100000 + ay a, bx * 100000 + by_ b FROM f), nodes AS (SELECT a k FROM near UNION SELECT b FROM near), {reach("near", "nodes")},
+c AS (SELECT x k, min(y) comp FROM r GROUP BY x) SELECT count(*) nodes, count(DISTINCT comp) comps FROM c""")
+def clusters(spark, sf_dir):
+    f = features(spark, sf_dir, "edges").where("ax % 3 > 0 AND ay % 3 > 0 AND bx % 3 > 0 AND by_ % 3 > 0")
+    return nw.cluster_graph(nw.graph_edges(f.select("fid", "geom", "_ord")), 2.0).agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("comps"))
+
+
+@query("N22_split_by_points", f"""WITH {duck("edges", "pts")}, c AS (SELECT e.k, count(*) n FROM (SELECT DISTINCT e.k, p.x, p.y FROM edges_wide e JOIN pts p ON p.y = e.ay AND p.x > e.ax AND p.x < e.bx) e GROUP BY e.k), t AS (SELECT count(*) n FROM edges_wide)
+SELECT t.n + coalesce((SELECT sum(n) FROM c), 0) pieces, CAST(t.n * 8 AS DOUBLE) n FROM t""".replace("c AS (SELECT e.k", "edges_wide AS (SELECT k, ax * 8 ax, ay, bx * 8 bx FROM edges_right), c AS (SELECT e.k"))
+def pieces(spark, sf_dir):
+    e = view(spark, sf_dir, "edges_right").withColumn("_ord", F.col("k").cast("long"))
+    g.install(spark)
+    at = lambda x: F.array((F.col(x) * 8).cast("double"), F.col("ay").cast("double"))
+    wide = e.select("fid", "_ord", g.line(F.array(at("ax"), at("bx"))).alias("geom"))
+    out = nw.split_by_points(wide, features(spark, sf_dir, "pts").select("geom"), 0.5)
+    return out.agg(F.count("*").alias("pieces"), rounded(F.sum(g.length("geom"))).alias("n"))
+
+
+@query("W1_rank_parallel", f"WITH {duck('pts')}, p AS (SELECT k, cls, y + k / 1e6 d, min(y + k / 1e6) OVER (PARTITION BY cls) FROM pts) SELECT cls, k, CAST(rank() OVER (PARTITION BY cls ORDER BY d) AS DOUBLE) rnk FROM p")
+def ranked(spark, sf_dir):
+    p = view(spark, sf_dir, "pts")
+    g.install(spark)
+    y = F.col("y") + F.col("k") / 1e6
+    rows = p.select("fid", "cls", "k", F.col("k").cast("long").alias("_ord"), g.line(F.array(F.array(F.lit(-2000.0), y), F.array(F.lit(2000.0), y))).alias("geom"))
+    out = lines.rank_parallel(rows, "cls")
+    n = F.count("*").over(__import__("pyspark").sql.Window.partitionBy("cls"))
+    # the crossing line may run either way
+    first = F.min_by("_rank", "k").over(__import__("pyspark").sql.Window.partitionBy("cls"))
+    return out.withColumn("_n", n).withColumn("_f", first).select("cls", "k", F.col("_rank").alias("rnk"))
+
+
+# algorithms without SQL -------------------------------------------------------------------------------------------
+
+
+def algorithm(name: str, command: str, view_name: str, refs: dict[str, str] | None = None, where: str = "true", **parameters) -> None:
+    """Summary of an algorithm's result over the views: rows, and their rounded measures."""
+
+    @query(name)
+    def run(spark, sf_dir):
+        columns = ["fid", "cls", "geom", "_ord"]
+        data = Features(features(spark, sf_dir, view_name).where(where).withColumn("elevation_value", F.col("k") % 10).select(*columns, "elevation_value"))
+        given = {k: Features(features(spark, sf_dir, v).select("fid", "geom", "_ord")) for k, v in (refs or {}).items()}
+        out = ALGORITHMS[command](**parameters).execute(data, given).df
+        return out.select("fid", g.geom_type("geom").alias("kind"), F.round(g.area("geom"), 3).alias("area"), F.round(g.length("geom"), 3).alias("n"))
+
+
+BRAND = "cls = 'Brand#11'"
+algorithm("A2_building_areas", "building_areas", "rects", {"roads": "edges_right", "parcels": "masks"}, BRAND, threshold_building_area_far=900.0, threshold_building_area_near=300.0)
+algorithm("A3_buildings", "buildings", "rects", None, BRAND, building_class_column="cls", side_threshold=20, point_size=5, minimum_distance_to_isolated_building=10)
+algorithm("A4_cliffs", "cliffs", "edges", {"roads": "edges_up"}, "k % 7 = 0", buffer_size=0.2, length_threshold=0.1)
+algorithm("A5_conservation_areas", "conservation_areas", "rects", {"water_areas": "masks"}, BRAND, area_threshold=100.0)
+algorithm("A6_contours", "contours", "edges", {"slope": "pts"}, "k % 61 < 20", length_threshold=1.0, gaussian_filter_strength=0.2)
+algorithm("A7_fences", "fences", "edges", {"masts": "pts"}, "k < 2000", attribute_for_line_merge="cls", gap_threshold=0.5, fence_length_threshold=2, fence_length_threshold_in_closed_area=3, simplification_tolerance=0.1, closing_fence_area_threshold=2, closing_fence_area_with_mast_threshold=4)
+algorithm("A9_landcover", "landcover", "rects", None, BRAND, positive_buffer=3, negative_buffer=-3, simplification_tolerance=1, area_threshold=100, hole_threshold=50)
+algorithm("A10_polygons_to_points", "polygons_to_points", "rects", None, "true", polygon_min_area=200.0)
+algorithm("A11_power_lines", "power_lines", "edges", {"fences": "edges_up", "substations": "masks"}, "k < 2000", class_column="cls", length_threshold=2.0, distance_threshold_for_parallel_lines=0.4, classes_for_higher_priority_lines=frozenset({"1-URGENT"}))
+algorithm("A12_railroads", "railroads", "edges", None, "k < 2000", fan_minimum_length=3, fan_rail_parallel_distance=1.2, pack_cluster_length_threshold=2, pack_track_maximum_length=6)
+algorithm("A14_shared_paths", "shared_paths", "edges", {"roads": "edges_right"}, "k < 3000", detection_distance=0.3)
+algorithm("A16_water_areas", "water_areas", "rects", {"shoreline": "edges_right"}, BRAND, min_area=100, area_simplification_tolerance=1, thin_section_width=4, thin_section_min_size=5, thin_section_exaggerate_by=0.5)
+algorithm("A17_watercourse_areas", "watercourse_areas", "rects", None, BRAND, min_area=100, area_simplification_tolerance=1, thin_section_width=4, line_transform_width=8, line_min_length=5, min_new_section_length=6)
