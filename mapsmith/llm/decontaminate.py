@@ -125,16 +125,17 @@ def n_covered(spans: Column) -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
     """Rows of ``docs`` in which windows of fewer than ``min_items`` items occur; all columns as they were."""
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **more)
-    bad = found.where(F.size("_items") >= min_items).select(F.col("_key").alias("_bad")).distinct()
-    return docs.join(bad, row_key(id_col, text_col) == F.col("_bad"), "left_anti")
+    bad = found.where(F.size("_items") >= min_items).select("_key").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_key(id_col, text_col).alias("_key"))
+    return keyed.join(bad, "_key", "left_anti").select("_row.*")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
     """``docs`` with the hit words taken out of the text of the rows that have any; those texts become their
     remaining words joined by one space (lower-cased, as they were compared)."""
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **more).where(F.size("_spans") > 0).select("_key", "_spans").dropDuplicates(["_key"])
-    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(found, "_key", "left")
-    words = words_of(F.col(text_col))
-    rest = F.filter(words, lambda w, i: ~F.exists("_spans", lambda s: (i >= s["a"]) & (i < s["b"])))
-    clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(rest, " "))
-    return joined.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_key(id_col, text_col).alias("_key"))
+    joined, text = keyed.join(found, "_key", "left"), F.col("_row")[text_col]
+    rest = F.filter(words_of(text), lambda w, i: ~F.exists("_spans", lambda s: (i >= s["a"]) & (i < s["b"])))
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(rest, " "))
+    return joined.select(*[(clean if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])

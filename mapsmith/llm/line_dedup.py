@@ -53,12 +53,14 @@ def kept_lines(lines: Column, runs: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its text without the dropped lines (null stays null where nothing was dropped), plus
     _n_lines and _n_dropped."""
-    keyed = docs.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    joined = keyed.join(bitmaps, ["_id", "_th"], "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    kept = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(lines, F.col("_runs")), "\n"))
-    out = joined.withColumns({"_n_lines": F.size(lines), "_n_dropped": F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["n"]), F.lit(0)), "_kept": kept})
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")
+    # the row goes along as one struct: its columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
+    joined, text = keyed.join(bitmaps, ["_id", "_th"], "left"), F.col("_row")[text_col]
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    kept = F.when(F.col("_runs").isNull(), text).otherwise(F.array_join(kept_lines(lines, F.col("_runs")), "\n"))
+    n_dropped = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["n"]), F.lit(0))
+    columns = [(kept if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns]
+    return joined.select(*columns, F.size(lines).alias("_n_lines"), n_dropped.alias("_n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
