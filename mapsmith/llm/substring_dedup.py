@@ -67,7 +67,7 @@ def packed_texts(rows: DataFrame) -> DataFrame:
 
 
 def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """(h, _id, _th, pos) of each anchor of each document."""
+    """(h, _id, _th, pos: its places) of each different anchor of each document."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -83,10 +83,15 @@ def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
                 n = [len(p) for p in places]
                 flat = np.concatenate(places) if places else np.zeros(0, np.int64)
                 owner = np.repeat(np.arange(len(n)), n)
+                # a shingle that a document repeats is one row with all its places
+                order = np.lexsort((flat, grams[flat], owner))
+                flat, owner = flat[order], owner[order]
+                new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (grams[flat[1:]] != grams[flat[:-1]])])) if len(flat) else np.zeros(0, np.int64)
+                pos = pa.ListArray.from_arrays(pa.array(np.append(new, len(flat)).astype(np.int32)), pa.array((flat - words.at[owner]).astype(np.int32)))
                 crc = np.array([row_hash(t) if k else 0 for t, k in zip(texts[first:stop], n, strict=True)], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[flat].view(np.int64)), ids.take(pa.array(owner + first)), pa.array(crc[owner]), pa.array((flat - words.at[owner]).astype(np.int32))], names=["h", "_id", "_th", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[flat[new]].view(np.int64)), ids.take(pa.array(owner[new] + first)), pa.array(crc[owner[new]]), pos], names=["h", "_id", "_th", "pos"])
 
-    return rows.mapInArrow(run, "h long, _id long, _th int, pos int")
+    return rows.mapInArrow(run, "h long, _id long, _th int, pos array<int>")
 
 
 def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
@@ -209,8 +214,8 @@ def repeats_in(ids: np.ndarray, left: np.ndarray, words: list[bytes], length: in
 def repeated_windows(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """(_id, _th, _hits: [(pos, mask)]) of the documents that have any."""
     own = Window.partitionBy("h")
-    found = anchor_rows(rows, length).withColumns({"_a": F.min("_id").over(own), "_b": F.max("_id").over(own), "n": F.count("*").over(own)})
-    shared = cut(found.where("_a != _b").select("_id", "_th", "pos", "n"), "anchors")
+    found = anchor_rows(rows, length).withColumns({"_a": F.min("_id").over(own), "_b": F.max("_id").over(own), "n": F.sum(F.size("pos")).over(own)})
+    shared = cut(found.where("_a != _b").select("_id", "_th", F.explode("pos").alias("pos"), "n"), "anchors")
     groups = max(1, shared.count() // GROUP)
     places = shared.groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("_at"))
     joined = texts.dropDuplicates(["_id", "_th"]).join(places, ["_id", "_th"]).select("_id", "_th", "_z", "_at")
