@@ -242,7 +242,7 @@ class GeneralizeWaterAreas(Algorithm):
     preserve_shoreline_sections_column: str | None = Field(None, description="column of shoreline classes")
     preserve_shoreline_sections_values: Values = Field(frozenset(), description="classes that keep their form")
     reference_key: str = Field("shoreline", description="key of the shoreline")
-    prefix: ClassVar[str] = "waterareas"
+    prefix: ClassVar[str] = "water_areas"
 
     def _execute(self, df, ref):
         clean = cut(df.withColumn("geom", g.buffer("geom", 0)), "clean")

@@ -123,7 +123,7 @@ class GeneralizeContours(Algorithm):
             own = nw.split_by_points(own, ref["reference_key"].withColumn("geom", g.call("flat", "geom")), 1.0)
         own = cut(own.withColumn("geom", g.with_double("gauss", "geom", self.gaussian_filter_strength)), "contours")
         whole = nw.contiguous(own, length="_n", dead="_dead", apart="_apart").where(F.col("_n") >= self.length_threshold).select(df.columns)
-        return fe.z_from_attribute(fe.hash_duplicates(whole, "contours"), self.level_attribute).select(df.columns)
+        return fe.z_from_attribute(fe.hash_duplicates(whole, "contour"), self.level_attribute).select(df.columns)
 
 
 class GeneralizeFences(Algorithm):
