@@ -38,7 +38,7 @@ ORDERS = 3
 #: The most common shingles, which go to every task; ordering no more than these is as right, only slower.
 COMMON = 500_000
 #: Tokens whose repeats are counted at once.
-COUNT_AT_ONCE = 6_000_000
+COUNT_AT_ONCE = 3_000_000
 #: Up to so many class keys are broadcast to pick the texts to compare (8 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 NEAREST = 3

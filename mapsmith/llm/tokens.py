@@ -15,7 +15,7 @@ import numpy as np
 #: Words kept by a worker; beyond, its cache starts anew (about 150 bytes a word).
 CACHE_WORDS = 1_500_000
 #: Characters that are encoded together.
-AT_ONCE = 6_000_000
+AT_ONCE = 3_000_000
 
 
 class Encoder:
