@@ -402,29 +402,28 @@ def ranked(spark, sf_dir):
 # algorithms without SQL -------------------------------------------------------------------------------------------
 
 
-def algorithm(name: str, command: str, view_name: str, refs: dict[str, str] | None = None, where: str = "true", **parameters) -> None:
-    """Summary of an algorithm's result over the views: rows, and their rounded measures."""
+def algorithm(name: str, command: str, view_name: str, refs: dict[str, str] | None = None, **parameters) -> None:
+    """Summary of an algorithm's result over all rows of a view: rows, and their rounded measures."""
 
     @query(name)
     def run(spark, sf_dir):
         columns = ["fid", "cls", "geom", "_ord"]
-        data = Features(features(spark, sf_dir, view_name).where(where).withColumn("elevation_value", F.col("k") % 10).select(*columns, "elevation_value"))
+        data = Features(features(spark, sf_dir, view_name).withColumn("elevation_value", F.col("k") % 10).select(*columns, "elevation_value"))
         given = {k: Features(features(spark, sf_dir, v).select("fid", "geom", "_ord")) for k, v in (refs or {}).items()}
         out = ALGORITHMS[command](**parameters).execute(data, given).df
         return out.select("fid", g.geom_type("geom").alias("kind"), F.round(g.area("geom"), 3).alias("area"), F.round(g.length("geom"), 3).alias("n"))
 
 
-BRAND = "cls = 'Brand#11'"
-algorithm("A2_building_areas", "building_areas", "rects", {"roads": "edges_right", "parcels": "masks"}, BRAND, threshold_building_area_far=900.0, threshold_building_area_near=300.0)
-algorithm("A3_buildings", "buildings", "rects", None, BRAND, building_class_column="cls", side_threshold=20, point_size=5, minimum_distance_to_isolated_building=10)
-algorithm("A4_cliffs", "cliffs", "edges", {"roads": "edges_up"}, "k % 7 = 0", buffer_size=0.2, length_threshold=0.1)
-algorithm("A5_conservation_areas", "conservation_areas", "rects", {"water_areas": "masks"}, BRAND, area_threshold=100.0)
-algorithm("A6_contours", "contours", "edges", {"slope": "pts"}, "k % 61 < 20", length_threshold=1.0, gaussian_filter_strength=0.2)
-algorithm("A7_fences", "fences", "edges", {"masts": "pts"}, "k < 2000", attribute_for_line_merge="cls", gap_threshold=0.5, fence_length_threshold=2, fence_length_threshold_in_closed_area=3, simplification_tolerance=0.1, closing_fence_area_threshold=2, closing_fence_area_with_mast_threshold=4)
-algorithm("A9_landcover", "landcover", "rects", None, BRAND, positive_buffer=3, negative_buffer=-3, simplification_tolerance=1, area_threshold=100, hole_threshold=50)
-algorithm("A10_polygons_to_points", "polygons_to_points", "rects", None, "true", polygon_min_area=200.0)
-algorithm("A11_power_lines", "power_lines", "edges", {"fences": "edges_up", "substations": "masks"}, "k < 2000", class_column="cls", length_threshold=2.0, distance_threshold_for_parallel_lines=0.4, classes_for_higher_priority_lines=frozenset({"1-URGENT"}))
-algorithm("A12_railroads", "railroads", "edges", None, "k < 2000", fan_minimum_length=3, fan_rail_parallel_distance=1.2, pack_cluster_length_threshold=2, pack_track_maximum_length=6)
-algorithm("A14_shared_paths", "shared_paths", "edges", {"roads": "edges_right"}, "k < 3000", detection_distance=0.3)
-algorithm("A16_water_areas", "water_areas", "rects", {"shoreline": "edges_right"}, BRAND, min_area=100, area_simplification_tolerance=1, thin_section_width=4, thin_section_min_size=5, thin_section_exaggerate_by=0.5)
-algorithm("A17_watercourse_areas", "watercourse_areas", "rects", None, BRAND, min_area=100, area_simplification_tolerance=1, thin_section_width=4, line_transform_width=8, line_min_length=5, min_new_section_length=6)
+algorithm("A2_building_areas", "building_areas", "rects", {"roads": "edges_right", "parcels": "masks"}, threshold_building_area_far=900.0, threshold_building_area_near=300.0)
+algorithm("A3_buildings", "buildings", "rects", None, building_class_column="cls", side_threshold=20, point_size=5, minimum_distance_to_isolated_building=10)
+algorithm("A4_cliffs", "cliffs", "edges", {"roads": "edges_up"}, buffer_size=0.2, length_threshold=0.1)
+algorithm("A5_conservation_areas", "conservation_areas", "rects", {"water_areas": "masks"}, area_threshold=100.0)
+algorithm("A6_contours", "contours", "edges", {"slope": "pts"}, length_threshold=1.0, gaussian_filter_strength=0.2)
+algorithm("A7_fences", "fences", "edges", {"masts": "pts"}, attribute_for_line_merge="cls", gap_threshold=0.5, fence_length_threshold=2, fence_length_threshold_in_closed_area=3, simplification_tolerance=0.1, closing_fence_area_threshold=2, closing_fence_area_with_mast_threshold=4)
+algorithm("A9_landcover", "landcover", "rects", None, positive_buffer=3, negative_buffer=-3, simplification_tolerance=1, area_threshold=100, hole_threshold=50)
+algorithm("A10_polygons_to_points", "polygons_to_points", "rects", None, polygon_min_area=200.0)
+algorithm("A11_power_lines", "power_lines", "edges", {"fences": "edges_up", "substations": "masks"}, class_column="cls", length_threshold=2.0, distance_threshold_for_parallel_lines=0.4, classes_for_higher_priority_lines=frozenset({"1-URGENT"}))
+algorithm("A12_railroads", "railroads", "edges", None, fan_minimum_length=3, fan_rail_parallel_distance=1.2, pack_cluster_length_threshold=2, pack_track_maximum_length=6)
+algorithm("A14_shared_paths", "shared_paths", "edges", {"roads": "edges_right"}, detection_distance=0.3)
+algorithm("A16_water_areas", "water_areas", "rects", {"shoreline": "edges_right"}, min_area=100, area_simplification_tolerance=1, thin_section_width=4, thin_section_min_size=5, thin_section_exaggerate_by=0.5)
+algorithm("A17_watercourse_areas", "watercourse_areas", "rects", None, min_area=100, area_simplification_tolerance=1, thin_section_width=4, line_transform_width=8, line_min_length=5, min_new_section_length=6)
