@@ -203,17 +203,17 @@ def faces(lines: DataFrame) -> DataFrame:
     return areas.select(F.col("_comp").cast("string").alias("fid"), F.explode(g.dump(g.union("_f"))).alias("geom"), F.col("_comp").alias("_ord")).withColumn("_ord", F.xxhash64("geom"))
 
 
-def prune_to_fixpoint(lines: DataFrame, kind: str, value: str, *, most: int = 50) -> DataFrame:
-    """Rows of one kind without a connected end go, until none is left."""
-    now, n = cut(lines, "prune"), None
-    for _ in range(most):
+def prune_to_fixpoint(lines: DataFrame, kind: str, value: str) -> DataFrame:
+    """Rows of one kind without a connected end go, until none is left, however many rounds that takes."""
+    now = cut(lines, "prune")
+    n = now.count()
+    while True:
         met = end_touches(now, now)
         keep = (F.coalesce(F.col(kind), F.lit("")) != value) | (F.col("first_intersects") & F.col("last_intersects"))
         now = cut(met.where(keep).select(lines.columns), "prune")
         if (left := now.count()) == n:
-            break
+            return now
         n = left
-    return now
 
 
 __all__ = ["difference", "endpoints", "contiguous", "chains", "merge_by_attribute"]
