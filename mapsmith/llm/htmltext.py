@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
 #: Elements that never hold article text.
@@ -44,30 +44,53 @@ WITHIN = INLINE | {"br", "wbr"}
 
 
 class Node:
-    __slots__ = ("tag", "parts", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "skip", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, skip: bool):
-        self.tag, self.parts, self.skip = tag, [], skip
+    def __init__(self, tag: str, skip: bool, named: bool = False):
+        self.tag, self.parts, self.skip, self.named = tag, [], skip, named
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def skipped(tag: str, attributes: str) -> bool:
+def skipped(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether for words of its class or id alone."""
     if tag in SKIP:
-        return True
+        return True, False
     if not attributes or tag in KEEP and tag not in ("p",):
-        return False
+        return False, False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value = (a or b or c).lower()
-        if name.lower() == "role":
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "role":
             if value in SKIP_ROLE:
-                return True
-        elif name.lower() in ("hidden", "aria-hidden"):
+                return True, False
+        elif name in ("hidden", "aria-hidden"):
             if value != "false":
-                return True
-        elif SKIP_NAME.search(value):
-            return True
-    return False
+                return True, False
+        elif name in ("class", "id") and SKIP_NAME.search(value):
+            named = True
+    return named, named
+
+
+def unskip(root: Node) -> None:
+    """An element that is left out for its class or id, but holds most of the page's unlinked text, stays."""
+    nodes, todo = [], [(root, None, False)]
+    while todo:
+        node, parent, link = todo.pop()
+        link = link or node.tag == "a"
+        nodes.append((node, parent, link))
+        todo += [(p, node, link) for p in node.parts if isinstance(p, Node) and (p.named or not p.skip)]
+    if not any(n.named for n, _, _ in nodes):
+        return
+    plain = dict.fromkeys((id(n) for n, _, _ in nodes), 0)
+    for node, parent, link in reversed(nodes):
+        if not link:
+            plain[id(node)] += sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        if parent:
+            plain[id(parent)] += plain[id(node)]
+    for node, _, _ in nodes:
+        if node.named and 2 * plain[id(node)] > plain[id(root)]:
+            node.skip = False
 
 
 def parse(page: str) -> Node:
@@ -106,7 +129,7 @@ def parse(page: str) -> Node:
                             break
                     elif stack[k].tag in BOUNDARY:
                         break
-            node = Node(tag, skipped(tag, m[3]))
+            node = Node(tag, *skipped(tag, m[3]))
             stack[-1].parts.append(node)
             if tag not in VOID and not m[0].endswith("/>"):
                 stack.append(node)
@@ -114,6 +137,7 @@ def parse(page: str) -> Node:
                 stack.pop()
     if at < n:
         stack[-1].parts.append(page[at:])
+    unskip(root)
     return root
 
 

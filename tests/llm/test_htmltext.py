@@ -31,3 +31,16 @@ def test_rows(spark):
     got = htmltext.extract_pages(pages).collect()
     assert sorted((r["page_id"] or 0, r["text"]) for r in got) == [(0, ""), (1, "x y"), (1, "x y"), (2, "")]
     assert htmltext.extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden" class="story"', 'title="The hidden cost"', 'data-class="sidebar"', "data-id=related title='a class=\"comments\" b'"])
+def test_attributes_count_by_name(attributes):
+    assert htmltext.extract(f"<body><div {attributes}><p>{LONG}</p></div>") == LONG.strip()
+    assert htmltext.extract(f'<body><div><p>{LONG} <a href="/hidden/x" {attributes}>word</a></p></div>') == f"{LONG.strip()} word"
+
+
+def test_class_words_do_not_drop_most_of_the_page():
+    page = f'<body><div class="content has-sidebar" id="related-work"><p>{LONG}</p></div><div class="sidebar"><p>aside</p></div>'
+    assert htmltext.extract(page) == LONG.strip()
+    for hidden in ("hidden", 'aria-hidden="true"', 'role="navigation"'):
+        assert htmltext.extract(f"<body><div {hidden}><p>{LONG}</p></div><p>rest</p>") == "rest"
