@@ -1,9 +1,10 @@
 """Main text of HTML pages by composite text density.
 
 A tolerant scanner builds the tree of elements. Each node's density is its characters per tag, adjusted for links
-(a node of mostly link text scores low); the densities of a node's children are summed, and the subtree with the
-largest sum is chosen, walking only through nodes whose density reaches the least density on the path from the
-densest node up to body. Elements that never hold article text (navigation, footers, forms, scripts and the like, or
+(a node of mostly link text scores low); the densities of a node's children are summed. The threshold is the least
+density on the path from the node with the largest sum up to body. From body on, through nodes whose density
+reaches it, the subtree with the largest sum within each is chosen; the article is what lies between all of these
+under the element that holds them, with its heading, but for unchosen boxes and lists of links. Elements that never hold article text (navigation, footers, forms, scripts and the like, or
 marked so by class, id or role) are left out of both the scores and the text.
 
 Results in special cases: null, empty or tag-only html gives an empty text; unclosed and unbalanced tags, truncated
@@ -39,6 +40,12 @@ BOUNDARY = frozenset("ul ol dl table select body article section div".split())
 ENDS_P = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre div article section aside header footer nav form main hr figure address fieldset".split())
 INLINE = frozenset("b i em strong span a u s small big font code sub sup mark q cite abbr label".split())
 
+HEADINGS = frozenset("h1 h2 h3".split())
+#: Beside the chosen subtrees, one of these is left out if it is mostly links; one that is not FLOW only belongs to
+#: them within an article.
+FLOW = frozenset("ul ol dl table blockquote pre figure".split())
+BOXES = FLOW | frozenset("div section".split())
+
 #: Elements that are part of their block: neither counted as tags nor candidates.
 WITHIN = INLINE | {"br", "wbr"}
 
@@ -217,18 +224,79 @@ def density(node: Node, body_ratio: float) -> float:
     return c / t * math.log(max(1.0 + 1e-9, c / lc * t / lt)) / math.log(max(base, math.e))
 
 
+def chosen(root: Node, nodes: list) -> tuple[dict[int, Node], dict[int, Node | None]]:
+    """The subtrees with the largest density sum within each node that the body-path threshold lets through, and
+    each node's parent."""
+    every = preorder(root)
+    parents = {id(n): p for n, p, _ in every}
+    within = {id(n): n for n, _, _ in every}  # node -> the subtree of the largest sum in it
+    for node, parent, _ in reversed(every):
+        if parent:
+            mine, there = within[id(node)], within[id(parent)]
+            if mine.tag not in WITHIN and (there.tag in WITHIN or mine.total > there.total or mine.total == there.total and there is not parent):
+                within[id(parent)] = mine
+    best = max((n for n, _, _ in nodes), key=lambda n: n.total)
+    least, up = best.density, best
+    while up := parents[id(up)]:
+        if up.tag not in WITHIN:
+            least = min(least, up.density)
+    found, through = {id(best): best}, {id(root)}
+    for node, parent, _ in every:
+        if parent and id(parent) not in through or node.tag not in WITHIN and node.density < least:
+            continue
+        through.add(id(node))
+        top = within[id(node)]
+        if top.tag not in WITHIN and 2 * top.link_chars <= top.chars:
+            found[id(top)] = top
+    return found, parents
+
+
+def path_up(node: Node, parents: dict[int, Node | None]) -> list[Node]:
+    out = [node]
+    while up := parents[id(out[-1])]:
+        out.append(up)
+    return out
+
+
 def main_node(root: Node) -> Node:
-    """The subtree with the largest density sum above the body-path threshold."""
+    """The element that holds all chosen subtrees; what it leaves out is marked to be skipped."""
     nodes = score(root)
     if not root.chars:
         return root
-    parents = {id(n): p for n, p, _ in preorder(root)}
-    best = max((n for n, _, _ in nodes), key=lambda n: n.total)
-    least, up = best.density, best
-    while up := parents[id(up)]:
-        least = min(least, up.density)
-    above = [n for n, _, _ in nodes if n.density >= least]
-    return max(above, key=lambda n: n.total) if above else best
+    found, parents = chosen(root, nodes)
+    top, path = None, set()
+    for node in found.values():
+        if id(node) in path:
+            continue
+        way = path_up(node, parents)
+        if top is None:
+            top = way
+        else:
+            own = {id(n) for n in way}
+            top = top[next(k for k, n in enumerate(top) if id(n) in own) :]
+        path |= {id(n) for n in way}
+    # up to the article around it, or to the element that has its heading
+    k = next((k for k, n in enumerate(top) if n.tag in ("article", "main")), 0)
+    for above in range(k + 1, len(top)):
+        before = []
+        for p in top[above].parts:
+            if p is top[above - 1]:
+                break
+            before.append(p)
+        if any(isinstance(p, Node) and p.tag in HEADINGS and not p.skip for p in before):
+            k = above
+            break
+    node = top[k]
+    todo = [] if id(node) in found else [node]
+    while todo:
+        for p in todo.pop().parts:
+            if not isinstance(p, Node) or p.skip or id(p) in found:
+                continue
+            if id(p) in path:
+                todo.append(p)
+            elif p.tag in BOXES and (2 * p.link_chars > p.chars or p.tag not in FLOW and not any(n.tag in ("article", "main") for n in top[k:])):
+                p.skip = True
+    return node
 
 
 def text_of(node: Node) -> str:

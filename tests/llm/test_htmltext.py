@@ -44,3 +44,37 @@ def test_class_words_do_not_drop_most_of_the_page():
     assert htmltext.extract(page) == LONG.strip()
     for hidden in ("hidden", 'aria-hidden="true"', 'role="navigation"'):
         assert htmltext.extract(f"<body><div {hidden}><p>{LONG}</p></div><p>rest</p>") == "rest"
+
+
+def paragraphs(name, n=10):
+    return [f"{name}{i} " + "word text here. " * 31 for i in range(n)]
+
+
+def html_of(texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+def lines_of(*parts):
+    return "\n".join(t.strip() for p in parts for t in ([p] if isinstance(p, str) else p))
+
+
+@pytest.mark.parametrize("around", ["article", "div", "main"])
+def test_an_article_in_sections_is_whole(around):
+    a, b = paragraphs("a"), paragraphs("b")
+    page = f"<body><nav><a>x</a></nav><{around}><h1>Title</h1><section>{html_of(a)}</section><section>{html_of(b)}</section></{around}><footer>c</footer>"
+    assert htmltext.extract(page) == lines_of("Title", a, b)
+
+
+def test_a_heading_outside_the_body_div():
+    a = paragraphs("a", 5)
+    assert htmltext.extract(f"<body><article><h1>Title</h1><div class=body>{html_of(a)}</div></article>") == lines_of("Title", a)
+    assert htmltext.extract(f"<body><div><h1>Title</h1><div class=body>{html_of(a)}</div></div><div><a>more</a></div>") == lines_of("Title", a)
+
+
+@pytest.mark.parametrize("rows", [30, 200])
+def test_long_lists_and_tables(rows):
+    a, items = paragraphs("a", 4), [f"item number {i} with some words of its own" for i in range(rows)]
+    page = "<body><article><h1>Title</h1>{}<{}>{}</{}></article><div><ul><li><a href=x>one link of many</a><li><a href=y>another link</a></ul></div>"
+    assert htmltext.extract(page.format(html_of(a), "ul", html_of(items, "li"), "ul")) == lines_of("Title", a, items)
+    table = "".join(f"<tr><td>{t}</td></tr>" for t in items)
+    assert htmltext.extract(page.format(html_of(a), "table", table, "table")) == lines_of("Title", a, items)
