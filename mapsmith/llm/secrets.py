@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+#: What / = _ and - part in a word.
+PIECE = re.compile(r"[A-Za-z0-9+]+")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
 SIGNS = ALPHABETS[3] + "_=-"
@@ -66,6 +68,9 @@ class Ratio:
         a, b = Markov(random_words), Markov(ordinary_words)
         self.first = dict(zip(SIGNS, (a.first - b.first).tolist(), strict=True))
         self.pairs = {x + y: float(v) for x, row in zip(SIGNS, a.pairs - b.pairs, strict=True) for y, v in zip(SIGNS, row, strict=True)}
+        # a word without a digit has less to tell it by: it must beat all but one in a thousand of the ordinary ones
+        plain = [self(w) for w in ordinary_words if len(w) >= LEAST_CHARS and not any(map(str.isdigit, w))]
+        self.letters = max(LEAST_RATIO, float(np.quantile(plain, 0.999))) if plain else LEAST_RATIO
 
     def __call__(self, word: str) -> float:
         """Log-likelihood ratio for each character."""
@@ -92,14 +97,46 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     return Ratio(*labelled([r["_t"] for r in picked]))
 
 
+def secret_parts(word: str, ratio: Ratio, least: float) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a word: all of it, or else stretches between separators."""
+
+    def random_(w: str) -> bool:
+        return len(w) >= LEAST_CHARS and ratio(w) >= (least if any(map(str.isdigit, w)) else max(least, ratio.letters))
+
+    if random_(word):
+        return [(0, len(word))]
+    pieces = [(m.start(), m.end()) for m in PIECE.finditer(word)]
+    if len(pieces) < 2 and (not pieces or pieces[0][1] - pieces[0][0] == len(word)):
+        return []
+    gain = [(ratio(word[a:b]) - least) * (b - a) for a, b in pieces]
+    out, todo = [], [(0, len(pieces))]
+    while todo:
+        i, j = todo.pop()
+        best, start, now, span = 0.0, i, 0.0, None
+        for k in range(i, j):
+            if now <= 0:
+                now, start = 0.0, k
+            now += gain[k]
+            if now > best:
+                best, span = now, (start, k + 1)
+        if span is None:
+            continue
+        a, b = pieces[span[0]][0], pieces[span[1] - 1][1]
+        if random_(word[a:b]):
+            out.append((a, b))
+        else:
+            out += [pieces[k] for k in range(*span) if random_(word[slice(*pieces[k])])]
+        todo += [(i, span[0]), (span[1], j)]
+    return sorted(out)
+
+
 def spans_of(text: str, ratio: Ratio, least: float = LEAST_RATIO) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, as (start, kind, end) by start and kind."""
     base = base_spans(text)
     more = []
     for m in WORD.finditer(text):
-        word = m[0]
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and ratio(word) >= least and any(c.isdigit() for c in word):
-            more.append((m.start(), 3, m.end()))
+        if not any(a < m.end() and m.start() < b for a, _, b in base):
+            more += [(m.start() + a, 3, m.start() + b) for a, b in secret_parts(m[0], ratio, least)]
     return base, sorted(base + more)
 
 

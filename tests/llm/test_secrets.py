@@ -36,3 +36,13 @@ def test_scan(spark):
     assert all(r["base"] == "" for r in got if r["doc_id"] in (1, 2, 3))
     empty = no_documents(spark)
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
+
+
+def test_letters_and_glued_keys():
+    ratio = secrets.Ratio(*secrets.labelled(["thly orin ornd healichkeit verantwortlichkeit internationalisation responsibilities"] * 20))
+    key = "xK9fQ2mZ7tR4wB8nL3vD6hJ1"
+    for text in (f"the_configuration_file_name={key}", f"application/configuration/responsibilities/{key}", f"healichkeit_verantwortlichkeit-{key}/internationalisation", "xKqfQzmZptRjwBgnLkvDyhJwQxZvKj"):
+        found = [text[a:b] for a, k, b in secrets.spans_of(text, ratio)[1] if k == 3]
+        assert len(found) == 1 and (key in text and key in found[0] or found == [text])
+    for text in ("the_configuration_file_name=internationalisation", "verantwortlichkeitinternationalisation"):
+        assert secrets.spans_of(text, ratio)[1] == []
