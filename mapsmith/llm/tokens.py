@@ -2,13 +2,14 @@
 
 Both kinds of file that are used here split a text at each change from other characters to white space before they
 merge bytes, so a text's ids are the ids of its words in turn. Words repeat; each worker keeps those it has met. A
-word that itself starts or ends with white space could share a run of it with its neighbour: its text is encoded
-whole. So the ids are the library's own for every text.
+word that itself starts or ends with white space could share a run of it with its neighbour, and one that holds a
+special token is split elsewhere: its text is encoded whole. So the ids are the library's own for every text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -26,7 +27,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(re.escape(c.split()[0]) for c in added if c.split()) or r"(?!)")
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.type).tobytes()
@@ -72,14 +74,14 @@ class Encoder:
         return [(self.whole([t])[0] if w else ids[a:b].tobytes()) + self.end for t, a, b, w in zip(texts, cuts, cuts[1:], bad.tolist(), strict=False)]
 
     def look_up(self, cache: dict[str, bytes | None], words: list[str], before: str) -> list[bytes | None]:
-        """Ids of each word; None for one with white space at its ends."""
+        """Ids of each word; None for one with white space at its ends or a special token."""
         parts = list(map(cache.get, words))
         new = [w for w, p in zip(words, parts, strict=True) if p is None and w not in cache]
         if not new:
             return parts
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-        good = [w for w in dict.fromkeys(new) if not w or w == w.strip()]
+        good = [w for w in dict.fromkeys(new) if not w or w == w.strip() and not self.special.search(w)]
         found = dict.fromkeys(new)
         for i in range(0, len(good), 4096):
             found.update(zip(good[i : i + 4096], self.whole([before + w if w else "" for w in good[i : i + 4096]]), strict=True))

@@ -77,3 +77,15 @@ def test_crc_column_is_the_unsigned_crc32(spark):
     files = bitpack.write_files(hard_documents(spark), WORD, 1)
     for r in bitpack.read_files(files).withColumn("c", F.crc32("ids")).collect():
         assert r["c"] == zlib.crc32(r["ids"])
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_are_those_of_the_plain_library_call(path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    texts = [*ODD, "a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>", " <|endoftext|>", "<|endoftext|><|endoftext|> z"]
+    e = Encoder(path)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, e.type).tolist() for x in e.encode(texts)] == want
