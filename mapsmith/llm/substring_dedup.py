@@ -4,10 +4,11 @@ Suffixes are taken at anchors: of any ``length`` consecutive words, one shingle
 hash, so two equal windows hold an equal anchor at the same place. An anchor that only one document has cannot start
 a repeat, and its suffix is dropped before anything long is moved.
 
-The suffixes left are split by a prefix of variable length: the anchor itself where few suffixes share it; where
-many do, more words, once from the anchor on and once from some words before it, as a window may lie; prefixes are gathered into groups of a size that fits in memory. In a group the suffixes are
-sorted, which with the lengths of their common prefixes is their suffix tree; the words before each anchor make a
-second tree, read backwards. A node of the first at depth ``length`` - o and one of the second at depth o enclose
+The suffixes left are split by a prefix of variable length: the anchor itself where at most ``GROUP`` suffixes share
+it; where more do, the whole window at each place of the anchor in it. Of a window each task hands on one row only
+(those of the least id), so however many documents hold it, its group gets a row for each task. Prefixes are gathered
+into groups of ``GROUP`` rows on average. In a group the suffixes are sorted, which with the lengths of their common
+prefixes is their suffix tree; the words before each anchor make a second tree, read backwards. A node of the first at depth ``length`` - o and one of the second at depth o enclose
 the documents that hold one window whose anchor lies o words in: the least id among them keeps it, the others lose
 its words. Words are compared themselves (by a group's own dictionary), never by hash.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +33,10 @@ from mapsmith.llm import wordhash
 from mapsmith.llm.common import cut
 
 ANCHOR = 5
-#: Suffixes of a group; a prefix that more suffixes share is made longer.
+#: Suffixes of a group; an anchor that more suffixes share is split by whole windows.
 GROUP = 40_000
+#: Tasks that the rows of such an anchor are dealt to when they get its count.
+SALTS = 64
 
 
 def anchors(grams: np.ndarray, span: int) -> np.ndarray:
@@ -105,32 +108,53 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        half = before // 2
-        every, near = (1 << before + 1) - 1, (1 << half + 1) - 1
+        every = (1 << before + 1) - 1
         names = ["grp", "_id", "_th", "pos", "left", "words", "mask"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
         least: dict[tuple[int, bytes], tuple] = {}
-        also: list[tuple] = []  # as the one kept, from the same document
+        also: dict[tuple[int, bytes], list[tuple]] = {}  # as the one kept, from the same document
 
         def rows(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
+        def keep(held: dict, more: dict, key: tuple, mine: tuple, known: list) -> None:
+            """One row of the least id for each key; the others are known to repeat it."""
+            other = held.setdefault(key, mine)
+            if other[0] < mine[0]:
+                known.append(repeated(mine))
+            elif other[0] > mine[0]:
+                known.append(repeated(other))
+                known += map(repeated, more.pop(key, ()))
+                held[key] = mine
+            elif other is not mine:
+                more.setdefault(key, []).append(mine)
+
         def sent() -> Iterator:
-            out = []
-            for doc, crc, pos, left, n, _, context in (*least.values(), *also):
+            out, windows, twice = [], {}, {}
+
+            def split() -> list[tuple]:
+                found = (*windows.values(), *(x for rest in twice.values() for x in rest))
+                windows.clear()
+                twice.clear()
+                return [(group_of(b"%d %b" % (o, w), groups), doc, crc, pos, o, w, 1 << o) for doc, crc, pos, o, _, _, w in found]
+
+            for doc, crc, pos, left, n, right, context in (*least.values(), *(x for rest in also.values() for x in rest)):
                 words = context.split(b" ")
                 if n <= GROUP:
                     out.append((group_of(b" ".join(words[left : left + ANCHOR]), groups), doc, crc, pos, left, context, every))
                 else:
-                    # a window that starts up to half words before the anchor holds length - half from it on
-                    out.append((group_of(b" ".join(words[left : left + length - half]), groups), doc, crc, pos, left, context, near))
-                    if left > half:  # and one that starts earlier holds half + 1 words before it
-                        out.append((group_of(b" ".join(words[left - half - 1 : left + ANCHOR]), groups), doc, crc, pos, left, context, every - near))
+                    for o in range(left + 1):
+                        if length - o <= right:
+                            window = b" ".join(words[left - o : left - o + length])
+                            keep(windows, twice, (o, window), (doc, crc, pos, o, n, length - o, window), out)
+                    if len(windows) > 200_000:
+                        out += split()
                 if len(out) >= 20_000:
                     yield rows(out)
                     out = []
-            if out:
-                yield rows(out)
+            out += split()
+            for i in range(0, len(out), 20_000):
+                yield rows(out[i : i + 20_000])
             least.clear()
             also.clear()
 
@@ -144,17 +168,10 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
                         pos, left = place["pos"], min(place["pos"], before)
                         context = b" ".join(words[pos - left : pos + length])
                         mine = (doc, crc, pos, left, place["n"], min(length, len(words) - pos), context)
-                        other = least.setdefault((left, context), mine)
-                        if other[0] < doc:
-                            known.append(repeated(mine))
-                        elif other[0] > doc:
-                            known.append(repeated(other))
-                            least[left, context] = mine
-                        elif other is not mine:
-                            also.append(mine)
+                        keep(least, also, (left, context), mine, known)
                 if known:
                     yield rows(known)
-                if len(least) + len(also) > 400_000:
+                if len(least) + sum(map(len, also.values())) > 400_000:
                     yield from sent()
         yield from sent()
 
@@ -213,10 +230,16 @@ def repeats_in(ids: np.ndarray, left: np.ndarray, words: list[bytes], length: in
 
 def repeated_windows(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """(_id, _th, _hits: [(pos, mask)]) of the documents that have any."""
-    own = Window.partitionBy("h")
-    found = anchor_rows(rows, length).withColumns({"_a": F.min("_id").over(own), "_b": F.max("_id").over(own), "n": F.sum(F.size("pos")).over(own)})
-    shared = cut(found.where("_a != _b").select("_id", "_th", F.explode("pos").alias("pos"), "n"), "anchors")
-    groups = max(1, shared.count() // GROUP)
+    found = anchor_rows(rows, length)
+    # counted from what each task has counted; then an anchor of many rows is dealt to SALTS tasks
+    count = found.groupBy("h").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b"), F.sum(F.size("pos")).alias("n"))
+    counts = cut(count.where("_a != _b").select("h", "n"), "counts")
+    many = F.broadcast(counts.where(F.col("n") > GROUP).select("h", F.lit(True).alias("_many")))
+    salted = found.join(many, "h", "left").withColumn("_salt", F.when(F.col("_many"), F.pmod(F.xxhash64("_id", "_th"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_many")
+    dealt = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > GROUP, SALTS - 1).otherwise(0))))
+    shared = cut(salted.join(dealt, ["h", "_salt"]).select("_id", "_th", F.explode("pos").alias("pos"), "n"), "anchors")
+    expected = shared.agg(F.sum(F.when(F.col("n") > GROUP, length - ANCHOR + 1).otherwise(1))).head()[0] or 0
+    groups = max(1, expected // GROUP)
     places = shared.groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("_at"))
     joined = texts.dropDuplicates(["_id", "_th"]).join(places, ["_id", "_th"]).select("_id", "_th", "_z", "_at")
     tails = cut(suffixes(joined, length, groups), "suffixes")

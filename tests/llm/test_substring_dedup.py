@@ -60,3 +60,18 @@ def test_tree_nodes():
     assert len(set(n[0])) == 1 and len(set(n[1])) == 1
     assert n[2][0] == n[2][1] == n[2][3] != n[2][2]
     assert n[3][0] == n[3][3] != n[3][1]
+
+
+def test_no_group_holds_all_that_share_a_passage(spark, monkeypatch):
+    """Each document has other words before the passage and after it."""
+    passage = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(9)) + f" {passage} " + " ".join(f"b{i}x{k}" for k in range(9))) for i in range(400)]
+    rows += [(400, " ".join(["r"] * 60)), (401, " ".join(["r"] * 60)), (5, rows[5][1]), (5, rows[4][1])]
+    made = {}
+    cut = sd.cut
+    monkeypatch.setattr(sd, "cut", lambda df, name: made.setdefault(name, cut(df, name)))
+    monkeypatch.setattr(sd, "GROUP", 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(sd.remove_repeats(df)) == brute(rows)
+    sizes = [r["count"] for r in made["suffixes"].where("words IS NOT NULL").groupBy("grp").count().collect()]
+    assert max(sizes) <= 100
