@@ -33,6 +33,8 @@ HEAD = struct.Struct("<4sHHIQQ")
 MAGIC, VERSION, BLOCK = b"MSBP", 1, 4096
 #: A file is closed with the document that brings it to so many ids.
 FILE_IDS = 1 << 20
+#: Ids whose bits are spread out at once.
+UNPACKED = 1 << 15
 
 
 def width(vocabulary: int) -> int:
@@ -52,8 +54,12 @@ def unpack(data: bytes | memoryview | np.ndarray, n: int, bits: int) -> np.ndarr
     raw = np.frombuffer(data, np.uint8)
     if bits == 16:
         return raw[: 2 * n].view("<u2").astype(np.uint32)
-    spread = np.unpackbits(raw, count=n * bits, bitorder="little").reshape(n, bits)
-    return (spread.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    out, place = np.empty(n, np.uint32), np.uint32(1) << np.arange(bits, dtype=np.uint32)
+    for i in range(0, n, UNPACKED):  # a multiple of 8 ids starts on a whole byte
+        m = min(UNPACKED, n - i)
+        spread = np.unpackbits(raw[i * bits // 8 : -(-(i + m) * bits // 8)], count=m * bits, bitorder="little")
+        out[i : i + m] = spread.reshape(m, bits) @ place
+    return out
 
 
 def file_bytes(docs: list[np.ndarray], bits: int, block: int = BLOCK) -> bytes:

@@ -4,36 +4,59 @@ Both kinds of file that are used here split a text at each change from other cha
 merge bytes, so a text's ids are the ids of its words in turn. Words repeat; each worker keeps those it has met. A
 word that itself starts or ends with white space could share a run of it with its neighbour, and one that holds a
 special token is split elsewhere: its text is encoded whole. So the ids are the library's own for every text.
+
+That a file does split so is tried when it is opened (``splits_at_spaces``): if any of the probes comes out
+otherwise, every text is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
-#: Words kept by a worker; beyond, its cache starts anew (about 150 bytes a word).
-CACHE_WORDS = 1_500_000
+#: Words kept by a worker; from so many on, its cache starts anew (about 200 bytes a word).
+CACHE_WORDS = 1_200_000
 #: Characters that are encoded together.
-AT_ONCE = 3_000_000
+AT_ONCE = 6_000_000
+#: Words that are handed to the library as one text, a special token between them.
+JOINED = 64
+#: Words that a file must treat alike alone and beside each other.
+PROBES = "a The it's 's don't x1 12 3.5 . ... -- (b) c, d! \u00e9t\u00e9 e\u0301 \u0301f \u00df \u03a3\u03a3 \u4e2d\u6587 \u3042 \U0001f600 a\tb c\nd \u00a0e f\u00a0g _h i_ <k> 1,000 \u0661 l\u200bm".split(" ")
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned integers of ``width`` bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned integers of ``type``."""
 
     def __init__(self, path: str, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(re.escape(c.split()[0]) for c in added if c.split()) or r"(?!)")
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = re.compile("|".join(re.escape(t.content.split()[0]) for t in added.values() if t.content.split()) or r"(?!)")
+        plain = [(i, t.content) for i, t in sorted(added.items()) if t.special and not (t.single_word or t.lstrip or t.rstrip or t.normalized)]
+        self.between = plain[0] if plain else None
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.type).tobytes()
-        self.inner: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        self.forget()
+        self.by_word = self.splits_at_spaces()
+
+    def forget(self) -> None:
+        """Row of each word known (after a space, and at a text's start); by row: where its ids lie in ``table``."""
+        self.inner: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.start, self.length, self.odd = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+        self.table, self.rows, self.ids = np.zeros(4096, self.type), 0, 0
+
+    def splits_at_spaces(self) -> bool:
+        pairs = [f"{a} {b}" for a in PROBES for b in PROBES]
+        good = [w for w in PROBES if w == w.strip()]
+        alone = {b + w: x for b in ("", " ") for w, x in zip(good, self.whole([b + w for w in good]), strict=True)}
+        return all(a not in alone or f" {b}" not in alone or x == alone[a] + alone[f" {b}"] for (a, b), x in zip(((a, b) for a in PROBES for b in PROBES), self.whole(pairs), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,42 +77,69 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if not self.by_word:
+            return [x + self.end for x in self.whole(texts)]
+        if len(self.inner) + len(self.first) > CACHE_WORDS:
+            self.forget()
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         at = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         heads = [words[i] for i in which[at[:-1]]]
         which[at[:-1]] = np.arange(len(heads)) + len(words)  # a first word has no space before it
-        parts = [*self.look_up(self.inner, words, " "), *self.look_up(self.first, heads, "")]
-        odd = np.fromiter((p is None for p in parts), bool, len(parts))
-        if odd.any():
-            parts = [p or b"" for p in parts]
-        n = np.fromiter(map(len, parts), np.int64, len(parts)) // self.type.itemsize
-        table, start = np.frombuffer(b"".join(parts), self.type), np.cumsum(n) - n
-        each = n[which]
+        row = np.concatenate([self.look_up(self.inner, words, " "), self.look_up(self.first, heads, "")])[which]
+        each = self.length[row]
         ends = np.cumsum(each)
-        ids = table[np.repeat(start[which] - (ends - each), each) + np.arange(ends[-1])]
+        ids = self.table[np.repeat(self.start[row] - (ends - each), each) + np.arange(ends[-1])]
         cuts = np.concatenate([[0], ends])[at]
-        bad = np.add.reduceat(odd[which], at[:-1]) > 0
-        return [(self.whole([t])[0] if w else ids[a:b].tobytes()) + self.end for t, a, b, w in zip(texts, cuts, cuts[1:], bad.tolist(), strict=False)]
-
-    def look_up(self, cache: dict[str, bytes | None], words: list[str], before: str) -> list[bytes | None]:
-        """Ids of each word; None for one with white space at its ends or a special token."""
-        parts = list(map(cache.get, words))
-        new = [w for w, p in zip(words, parts, strict=True) if p is None and w not in cache]
-        if not new:
-            return parts
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-        good = [w for w in dict.fromkeys(new) if not w or w == w.strip() and not self.special.search(w)]
-        found = dict.fromkeys(new)
-        for i in range(0, len(good), 4096):
-            found.update(zip(good[i : i + 4096], self.whole([before + w if w else "" for w in good[i : i + 4096]]), strict=True))
-        if before:
-            found.pop("", None)  # two spaces in a row: not a word
-            found |= {"": None} if "" in new else {}
-        cache.update(found)
-        return [found[w] if p is None and w in found else p for w, p in zip(words, parts, strict=True)]
+        bad = np.add.reduceat(self.odd[row], at[:-1]) > 0
+        return [(self.whole([t])[0] if w else ids[a:b].tobytes()) + self.end for t, a, b, w in zip(texts, cuts.tolist(), cuts[1:].tolist(), bad.tolist(), strict=False)]
+
+    def look_up(self, known: dict[str, int], words: list[str], before: str) -> np.ndarray:
+        """The row of each word. One with white space at its ends or a special token is odd and has no ids."""
+        rows = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(rows < 0)):
+            met = [words[i] for i in new.tolist()]
+            self.learn(known, list(dict.fromkeys(met)), before)
+            rows[new] = np.fromiter(map(known.__getitem__, met), np.int64, len(met))
+        return rows
+
+    def learn(self, known: dict[str, int], words: list[str], before: str) -> None:
+        odd = np.fromiter((w != w.strip() or not w and before != "" for w in words), bool, len(words))
+        if self.special.search("\0".join(words)):
+            odd |= np.fromiter((bool(self.special.search(w)) for w in words), bool, len(words))
+        good = [before + w for w, o in zip(words, odd.tolist(), strict=True) if not o]
+        ids, n = self.words_ids(good)
+        size, many = self.rows + len(words), self.ids + len(ids)
+        for name, least in (("start", size), ("length", size), ("odd", size), ("table", many)):
+            held = getattr(self, name)
+            if least > len(held):
+                grown = np.zeros(max(least, 3 * len(held) // 2), held.dtype)
+                grown[: len(held)] = held
+                setattr(self, name, grown)
+        each = np.zeros(len(words), np.int64)
+        each[~odd] = n
+        self.start[self.rows : size] = self.ids + np.cumsum(each) - each
+        self.length[self.rows : size], self.odd[self.rows : size] = each, odd
+        self.table[self.ids : many] = ids
+        known.update(zip(words, range(self.rows, size), strict=True))
+        self.rows, self.ids = size, many
+
+    def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn, and how many each word has. Special tokens are cut out before anything else is done, so
+        words with one between them are encoded as if alone."""
+        if not words:
+            return np.zeros(0, self.type), np.zeros(0, np.int64)
+        if self.between:
+            mark, text = self.between
+            joined = self.tokenizer.encode_batch_fast([text.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)
+            flat = np.concatenate([np.array([*x.ids, mark], np.int64) for x in joined])
+            marks = np.flatnonzero(flat == mark)
+            if len(marks) == len(words):
+                return flat[flat != mark].astype(self.type), np.diff(marks, prepend=-1) - 1
+        each = self.whole(words)
+        n = np.fromiter(map(len, each), np.int64, len(each)) // self.type.itemsize
+        return np.frombuffer(b"".join(each), self.type), n
 
 
 _encoders: dict[tuple[str, int | None], Encoder] = {}

@@ -20,6 +20,39 @@ def test_word_cache_equals_library(path):
     assert e.encode(ODD) == e.whole(ODD)  # from the cache
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_word_cache_equals_library_on_a_table(path):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    e = Encoder(path)
+    assert e.by_word and e.between
+    want = e.whole(texts)
+    assert e.encode(texts) == want
+    e.between = None  # without a special token to put between words, they are encoded one by one
+    e.forget()
+    assert e.encode(texts[:100]) == want[:100]
+
+
+def test_a_file_that_does_not_split_at_spaces_is_not_cached(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    # "b c" is one token where no pre-tokenizer splits it
+    made = Tokenizer(models.BPE({" ": 0, "b": 1, "c": 2, "b ": 3, "b c": 4, "a": 5}, [("b", " "), ("b ", "c")]))
+    made.save(str(tmp_path / "t.json"))
+    e = Encoder(str(tmp_path / "t.json"))
+    assert e.encode(["b c b", "a"]) == e.whole(["b c b", "a"])
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(str(tmp_path / "t.json"))
+    assert Encoder(str(tmp_path / "t.json")).by_word
+
+
+def test_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr("mapsmith.llm.tokens.CACHE_WORDS", 50)
+    e, texts = Encoder(BYTE), [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    assert [e.encode([t])[0] for t in texts] == e.whole(texts)
+
+
 @pytest.mark.parametrize("bits", [1, 5, 15, 16, 17, 20])
 def test_packed_round_trip_and_random_access(bits):
     rng = np.random.default_rng(bits)
@@ -27,6 +60,8 @@ def test_packed_round_trip_and_random_access(bits):
     f = bitpack.TokenFile(bitpack.file_bytes(docs, bits, block=61))
     for k, d in enumerate(docs):
         assert (f.document(k) == d).all()
+    many = rng.integers(0, 1 << bits, 70_001)
+    assert (bitpack.unpack(bitpack.pack(many, bits), len(many), bits) == many).all()
     flat = np.concatenate(docs)
     for a, b in ((0, 0), (60, 62), (61, 122), (500, 1111)):
         assert (f.ids(a, b) == flat[a:b]).all()
