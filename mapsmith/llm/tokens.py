@@ -5,8 +5,11 @@ merge bytes, so a text's ids are the ids of its words in turn. Words repeat; eac
 word that itself starts or ends with white space could share a run of it with its neighbour, and one that holds a
 special token is split elsewhere: its text is encoded whole. So the ids are the library's own for every text.
 
-That a file does split so is tried when it is opened (``splits_at_spaces``): if any of the probes comes out
-otherwise, every text is encoded whole.
+Most of a corpus's different words are rare, and what costs is to encode them for the first time. Many differ only
+in the marks at their end or in a line feed where a space was; these are put together from parts that are known.
+
+That a file does split so is tried when it is opened (``splits_at_spaces``, ``splits_at_marks``): if any of the
+probes comes out otherwise, every text (or word) is encoded whole.
 """
 
 from __future__ import annotations
@@ -18,15 +21,27 @@ from itertools import repeat
 import numpy as np
 
 #: Words kept by a worker; from so many on, its cache starts anew (about 200 bytes a word).
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 #: Characters that are encoded together.
-AT_ONCE = 6_000_000
+AT_ONCE = 3_000_000
 #: Words that are handed to the library as one text, a special token between them.
 JOINED = 64
+#: Words that are handed over in one call.
+LEARNED = 8192
+#: Characters that part from a letter or digit before them.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Words that a file must treat alike alone and beside each other.
 PROBES = "a The it's 's don't x1 12 3.5 . ... -- (b) c, d! \u00e9t\u00e9 e\u0301 \u0301f \u00df \u03a3\u03a3 \u4e2d\u6587 \u3042 \U0001f600 a\tb c\nd \u00a0e f\u00a0g _h i_ <k> 1,000 \u0661 l\u200bm".split(" ")
 
 
+#: Letters and digits that any version of Unicode has.
+PLAIN = frozenset(chr(i) for i in range(0x250) if chr(i).isalnum())
+
+
+def strings(column) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned integers of ``type``."""
 
@@ -43,12 +58,13 @@ class Encoder:
         self.type = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.type).tobytes()
         self.forget()
-        self.by_word = self.splits_at_spaces()
+        self.by_word, self.by_part = self.splits_at_spaces(), self.splits_at_marks()
 
     def forget(self) -> None:
         """Row of each word known (after a space, and at a text's start); by row: where its ids lie in ``table``."""
         self.inner: dict[str, int] = {}
         self.first: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
         self.start, self.length, self.odd = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
         self.table, self.rows, self.ids = np.zeros(4096, self.type), 0, 0
 
@@ -58,6 +74,14 @@ class Encoder:
         alone = {b + w: x for b in ("", " ") for w, x in zip(good, self.whole([b + w for w in good]), strict=True)}
         return all(a not in alone or f" {b}" not in alone or x == alone[a] + alone[f" {b}"] for (a, b), x in zip(((a, b) for a in PROBES for b in PROBES), self.whole(pairs), strict=True))
 
+    def splits_at_marks(self) -> bool:
+        for w in ("a.", "It's,", "\u00e9t\u00c9!?", "x1$$$", "12...", "a-b)]", "\u00df\u00e8:;", "a.\nB", "a\nb", "a.\n(b),\n1", "Ab***\nCd%%%"):
+            for before in ("", " "):
+                parts = [(kind or "") + part for kind, part in self.parts(w, before)]
+                if b"".join(self.whole(parts)) != self.whole([before + w])[0]:
+                    return False
+        return all(self.whole(["q" + m])[0] == b"".join(self.whole(["q", m])) for m in MARKS)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.type).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -79,12 +103,12 @@ class Encoder:
 
         if not self.by_word:
             return [x + self.end for x in self.whole(texts)]
-        if len(self.inner) + len(self.first) > CACHE_WORDS:
+        if self.rows > CACHE_WORDS:
             self.forget()
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         at = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, which = strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
         heads = [words[i] for i in which[at[:-1]]]
         which[at[:-1]] = np.arange(len(heads)) + len(words)  # a first word has no space before it
         row = np.concatenate([self.look_up(self.inner, words, " "), self.look_up(self.first, heads, "")])[which]
@@ -105,11 +129,73 @@ class Encoder:
         return rows
 
     def learn(self, known: dict[str, int], words: list[str], before: str) -> None:
-        odd = np.fromiter((w != w.strip() or not w and before != "" for w in words), bool, len(words))
+        """New rows. A word in parts has the ids of its parts in turn, each known or learned first."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = pa.array(words, pa.large_string())
+        odd = pc.not_equal(pc.utf8_trim_whitespace(text), text)
         if self.special.search("\0".join(words)):
-            odd |= np.fromiter((bool(self.special.search(w)) for w in words), bool, len(words))
-        good = [before + w for w, o in zip(words, odd.tolist(), strict=True) if not o]
-        ids, n = self.words_ids(good)
+            odd = pc.or_(odd, pa.array([bool(self.special.search(w)) for w in words]))
+        if before:
+            odd = pc.or_(odd, pc.equal(text, ""))
+        if not self.by_part:
+            lined = tailed = pa.array(np.zeros(len(words), bool))
+        else:
+            lined = pc.and_not(pc.match_substring(text, "\n"), odd)
+            stem = pc.utf8_rtrim(text, MARKS)
+            ends = pc.is_in(pc.utf8_slice_codeunits(stem, -1), pa.array(sorted(PLAIN), pa.large_string()))
+            tailed = pc.and_not(pc.and_not(pc.and_(ends, pc.not_equal(stem, text)), odd), lined)
+        whole = strings(text.filter(pc.invert(pc.or_(pc.or_(odd, lined), tailed))))
+        named, stems = strings(text.filter(tailed)), strings(stem.filter(tailed)) if self.by_part else []
+        tails = [w[len(s) :] for w, s in zip(named, stems, strict=True)]
+        of_lines = [(w, self.parts(w, before)) for w in strings(text.filter(lined))]
+        wanted = {before: dict.fromkeys(whole), None: dict.fromkeys(tails)}
+        wanted[before].update(dict.fromkeys(s for s in stems if s not in known))
+        for w, parts in of_lines:
+            for kind, part in parts or ((before, w),):
+                wanted.setdefault(kind, {})[part] = None
+        kinds = {" ": self.inner, "": self.first, None: self.tails}
+        for kind, every in wanted.items():
+            if new := [w for w in every if w not in kinds[kind]]:
+                self.append(kinds[kind], new, *self.words_ids([(kind or "") + w for w in new]))
+        if named:
+            at = np.empty(2 * len(named), np.int64)
+            at[::2] = np.fromiter(map(known.__getitem__, stems), np.int64, len(stems))
+            at[1::2] = np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))
+            self.compose(known, named, at, np.full(len(named), 2))
+        if of_lines := [(w, parts) for w, parts in of_lines if parts]:
+            at = np.array([kinds[kind][part] for _, parts in of_lines for kind, part in parts], np.int64)
+            self.compose(known, [w for w, _ in of_lines], at, np.array([len(parts) for _, parts in of_lines]))
+        none = strings(text.filter(odd))
+        self.append(known, none, np.zeros(0, self.type), np.zeros(len(none), np.int64), odd=True)
+
+    def compose(self, known: dict[str, int], words: list[str], at: np.ndarray, n_parts: np.ndarray) -> None:
+        """Words from the ids of parts: ``n_parts`` of the rows ``at`` for each word."""
+        each = self.length[at]
+        ends = np.cumsum(each)
+        ids = self.table[np.repeat(self.start[at] - (ends - each), each) + np.arange(ends[-1])]
+        self.append(known, words, ids, np.diff(ends[np.cumsum(n_parts) - 1], prepend=0))
+
+    @staticmethod
+    def parts(w: str, before: str) -> list[tuple[str | None, str]] | None:
+        """(kind, part): lines, the line feeds between them, and marks at the end of each; None for a word that is
+        one part. A mark parts only from PLAIN."""
+        out: list[tuple[str | None, str]] = []
+        for line in w.split("\n") if "\n" in w else (w,):
+            if out:
+                out.append((None, "\n"))
+                before = ""
+            if not line or line != line.strip():
+                return None
+            stem = line.rstrip(MARKS)
+            if len(stem) < len(line) and stem and stem[-1] in PLAIN:
+                out += ((before, stem), (None, line[len(stem) :]))
+            else:
+                out.append((before, line))
+        return out if len(out) > 1 else None
+
+    def append(self, known: dict[str, int], words: list[str], ids: np.ndarray, n: np.ndarray, *, odd: bool = False) -> None:
         size, many = self.rows + len(words), self.ids + len(ids)
         for name, least in (("start", size), ("length", size), ("odd", size), ("table", many)):
             held = getattr(self, name)
@@ -117,10 +203,8 @@ class Encoder:
                 grown = np.zeros(max(least, 3 * len(held) // 2), held.dtype)
                 grown[: len(held)] = held
                 setattr(self, name, grown)
-        each = np.zeros(len(words), np.int64)
-        each[~odd] = n
-        self.start[self.rows : size] = self.ids + np.cumsum(each) - each
-        self.length[self.rows : size], self.odd[self.rows : size] = each, odd
+        self.start[self.rows : size] = self.ids + np.cumsum(n) - n
+        self.length[self.rows : size], self.odd[self.rows : size] = n, odd
         self.table[self.ids : many] = ids
         known.update(zip(words, range(self.rows, size), strict=True))
         self.rows, self.ids = size, many
@@ -130,16 +214,22 @@ class Encoder:
         words with one between them are encoded as if alone."""
         if not words:
             return np.zeros(0, self.type), np.zeros(0, np.int64)
-        if self.between:
-            mark, text = self.between
-            joined = self.tokenizer.encode_batch_fast([text.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)
-            flat = np.concatenate([np.array([*x.ids, mark], np.int64) for x in joined])
-            marks = np.flatnonzero(flat == mark)
-            if len(marks) == len(words):
-                return flat[flat != mark].astype(self.type), np.diff(marks, prepend=-1) - 1
-        each = self.whole(words)
-        n = np.fromiter(map(len, each), np.int64, len(each)) // self.type.itemsize
-        return np.frombuffer(b"".join(each), self.type), n
+        parts, counts = [], []
+        for i in range(0, len(words), LEARNED):  # the library's own results are large
+            some = words[i : i + LEARNED]
+            if self.between:
+                mark, text = self.between
+                joined = self.tokenizer.encode_batch_fast([text.join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)], add_special_tokens=False)
+                flat = np.concatenate([np.array([*x.ids, mark], np.int64) for x in joined])
+                marks = np.flatnonzero(flat == mark)
+                if len(marks) == len(some):
+                    parts.append(flat[flat != mark].astype(self.type))
+                    counts.append(np.diff(marks, prepend=-1) - 1)
+                    continue
+            each = self.whole(some)
+            parts.append(np.frombuffer(b"".join(each), self.type))
+            counts.append(np.fromiter(map(len, each), np.int64, len(each)) // self.type.itemsize)
+        return np.concatenate(parts), np.concatenate(counts)
 
 
 _encoders: dict[tuple[str, int | None], Encoder] = {}
