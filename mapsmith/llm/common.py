@@ -20,3 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else unchanged (lower() would also change other letters)."""
     return F.translate(text, UPPER, LOWER)
+
+
+def least_hashed(rows: DataFrame, n: int, *more: str) -> DataFrame:
+    """The ``n`` rows of the least hash of _id (ties by _id, then by ``more``), for a bounded sample.
+
+    What no sample of that size would reach is left out before the sort, so that tasks hand on about 2 n rows in all,
+    not n each; should that leave fewer than n, all rows are sorted."""
+    many = rows.count()
+    if many > 4 * n:
+        low = rows.where(F.xxhash64("_id") <= F.lit(2 * n * 2**64 // many - 2**63))
+        if low.limit(n).count() == n:
+            rows = low
+    return rows.orderBy(F.xxhash64("_id"), "_id", *more).limit(n)

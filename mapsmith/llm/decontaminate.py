@@ -15,6 +15,8 @@ from mapsmith.llm.common import ascii_lower, cut
 
 #: Digits, a-z (after lower-casing) and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text as it is, and any one character that is in no word.
+WORD_AS_IS, BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Up to so many distinct n-grams the set goes to every executor with the plan; beyond, windows are joined by hash.
 BROADCAST_GRAMS = 100_000
 
@@ -122,8 +124,9 @@ def n_covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step)["n"]
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
-    """Rows of ``docs`` in which windows of fewer than ``min_items`` items occur; all columns as they were."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, min_items: int = 1, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
+    """Rows of ``docs`` in which windows of fewer than ``min_items`` items occur; all columns as they were. By
+    default one window is enough to go; ``remove_spans`` keeps the rest of such documents instead."""
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **more)
     bad = found.where(F.size("_items") >= min_items).select("_key").distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_key(id_col, text_col).alias("_key"))
@@ -131,11 +134,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, min_items: int = 2,
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
-    """``docs`` with the hit words taken out of the text of the rows that have any; those texts become their
-    remaining words joined by one space (lower-cased, as they were compared)."""
+    """``docs`` with the hit words cut out of the text of the rows that have any, each with what stands between it
+    and the next word; the rest of the text stays as it was."""
     found = contamination(docs, items, id_col=id_col, text_col=text_col, **more).where(F.size("_spans") > 0).select("_key", "_spans").dropDuplicates(["_key"])
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_key(id_col, text_col).alias("_key"))
     joined, text = keyed.join(found, "_key", "left"), F.col("_row")[text_col]
-    rest = F.filter(words_of(text), lambda w, i: ~F.exists("_spans", lambda s: (i >= s["a"]) & (i < s["b"])))
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(rest, " "))
+    # a word and what follows it; the words are those of words_of, before lower-casing
+    pieces = F.regexp_extract_all(text, F.lit(f"{WORD_AS_IS}(?:{BETWEEN})*"), F.lit(0))
+    before = F.regexp_extract(text, f"^(?:{BETWEEN})*", 0)
+    rest = F.filter(pieces, lambda w, i: ~F.exists("_spans", lambda s: (i >= s["a"]) & (i < s["b"])))
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(before, F.array_join(rest, "")))
     return joined.select(*[(clean if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mapsmith.llm.common import least_hashed
+
 SAMPLE = 2_000
 #: A word of so many characters is held against the models; it is a secret from so many nats a character.
 LEAST_CHARS, LEAST_RATIO = 20, 0.5
@@ -92,9 +94,12 @@ def labelled(texts: list[str | None]) -> tuple[list[str], list[str]]:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ratio:
+    # the ids are picked first, so that only the texts of the sample move
+    ids = least_hashed(docs.select(F.col(id_col).alias("_id")).distinct(), sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t IS NOT NULL")
-    picked = rows.orderBy(F.xxhash64("_id"), "_id", "_t").limit(sample).select("_t").collect()
-    return Ratio(*labelled([r["_t"] for r in picked]))
+    picked = rows.join(F.broadcast(ids), "_id", "left_semi")  # ``sample`` ids
+    texts = picked.dropDuplicates(["_id", "_t"]).orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_t")).limit(sample).select("_t").toArrow()
+    return Ratio(*labelled(texts.column(0).to_pylist()))
 
 
 def secret_parts(word: str, ratio: Ratio, least: float) -> list[tuple[int, int]]:

@@ -72,10 +72,15 @@ def test_contamination(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", 2)  # the way of a large benchmark
     assert got() == want
     monkeypatch.undo()
-    kept = decontaminate.drop_contaminated(docs, bench).collect()
+    kept = decontaminate.drop_contaminated(docs, bench, min_items=2).collect()
     assert sorted(r["doc_id"] or -1 for r in kept) == [-1, 2, 3, 3, 4, 5, 6, 7]
+    kept = decontaminate.drop_contaminated(docs, bench).collect()  # one item is enough
+    assert sorted(r["doc_id"] for r in kept) == [2, 3, 3, 4, 7]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "_key", "_spans"}
     clean = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()}
     assert clean[1] == "x y" and clean[2] == "nothing" and clean[3] is None
+    whole = spark.createDataFrame([(1, "  «Hello», World. The quick-brown fox jumps over the lazy DOG; today: End (really).\n")], docs.schema.fieldNames()[:2])
+    assert decontaminate.remove_spans(whole, bench).collect()[0]["text"] == "  «Hello», World. End (really).\n"
     assert decontaminate.contamination(no_documents(spark), bench).count() == 0
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
 
