@@ -11,31 +11,37 @@ from mapsmith.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, rejects go."""
+    """Documents that the classifier, fitted on the labels, rejects go. A null or empty text gets the score of a
+    text without known words and stays by the same rule; repeated rows are scored each for itself."""
     score = toxicity.scorer(toxicity.train(docs, table(spark, sf_dir, "labels")))
     return docs.where(score("text") < toxicity.THRESHOLD)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of an earlier document go; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Lines of an earlier document go; n_chars, if there is such a column, follows the text. Null texts stay null,
+    rows without an id keep all lines, repeated rows are one document."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-duplicates, the one of the least id stays (once, if its row is repeated)."""
+    """Of documents linked by near-duplicates, the one of the least id stays (once, if its row is repeated). Null and
+    empty texts are linked with nothing and stay; so do rows without an id."""
     out = jaccard.join(docs)
-    kept = out.where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    gone = out.where("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two benchmark items or more go."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), min_items=2)
+    """Documents that hold a window of any benchmark item go (one item is enough: a model must not meet it). Null
+    and empty texts hold none and stay; repeated rows are judged each by its own text."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of power-of-two lengths."""
+    """What is left, in sequences of power-of-two lengths; a null or empty text is its end id alone."""
     pieces = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
