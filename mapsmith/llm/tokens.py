@@ -23,7 +23,7 @@ import numpy as np
 #: Words kept by a worker; from so many on, its cache starts anew (about 200 bytes a word).
 CACHE_WORDS = 1_000_000
 #: Characters that are encoded together.
-AT_ONCE = 3_000_000
+AT_ONCE = 7_000_000
 #: Words that are handed to the library as one text, a special token between them.
 JOINED = 64
 #: Words that are handed over in one call.
@@ -58,6 +58,7 @@ class Encoder:
         self.type = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.type).tobytes()
         self.forget()
+        self.letters, self.plain = self.letter_table()
         self.by_word, self.by_part = self.splits_at_spaces(), self.splits_at_marks()
 
     def forget(self) -> None:
@@ -74,6 +75,32 @@ class Encoder:
         alone = {b + w: x for b in ("", " ") for w, x in zip(good, self.whole([b + w for w in good]), strict=True)}
         return all(a not in alone or f" {b}" not in alone or x == alone[a] + alone[f" {b}"] for (a, b), x in zip(((a, b) for a in PROBES for b in PROBES), self.whole(pairs), strict=True))
 
+    def letter_table(self) -> tuple[dict[int, str] | None, str]:
+        """What the model gets for each plain letter (and for a space before a word), as the file's own normalizer
+        and pre-tokenizer say, and a pattern of the words made of them; None where a letter's piece is not its own
+        or trial words come out otherwise."""
+        t = self.tokenizer
+
+        def pieces(text: str) -> list[str]:
+            text = t.normalizer.normalize_str(text) if t.normalizer else text
+            return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)] if t.pre_tokenizer else [text]
+
+        table, space = {}, None
+        for c in sorted(PLAIN):
+            if c.isalpha() and len(found := pieces(c)) == 1:
+                after = pieces(f" {c}")
+                if len(after) != 1 or not after[0].endswith(found[0]) or space not in (None, after[0][: -len(found[0])]):
+                    return None, ""
+                space = after[0][: -len(found[0])]
+                table[ord(c)] = found[0]
+        if not table or any("\n" in x for x in table.values()):
+            return None, ""
+        plain = "^ ?[" + "".join(map(chr, table)) + "]+$"
+        trial = [before + w for before in ("", " ") for w in ("a", "Hello", "WORLD", "\u00e9t\u00e9", "Gr\u00f6\u00dfe", "na\u00efvet\u00e9", "xqzvkj", "".join(map(chr, table)), "internationalization") if all(ord(c) in table for c in w)]
+        found = [[x.id for x in t.model.tokenize(w.translate(table | {32: space}))] for w in trial]
+        good = [np.array(x, self.type).tobytes() for x in found] == self.whole(trial)
+        return (table | {32: space}, plain) if good else (None, "")
+
     def splits_at_marks(self) -> bool:
         for w in ("a.", "It's,", "\u00e9t\u00c9!?", "x1$$$", "12...", "a-b)]", "\u00df\u00e8:;", "a.\nB", "a\nb", "a.\n(b),\n1", "Ab***\nCd%%%"):
             for before in ("", " "):
@@ -210,8 +237,40 @@ class Encoder:
         self.rows, self.ids = size, many
 
     def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn, and how many each word has. Special tokens are cut out before anything else is done, so
-        words with one between them are encoded as if alone."""
+        """All ids in turn, and how many each word has."""
+        if not words:
+            return np.zeros(0, self.type), np.zeros(0, np.int64)
+        if self.letters:
+            return self.letters_ids(words)
+        return self.library_ids(words)
+
+    def letters_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with words of plain letters straight from the model: they are one piece each, whose text is that
+        of its letters in turn."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = pa.array(words, pa.large_string())
+        plain = pc.match_substring_regex(text, self.plain)
+        some = strings(text.filter(plain))
+        if len(some) < len(words) // 8:
+            return self.library_ids(words)
+        tokenize, flat, ends = self.tokenizer.model.tokenize, [], []
+        for piece in "\n".join(some).translate(self.letters).split("\n") if some else ():
+            flat += [t.id for t in tokenize(piece)]
+            ends.append(len(flat))
+        rest, n_rest = self.library_ids(strings(text.filter(pc.invert(plain))))
+        mask = plain.to_numpy(zero_copy_only=False)
+        n = np.empty(len(words), np.int64)
+        n[mask], n[~mask] = np.diff(np.array(ends, np.int64), prepend=0), n_rest
+        ids = np.empty(int(n.sum()), self.type)
+        of_plain = np.repeat(mask, n)
+        ids[of_plain], ids[~of_plain] = np.array(flat, self.type), rest
+        return ids, n
+
+    def library_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Special tokens are cut out before anything else is done, so words with one between them are encoded as if
+        alone."""
         if not words:
             return np.zeros(0, self.type), np.zeros(0, np.int64)
         parts, counts = [], []
