@@ -2,8 +2,11 @@
 queue over all trees, then exact reranking of the rows in the leaves it reached.
 
 The trees' hyperplanes are fitted on a bounded sample (``SAMPLE`` rows, those with the least hash of their id); every
-row is indexed. Rows and queries meet by leaf: a leaf of many rows or queries is split into parts, each compared for
-itself, and only the nearest k of each part go on.
+row is indexed. A query first visits a number of leaves that grows with the logarithm of their number, then twice as
+many, and so on, until a doubling brings in at most a fifth of its k nearest. Where vectors lie in groups, that is
+after the first rounds; among vectors without any structure it takes a large part of the leaves, as no tree can tell
+there which are near. Rows and queries meet by leaf: a leaf of many rows or queries is split into parts, each
+compared for itself, and only the nearest k of each part go on.
 
 Results in special cases: rows whose id or vector is null, whose vector is zero, holds a null or non-finite
 component or has another length than most, take no part; a query with fewer candidates than k gets all of them;
@@ -20,11 +23,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000
-TREES = 20
+from mapsmith.llm.common import cut, least_hashed
+
+SAMPLE = 50_000
+TREES = 12
 LEAF = 96
-#: Leaves that a query visits: this share of all leaves of the forest, and at least MIN_VISITS.
-VISIT_SHARE, MIN_VISITS = 0.032, 100
+#: Leaves of the first round for each doubling of their number.
+VISITS_PER_LEVEL = 4
+#: A query is settled once a round brought in at most this part of its k nearest.
+SETTLED = 0.2
 #: Rows, and queries, of a leaf that are compared at once.
 ROWS_AT_ONCE, QUERIES_AT_ONCE = 2_000, 8_000
 
@@ -117,7 +124,7 @@ class Forest:
 
 
 def matrix(column) -> np.ndarray:
-    """Of an Arrow column of equally long float lists."""
+    """Of an Arrow column of equally long lists of float or double, in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -146,66 +153,46 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(_id, _v) of the rows that take part."""
     v = F.col("_v")
     good = v.isNotNull() & F.col("_id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    found = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")).where(good)
+    kind = "array<float>" if dict(rows.dtypes)[vec_col] == "array<float>" else "array<double>"
+    found = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast(kind).alias("_v")).where(good)
     sizes = found.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return found.where(F.size("_v") == sizes[0]["n"]) if sizes else found
 
 
-def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf_size: int = LEAF) -> DataFrame:
-    """The k nearest rows found for each query: query_id, rank, vec_id, score. ``queries`` picks them by _id
-    (default: ids divisible by 100)."""
+def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf_size: int = LEAF, settled: float = SETTLED) -> DataFrame:
+    """The k nearest rows found for each query: query_id, rank, vec_id, score and leaves (that the query visited).
+    ``queries`` picks them by _id (default: ids divisible by 100)."""
     spark, valid = rows.sparkSession, usable(rows, id_col, vec_col)
     asked = F.col("_id") % 100 == 0 if queries is None else queries
     schema = "query_id long, vec_id long, score double"
-    picked = valid.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_v").toPandas()["_v"]
-    if not len(picked):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = Forest(np.stack(list(picked)).astype(np.float64), trees, leaf_size)
-    shared, visits = spark.sparkContext.broadcast(forest), max(MIN_VISITS, int(VISIT_SHARE * forest.leaves))
-
-    def visited(batches: Iterator) -> Iterator:
+    picked = least_hashed(valid, sample).select("_v").toArrow()
+    if not picked.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, leaves int")
+    shared = spark.sparkContext.broadcast(Forest(matrix(picked.column(0).combine_chunks()), trees, leaf_size))
+    leaves, kind = shared.value.leaves, valid.schema["_v"].dataType.simpleString()
+    leaf_schema = f"leaf int, _id long, _v {kind}"
+
+    def spread(part, found: list[np.ndarray]):
+        """A row of ``part`` for each leaf found for it."""
         import pyarrow as pa
 
-        for batch in batches:
-            x = matrix(batch.column(1))
-            found = [shared.value.search(q, visits) for q in x]
-            at = np.repeat(np.arange(len(x)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["leaf", "_id", "_v"])
+        at = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), part.column(0).take(at), part.column(1).take(at)], names=["leaf", "_id", "_v"])
 
     def indexed(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                leaves = shared.value.leaves_of(matrix(part.column(1)))
-                at = pa.array(np.repeat(np.arange(part.num_rows), leaves.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel().astype(np.int32)), part.column(0).take(at), part.column(1).take(at)], names=["leaf", "_id", "_v"])
-
-    def counted(visit: bool):
-        def count(batches: Iterator) -> Iterator:
-            import pyarrow as pa
+                yield spread(part, list(shared.value.leaves_of(matrix(part.column(1)))))
 
-            total = np.zeros(shared.value.leaves, np.int64)
+    def visited(first: int, stop: int):
+        def visit(batches: Iterator) -> Iterator:
             for batch in batches:
-                if batch.num_rows:
-                    x = matrix(batch.column(1))
-                    found = np.concatenate([shared.value.search(q, visits) for q in x]) if visit else shared.value.leaves_of(x).ravel()
-                    total += np.bincount(found, minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["leaf", "n"])
+                for i in range(0, batch.num_rows, 512):
+                    part = batch.slice(i, 512)
+                    yield spread(part, [np.array(shared.value.search(q, stop)[first:], np.int64) for q in matrix(part.column(1))])
 
-        return count
-
-    leaf_schema = "leaf int, _id long, _v array<double>"
-    asking = valid.where(asked)
-    # as many rows as the forest has leaves, which the sample bounds
-    held = {r["leaf"]: r["n"] for r in valid.mapInArrow(counted(False), "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    wants = {r["leaf"]: r["n"] for r in asking.mapInArrow(counted(True), "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    parts = F.broadcast(spark.createDataFrame([(leaf, -(-held[leaf] // ROWS_AT_ONCE), -(-wants[leaf] // QUERIES_AT_ONCE)) for leaf in held if leaf in wants], "leaf int, n_rows int, n_queries int"))
-    both = ["leaf", "_part", "_chunk"]
-    left = valid.mapInArrow(indexed, leaf_schema).join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("_id"), "n_rows").cast("int").alias("_part"), F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)).alias("_chunk"), "_id", "_v")
-    right = asking.mapInArrow(visited, leaf_schema).join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("_part"), F.pmod(F.xxhash64("_id"), "n_queries").cast("int").alias("_chunk"), "_id", "_v")
+        return visit
 
     def compare(mine, theirs):
         import pyarrow as pa
@@ -219,7 +206,31 @@ def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_co
         got = list(nearest_in(ids, vectors[0], b.column("_id").to_numpy(), vectors[1], k * most))
         return pa.table({"query_id": np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64), "vec_id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
 
-    near = left.groupBy(*both).cogroup(right.groupBy(*both)).applyInArrow(compare, schema)
-    once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = cut(valid.mapInArrow(indexed, leaf_schema), "forest")
+    # as many rows as the forest has leaves, which the sample bounds
+    held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    waiting = cut(valid.where(asked), "queries")
+    best, first, stop, level = None, 0, min(leaves, max(2 * trees, VISITS_PER_LEVEL * leaves.bit_length())), 0
+    both = ["leaf", "_part", "_chunk"]
+    while True:
+        visits = cut(waiting.mapInArrow(visited(first, stop), leaf_schema), "visits")
+        wants = {r["leaf"]: r["count"] for r in visits.groupBy("leaf").count().collect()}
+        parts = F.broadcast(spark.createDataFrame([(leaf, -(-held[leaf] // ROWS_AT_ONCE), -(-n // QUERIES_AT_ONCE)) for leaf, n in wants.items() if leaf in held], "leaf int, n_rows int, n_queries int"))
+        left = index.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("_id"), "n_rows").cast("int").alias("_part"), F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)).alias("_chunk"), "_id", "_v")
+        right = visits.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("_part"), F.pmod(F.xxhash64("_id"), "n_queries").cast("int").alias("_chunk"), "_id", "_v")
+        near = left.groupBy(*both).cogroup(right.groupBy(*both)).applyInArrow(compare, schema).withColumns({"level": F.lit(level), "leaves": F.lit(stop)})
+        # a pair met again is an old one; the leaves of a query are those of its last round
+        every = best.drop("rank").unionByName(near) if best else near
+        once = every.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.min("level").alias("level"), F.max("leaves").alias("leaves"))
+        ranked = once.withColumns({"rank": F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")), "leaves": F.max("leaves").over(Window.partitionBy("query_id"))})
+        best = cut(ranked.where(F.col("rank") <= k), "nearest")
+        if stop >= leaves:
+            break
+        if level:
+            new = best.groupBy("query_id").agg(F.count(F.when(F.col("level") == level, 1)).alias("new"), F.count("*").alias("n"))
+            done = new.where((F.col("new") <= settled * k) & (F.col("n") == k)).select(F.col("query_id").alias("_id"))
+            waiting = cut(waiting.join(done, "_id", "left_anti"), "queries")
+            if waiting.isEmpty():
+                break
+        first, stop, level = stop, min(2 * stop, leaves), level + 1
+    return best.select("query_id", "rank", "vec_id", "score", "leaves")

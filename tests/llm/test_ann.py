@@ -39,3 +39,38 @@ def test_recall_with_many_leaves(spark):
         d[q] = np.inf
         hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
     assert hit / 300 >= 0.9
+
+
+def recall_and_share(spark, n, groups):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(groups, 24))
+    x = (centres[rng.integers(groups, size=n)] + 0.05 * rng.normal(size=(n, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(df, leaf_size=32, trees=6).collect()
+    hit = 0
+    for q in range(0, n, 100):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+    forest = ann.Forest(x.astype(float), 6, 32)
+    leaves = {r["query_id"]: r["leaves"] for r in got}
+    return hit / (n / 10), np.mean(list(leaves.values())) / forest.leaves
+
+
+def test_a_larger_table_is_searched_in_a_smaller_part(spark):
+    small, large = (recall_and_share(spark, n, n // 50) for n in (1500, 6000))
+    assert small[0] >= 0.9 and large[0] >= 0.9
+    assert large[1] < 0.6 * small[1]
+
+
+def test_one_row(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert ann.search(df).count() == 0
+
+
+def test_ties_across_leaves(spark):
+    """More equal vectors than a leaf holds: the smaller ids come first."""
+    rows = [(i, [1.0, 1.0, 0.0]) for i in range(300)] + [(i, [float(i), 0.0, 1.0]) for i in range(300, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("_id") == 0, 10, leaf_size=16, trees=3).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(i, i, 0.0) for i in range(1, 11)]
