@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     some = F.broadcast(least_hashed(marked, sample, "_y"))  # ``sample`` rows of two numbers
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(some, "_id").where("_t IS NOT NULL")
     picked = picked.withColumn("_h", F.xxhash64("_t")).dropDuplicates(["_id", "_h", "_y"]).orderBy(F.xxhash64("_id"), "_id", "_h", "_y").limit(sample)
-    picked = cut(picked.repartition(TASKS, "_h").select("_id", "_h", "_t", "_y"), "toxicity-sample")
+    picked = cut(picked.repartition(TASKS).select("_id", "_h", "_t", "_y"), "toxicity-sample")
     sizes = {r["_y"]: r["count"] for r in picked.groupBy("_y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if found := constant(n1, n0):
