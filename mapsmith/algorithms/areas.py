@@ -12,7 +12,7 @@ from mapsmith.algorithms.base import Algorithm, Reference
 from mapsmith.functions import geometry as g
 from mapsmith.operators import features as fe
 from mapsmith.operators import spatial as sp
-from mapsmith.operators.model import GEOMETRY_TYPES
+from mapsmith.operators.model import GEOMETRY_TYPES, ord_part, ord_under
 from mapsmith.operators.points import reduce_by_selecting
 from mapsmith.plans.cutting import cut
 
@@ -81,7 +81,7 @@ def landcover(df: DataFrame, *, positive: float, negative: float, tolerance: flo
     if smoothing:
         step = step.withColumn("geom", g.call("smooth", "geom", F.array().cast("array<binary>"), F.lit(3)))
     step = fe.remove_small_holes(fe.remove_small_polygons(step, area), holes)
-    return sp.nearest_z(fe.hash_duplicates(step, "landcover"), df, reach=positive + negative + tolerance + 50)
+    return sp.nearest_z(fe.hash_duplicates(step, "landcover"), df)
 
 
 class GeneralizeLandcover(Algorithm):
@@ -159,13 +159,13 @@ class GeneralizeBuildingAreas(Algorithm):
         if "reference_key_parcels" in ref:
             built = sp.coverage(ref["reference_key_parcels"].select("fid", "geom", "_ord"), bare, "_c").where(F.col("_c") > self.parcel_coverage_threshold).drop("_c")
             parcels = sp.buffer_and_merge(built, self.parcel_buffer_distance)
-            areas = areas.unionByName(parcels.withColumn("fid", F.concat(F.lit("parcel:"), "fid")).withColumn("_ord", F.shiftleft(F.lit(1).cast("long"), 55) + F.col("_ord")))
+            areas = areas.withColumn("_ord", ord_under(0)).unionByName(parcels.withColumn("fid", F.concat(F.lit("parcel:"), "fid")).withColumn("_ord", ord_under(1)))
         areas = sp.union_parts(cut(areas, "areas"))
-        areas = cut(areas.withColumn("_ord", F.monotonically_increasing_id()).withColumn("fid", F.col("_ord").cast("string")), "areas")
+        areas = cut(areas.withColumn("_ord", F.array(F.monotonically_increasing_id())).withColumn("fid", F.col("_ord")[0].cast("string")), "areas")
         areas = landcover(areas, positive=self.positive_buffer, negative=self.negative_buffer, tolerance=self.simplification_tolerance, area=self.threshold_building_area_near, holes=self.hole_threshold, smoothing=False, join="bevel", by=[])
         if "reference_key_roads" in ref:
             areas = sp.difference(areas, ref["reference_key_roads"].withColumn("geom", g.buffer("geom", self.roads_buffer_distance)))
-        areas = cut(sp.explode_parts(sp.union_parts(areas)), "areas").withColumn("fid", F.concat_ws(":", "fid", "_ord"))
+        areas = cut(sp.explode_parts(sp.union_parts(areas)), "areas")
         near = sp.nearest_other(areas, areas.where(g.area("geom") > self.threshold_building_area_far), self.near_area_distance)
         least = F.when(F.coalesce(F.col("_dist") <= self.near_area_distance, F.lit(False)), F.lit(self.threshold_building_area_near)).otherwise(F.lit(self.threshold_building_area_far))
         kept = near.where(g.area("geom") > least).drop("_dist")
@@ -211,10 +211,10 @@ class GeneralizeBuildings(Algorithm):
 
     def _large(self, df: DataFrame, source: DataFrame) -> DataFrame:
         c = self.building_class_column
-        simple = lambda d, t: d.withColumn("geom", g.with_double("simplifytopology", "geom", t / 2))
+        simple = lambda d, t: d.withColumn("geom", g.with_double("squared", "geom", t))
         shaped = cut(simple(df, 5), "shaped")
-        thin = fe.drop_empty(fe.narrow_parts(shaped, 6)).withColumn("geom", g.buffer("geom", 3, "flat", "mitre")).withColumn("_ord", F.shiftleft(F.lit(1).cast("long"), 54) + F.col("_ord"))
-        wide = cut(shaped.unionByName(thin), "wide")
+        thin = fe.drop_empty(fe.narrow_parts(shaped, 6)).withColumn("geom", g.buffer("geom", 3, "flat", "mitre")).withColumn("_ord", ord_under(1))
+        wide = cut(shaped.withColumn("_ord", ord_under(0)).unionByName(thin), "wide")
         joined = fe.hash_old_ids(sp.dissolve(wide, by=[c]), "buildings")
         gaps = g.buffer(g.buffer("geom", 6, "flat", "mitre"), -6, "flat", "mitre")
         opened = cut(simple(joined, 7.5).withColumn("geom", gaps), "gaps")
@@ -246,48 +246,67 @@ class GeneralizeWaterAreas(Algorithm):
 
     def _execute(self, df, ref):
         clean = cut(df.withColumn("geom", g.buffer("geom", 0)), "clean")
-        fixed = None
+        segments = fixed = None
         if "reference_key" in ref:
             shore = ref["reference_key"]
-            fixed = sp.unmatched_segments(clean, shore).select("geom")
+            segments = cut(sp.unmatched_segments(clean, shore).select("geom"), "segments")
+            fixed = segments
             if self.preserve_shoreline_sections_column:
                 fixed = fixed.unionByName(shore.where(fe.is_in(self.preserve_shoreline_sections_column, self.preserve_shoreline_sections_values)).select("geom"))
-            fixed = cut(fixed, "fixed")
+            at = fixed.select(F.explode(g.vertices("geom")).alias("p")).select(F.col("p")[0].alias("x"), F.col("p")[1].alias("y")).distinct()
+            fixed = cut(at.select(g.point(F.col("x"), F.col("y")).alias("geom")), "fixed")
         wide = clean
         if self.thin_section_exaggerate_by > 0:
-            thin = fe.drop_empty(fe.narrow_parts(clean, self.thin_section_width)).where(g.area("geom") > self.thin_section_min_size)
-            if fixed is not None:
-                thin = thin.where("fid IS NOT NULL")
-            grown = thin.select("fid", g.buffer("geom", self.thin_section_exaggerate_by).alias("_g")).groupBy("fid").agg(F.collect_list("_g").alias("_t"))
-            wide = clean.join(grown, "fid", "left").withColumn("geom", F.when(F.col("_t").isNull(), F.col("geom")).otherwise(g.union(F.concat(F.array("geom"), "_t")))).drop("_t")
-        shaped = self._islands(cut(wide, "wide"))
-        keep = F.array().cast("array<binary>")
-        if fixed is not None:
-            shaped = sp.masks_of(shaped, fixed)
-            keep = F.coalesce("_masks", keep)
-        shaped = shaped.withColumn("geom", g.call("thin", "geom", keep, F.lit(self.area_simplification_tolerance))).drop("_masks")
-        shaped = cut(sp.explode_parts(fe.drop_empty(shaped)).where(g.area("geom") > self.min_area), "shaped")
-        return self._post(shaped, df, ref)
-
-    def _islands(self, df: DataFrame) -> DataFrame:
-        """Holes out, widened where thin, simplified, small ones dropped, and cut out again."""
-        holes = df.select("fid", F.posexplode(g.call("holes", "geom")).alias("_k", "geom"))
-        big = fe.exaggerate_thin(holes, self.island_min_width, self.island_min_elongation, self.island_exaggerate_by)
-        big = big.withColumn("geom", g.with_double("simplifytopology", "geom", self.island_simplification_tolerance)).where(g.area("geom") > self.island_min_area)
-        by = big.groupBy("fid").agg(F.collect_list("geom").alias("_h"))
-        full = df.withColumn("geom", g.with_double("removeholes", "geom", float("inf"))).join(by, "fid", "left")
-        return full.withColumn("geom", F.when(F.col("_h").isNull(), F.col("geom")).otherwise(g.difference("geom", "_h"))).drop("_h")
-
-    def _post(self, shaped: DataFrame, source: DataFrame, ref: dict[str, DataFrame]) -> DataFrame:
-        out = sp.smooth_keep_topology(shaped, self.smoothing_passes) if self.smoothing_passes else shaped
+            thin = sp.explode_parts(fe.drop_empty(fe.narrow_parts(clean, self.thin_section_width))).where(g.area("geom") > self.thin_section_min_size)
+            thin = cut(thin.withColumn("geom", g.buffer("geom", self.thin_section_exaggerate_by)), "thin")
+            if fixed is not None:  # not where the outline must stay
+                thin = sp.semi(thin, fixed, anti=True)
+            met = sp.sjoin(clean.select("_ord", "geom"), thin.select("geom")).groupBy(F.col("l._ord").alias("_ord")).agg(F.collect_list("r.geom").alias("_t"))
+            wide = clean.join(met, "_ord", "left").withColumn("geom", F.when(F.col("_t").isNull(), F.col("geom")).otherwise(g.union(F.concat(F.array("geom"), "_t")))).select(clean.columns)
+        return self._post(cut(self._reshaped(cut(wide, "wide"), fixed), "shaped"), df, ref, segments, fixed)
+
+    def _reshaped(self, df: DataFrame, fixed: DataFrame | None) -> DataFrame:
+        """Outlines and islands simplified, each for itself; small ones go and what is left of the islands is cut out.
+        An island may lie between several areas, and may have lakes of its own."""
+        full = df.withColumn("geom", g.with_double("removeholes", "geom", float("inf")))
+        islands = sp.union_parts(df.select("fid", "geom", "_ord")).select("fid", "_ord", F.posexplode(g.call("holes", "geom")).alias("_k", "geom"))
+        islands = sp.perforate(cut(islands.select("fid", ord_part("_k").alias("_ord"), "geom"), "islands"), full)
+        if self.island_exaggerate_by > 0:
+            islands = fe.exaggerate_thin(islands, self.island_min_width, self.island_min_elongation, self.island_exaggerate_by)
+        islands = self._simplified(islands, fixed, self.island_simplification_tolerance).where(g.area("geom") > self.island_min_area)
+        areas = fe.drop_empty(self._simplified(full, fixed, self.area_simplification_tolerance)).where(g.area("geom") > self.min_area)
+        return fe.drop_empty(fe.largest_part(sp.difference(cut(areas, "outlines"), cut(islands, "islands"))))
+
+    @staticmethod
+    def _simplified(df: DataFrame, fixed: DataFrame | None, tolerance: float) -> DataFrame:
+        none = F.array().cast("array<binary>")
+        held = df.withColumn("_masks", none) if fixed is None else sp.masks_of(df, fixed)
+        return held.withColumn("geom", g.call("thin", g.call("flat", "geom"), F.coalesce("_masks", none), F.lit(float(tolerance)))).select(df.columns)
+
+    def _post(self, shaped: DataFrame, source: DataFrame, ref: dict[str, DataFrame], segments: DataFrame | None, fixed: DataFrame | None) -> DataFrame:
+        out = sp.smooth_keep_topology(shaped, self.smoothing_passes, fixed) if self.smoothing_passes else shaped
+        out = cut(out, "smoothed")
         if "reference_key" in ref:
-            out = out.unionByName(self._shoreline(out, ref["reference_key"]), allowMissingColumns=True)
+            out = out.withColumn("_ord", ord_under(0)).unionByName(self._shoreline(out, ref["reference_key"], segments).withColumn("_ord", ord_under(1)), allowMissingColumns=True)
         return sp.nearest_z(fe.hash_duplicates(out, self.prefix), source)
 
-    def _shoreline(self, areas: DataFrame, shore: DataFrame) -> DataFrame:
-        rims = areas.select("fid", g.boundary("geom").alias("geom"), (F.shiftleft(F.lit(1).cast("long"), 57) + F.col("_ord")).alias("_ord"))
+    def _shoreline(self, areas: DataFrame, shore: DataFrame, segments: DataFrame) -> DataFrame:
+        """Outlines without what was no shoreline before, split where the old shoreline's lines ended, with the
+        attributes of the old line that each piece follows (P18)."""
+        rims = cut(sp.explode_parts(sp.difference(areas.withColumn("geom", g.boundary("geom")), segments)), "rims")
+        pieces = sp.split_lines(rims, shoreline_splitters(shore, rims))
         reach = max(self.thin_section_exaggerate_by, self.island_exaggerate_by) + 1
-        return sp.inherit_by_buffer(shore, cut(sp.explode_parts(rims), "rims"), distance=reach + self.area_simplification_tolerance)
+        return sp.inherit_by_buffer(shore, cut(pieces, "pieces"), distance=reach)
+
+
+def shoreline_splitters(old: DataFrame, new: DataFrame, most: float = 20.0) -> DataFrame:
+    """(geom): a short line across the nearest of the new lines for each end of an old one, no farther than ``most``
+    (P17)."""
+    ends = old.select(F.explode(g.dump(g.boundary("geom"))).alias("geom")).distinct().withColumn("_ord", F.array(F.monotonically_increasing_id()))
+    ends = cut(ends, "ends")
+    met = sp.sjoin(ends, new.select("_ord", "geom"), "dwithin", distance=most)
+    best = met.groupBy(F.col("l._ord").alias("_ord")).agg(F.min_by(F.struct(F.col("l.geom").alias("p"), F.col("r.geom").alias("g")), F.struct(g.distance("l.geom", "r.geom").alias("d"), F.col("r._ord").alias("o"))).alias("b"))
+    return best.select(g.call("crossing", "b.p", "b.g", F.lit(float(most))).alias("geom")).where("geom IS NOT NULL")
 
 
 class GeneralizeWaterCourseAreas(GeneralizeWaterAreas):
@@ -301,25 +320,36 @@ class GeneralizeWaterCourseAreas(GeneralizeWaterAreas):
     thin_section_exaggerate_by: float = Field(0.0, ge=0, description="how much thin sections are widened")
     prefix: ClassVar[str] = "watercourseareas"
 
-    def _post(self, shaped, source, ref):
-        lines, areas = thin_to_lines(shaped, self.line_transform_width, self.line_min_length, self.min_new_section_length)
-        areas = fe.hash_old_ids(fe.explode_and_hash(areas, self.prefix).withColumn("old_ids", F.array("fid")), self.prefix)
+    def _post(self, shaped, source, ref, segments, fixed):
+        lines, areas = thin_to_lines(shaped, self.line_transform_width, self.line_min_length, self.min_new_section_length, check=self.width_check_distance)
+        areas = cut(fe.explode_and_hash(areas, self.prefix), "areas")
         if self.smoothing_passes:
-            areas = sp.smooth_keep_topology(cut(areas, "areas"), self.smoothing_passes)
+            areas = cut(sp.smooth_keep_topology(areas, self.smoothing_passes, fixed), "areas")
+        lines = fe.hash_old_ids(lines, self.prefix)
         t = self.feature_type_column
-        out = areas.withColumn(t, F.lit(1)).unionByName(lines.withColumn(t, F.lit(2)), allowMissingColumns=True)
+        out = areas.withColumn(t, F.lit(1)).withColumn("_ord", ord_under(0)).unionByName(lines.withColumn(t, F.lit(2)).withColumn("_ord", ord_under(1)), allowMissingColumns=True)
         if "reference_key" in ref:
-            out = out.unionByName(self._shoreline(areas, ref["reference_key"]).withColumn(t, F.lit(3)), allowMissingColumns=True)
+            out = out.unionByName(self._shoreline(areas, ref["reference_key"], segments).withColumn(t, F.lit(3)).withColumn("_ord", ord_under(2)), allowMissingColumns=True)
         return sp.nearest_z(fe.hash_duplicates(out, self.prefix), source)
 
 
-def thin_to_lines(df: DataFrame, width: float, least_line: float, least_section: float) -> tuple[DataFrame, DataFrame]:
-    """Centre lines of the narrow sections, and the polygons without them."""
-    wide = df.withColumn("_w", g.buffer(g.buffer("geom", -width / 2), width / 2 + 0.1))
-    centre = wide.withColumn("_c", g.with_double("center", "geom", width / 4))
-    lines = centre.withColumn("geom", g.difference("_c", F.array("_w"))).drop("_w", "_c")
-    lines = cut(sp.explode_parts(fe.drop_empty(lines)).where(g.length("geom") > least_line).where(g.geom_type("geom") == "LineString"), "thin")
-    mask = lines.withColumn("geom", g.buffer("geom", width, "flat"))
-    rest = sp.explode_parts(sp.difference(df, mask))
-    rest = rest.where(g.length(g.with_double("center", g.with_double("removeholes", "geom", float("inf")), width / 4)) >= least_section)
-    return lines, rest
+def thin_to_lines(df: DataFrame, width: float, least_line: float, least_section: float, *, check: float = 10.0, step: float = 1.0, old_ids: str = "old_ids") -> tuple[DataFrame, DataFrame]:
+    """Centre lines of the sections narrower than ``width`` (measured every ``check`` along the centre line), with the
+    attributes of the largest polygon they meet; and the polygons without these sections (P9).
+
+    Polygons that meet are looked at together. A part that is left of a cut polygon stays if its own centre line is
+    longer than ``least_section``. The centre line comes from the outline with a vertex every ``step``."""
+    grouped = cut(sp.labels(df, sp.touching(df)), "thin-groups")
+    whole = grouped.groupBy("_comp").agg(g.union(F.collect_list("geom")).alias("_u"))
+    centre = cut(whole.withColumn("_c", g.with_double("center", "_u", step)), "centre-lines")
+    narrow = g.call("narrowplaces", g.with_double("dense", "_c", check), "_u", F.lit(float(width)))
+    masks = centre.withColumn("_n", g.with_double("largerthan", narrow, least_line)).where(~g.is_empty("_n")).select("_comp", g.buffer("_n", width, "flat").alias("_m"))
+    held = grouped.join(masks, "_comp", "left").withColumn("_d", F.when(F.col("_m").isNotNull(), g.difference("geom", F.array("_m"))))
+    changed = F.col("_d").isNotNull() & ~g.call("equal", "geom", "_d")
+    rest = held.withColumn("geom", F.when(changed, g.call("longparts", "_d", F.lit(float(least_section)), F.lit(float(step)))).otherwise(F.col("geom")))
+    rest = cut(fe.drop_empty(rest.select(*df.columns, "_comp")), "thick")
+    left = rest.groupBy("_comp").agg(F.collect_list("geom").alias("_r"))
+    over = centre.join(masks.select("_comp"), "_comp").join(left, "_comp", "left")
+    new = over.select(F.col("_comp").alias("_ord"), g.difference("_c", F.coalesce("_r", F.array().cast("array<binary>"))).alias("geom")).where(~g.is_empty("geom"))
+    lines = cut(sp.explode_parts(new).where(g.geom_type("geom") == "LineString"), "thin-lines")
+    return sp.inherit_largest(df, lines, old_ids=old_ids), rest.select(df.columns)

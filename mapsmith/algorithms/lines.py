@@ -17,6 +17,8 @@ from mapsmith.operators import features as fe
 from mapsmith.operators import network as nw
 from mapsmith.operators import points as pt
 from mapsmith.operators import spatial as sp
+from mapsmith.operators.components import components
+from mapsmith.operators.model import ord_part, ord_under
 from mapsmith.plans.cutting import cut
 
 LINES = frozenset({"LineString", "MultiLineString"})
@@ -123,6 +125,7 @@ class GeneralizeContours(Algorithm):
             own = nw.split_by_points(own, ref["reference_key"].withColumn("geom", g.call("flat", "geom")), 1.0)
         own = cut(own.withColumn("geom", g.with_double("gauss", "geom", self.gaussian_filter_strength)), "contours")
         whole = nw.contiguous(own, length="_n", dead="_dead", apart="_apart").where(F.col("_n") >= self.length_threshold).select(df.columns)
+        whole = nw.smooth_connections(whole)
         return fe.z_from_attribute(fe.hash_duplicates(whole, "contour"), self.level_attribute).select(df.columns)
 
 
@@ -146,10 +149,9 @@ class GeneralizeFences(Algorithm):
         merged = nw.merge_by_attribute(df, self.attribute_for_line_merge)
         merged = cut(merged.withColumn("fid", F.sha2(F.concat(F.lit("generalize_fences"), F.array_join("old_ids", "")), 256)).select(df.columns), "fences")
         closed = cut(nw.connect_near_ends(merged, self.gap_threshold), "closed")
-        areas = cut(nw.faces(closed), "faces")
-        within = sp.sjoin(merged.select("fid", "geom"), areas, "within").select(F.col("l.fid").alias("fid")).distinct()
-        short = merged.where(g.length("geom") < self.fence_length_threshold_in_closed_area).join(within, "fid", "left_semi").select("fid")
-        kept = merged.join(short, "fid", "left_anti")
+        areas = nw.faces(closed)
+        within = sp.sjoin(merged.where(g.length("geom") < self.fence_length_threshold_in_closed_area).select("_ord", "geom"), areas, "within").select(F.col("l._ord").alias("_ord")).distinct()
+        kept = merged.join(within, "_ord", "left_anti").select(merged.columns)
         with_mast, without = sp.split_by_points(areas, ref["reference_key"])
         small = fe.remove_large_polygons(with_mast, self.closing_fence_area_with_mast_threshold).unionByName(fe.remove_large_polygons(without, self.closing_fence_area_threshold))
         kept = cut(fe.drop_empty(sp.lines_off_polygon_edges(kept, cut(small, "small"))), "kept")
@@ -157,30 +159,62 @@ class GeneralizeFences(Algorithm):
         return sp.nearest_z(kept.withColumn("geom", g.with_double("simplify", "geom", self.simplification_tolerance)), df)
 
 
-def segments_of(df: DataFrame) -> DataFrame:
-    """(seg, _ord, fid, a, b, geom) of the segments of lines."""
-    row = df.select("_ord", "fid", F.posexplode(co.segments(g.vertices("geom"))).alias("_k", "_s"))
-    return row.select(F.concat_ws(":", "_ord", "_k").alias("seg"), "_ord", "fid", F.col("_s.a").alias("a"), F.col("_s.b").alias("b"), g.line(F.array("_s.a", "_s.b")).alias("geom"))
-
-
-def parallel_pairs(df: DataFrame, distance: float, most: float) -> DataFrame:
-    """(a, b) of seg: segments within the buffer of each other that do not touch and whose bearings differ by less
-    than ``most`` degrees, not taken round the circle (P10)."""
+def segments_of(df: DataFrame, longest: float = 0.0) -> DataFrame:
+    """(seg, _ord, fid, geom) of the segments of lines, cut to pieces of ``longest`` at most if that is positive; seg
+    is their order."""
+    geom = g.with_double("dense", "geom", longest) if longest > 0 else F.col("geom")
+    row = df.select("_ord", "fid", F.posexplode(g.call("segments", geom)).alias("_k", "geom"))
+    return row.select(ord_part("_k").alias("seg"), "_ord", "fid", "geom")
+
+
+def parallel_segments(df: DataFrame, distance: float, most: float, *, longest: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Segments with their bearing (drawn in one sense, as normalised lines are), and the pairs (a, b) of seg of which
+    b meets the flat buffer of a, not a itself, and their bearings differ by less than ``most`` degrees, not taken
+    round the circle (P10)."""
+    v = g.vertices(g.call("norm", "geom"))
+    seg = cut(segments_of(df, longest).withColumn("bearing", co.bearing(F.element_at(v, 1), F.element_at(v, -1))), "segments")
+    around = seg.select("seg", "bearing", F.col("geom").alias("line"), g.buffer(g.buffer("geom", distance, "flat"), 0.01, "square").alias("geom"))
+    met = sp.sjoin(around, seg).where("l.seg != r.seg").where(F.abs(F.col("l.bearing") - F.col("r.bearing")) < most).where(~g.call("intersects", "l.line", "r.geom"))
+    return seg, cut(met.select(F.col("l.seg").alias("a"), F.col("r.seg").alias("b")), "parallel")
+
+
+def flag_parallel(df: DataFrame, distance: float, most: float, *, longest: float = 0.0) -> DataFrame:
+    """(seg, _ord, fid, geom, bearing, parallel_with, parallel_group) of the segments that have a parallel partner;
+    groups are the components of partners (P10)."""
+    seg, met = parallel_segments(df, distance, most, longest=longest)
+    partners = met.groupBy(F.col("a").alias("seg")).agg(F.array_sort(F.collect_set("b")).alias("parallel_with"))
+    group = components(met, "a", "b").select(F.col("node").alias("seg"), F.col("component").alias("parallel_group"))
+    return seg.join(partners, "seg").join(group, "seg").select("seg", "_ord", "fid", "geom", "bearing", "parallel_with", "parallel_group")
+
+
+def areas_of_parallel_lines(df: DataFrame, distance: float, *, most: float = 10.0, longest: float = 50.0, convex: bool = False) -> DataFrame:
+    """(fid, geom, _ord, parallel_direction): hulls of segments and their partners, united by group and then by the
+    group's mean bearing rounded to tens (P11, G10)."""
+    seg, met = parallel_segments(df, distance, most, longest=longest)
+    both = met.join(seg.select(F.col("seg").alias("b"), F.col("geom").alias("_gb")), "b")
+    with_ = both.groupBy("a").agg(F.collect_list("_gb").alias("_gb")).join(seg.select(F.col("seg").alias("a"), F.col("geom").alias("_ga"), "bearing"), "a")
+    lines_ = g.call("collect", F.concat(F.array("_ga"), "_gb"))
+    hull = g.call("hull", lines_) if convex else g.with_double("concave", lines_, 0.0)
+    group = components(met, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("_group"))
+    held = cut(with_.select("a", "bearing", hull.alias("geom")).join(group, "a", "left").withColumn("_group", F.coalesce("_group", "a")), "hulls")
+    mean = held.groupBy("_group").agg(F.bround(F.avg("bearing"), -1).alias("parallel_direction"))
+    named = held.join(mean, "_group").select(F.col("a").alias("_ord"), F.concat_ws(":", F.transform("a", lambda k: k.cast("string"))).alias("fid"), "geom", "parallel_direction")
+    named = cut(named.where(g.area("geom") > 0), "hulls")
+    return sp.union_parts(named, by=["parallel_direction"])
+
+
+def polygonize_parallel(df: DataFrame, distance: float, *, most: float = 15.0, join: str = "round", hole: float = 1000.0) -> DataFrame:
+    """(fid, geom, _ord): where lines run beside each other: the hulls of what lies in a segment's flat buffer in
+    about its direction, united, small holes filled, thin spikes closed (P12)."""
     seg = cut(segments_of(df), "segments")
-    around = seg.withColumn("geom", g.buffer("geom", distance, "square"))
-    met = sp.sjoin(around.withColumn("line", F.struct("a", "b")), seg).where("l.seg != r.seg")
-    apart = ~g.call("touches", g.line(F.array("l.a", "l.b")), "r.geom")
-    return met.where(apart & (F.abs(co.bearing(F.col("l.a"), F.col("l.b")) - co.bearing(F.col("r.a"), F.col("r.b"))) < most)).select(F.col("l.seg").alias("a"), F.col("r.seg").alias("b"), F.col("l._ord").alias("_oa"), F.col("r._ord").alias("_ob"))
-
-
-def parallel_areas(df: DataFrame, distance: float, most: float) -> DataFrame:
-    """(fid, geom, _ord): united hulls of segments and their parallel partners."""
-    seg = segments_of(df)
-    met = parallel_pairs(df, distance, most).select("a", "b")
-    hull = met.join(seg.select(F.col("seg").alias("a"), F.col("geom").alias("_ga")), "a").join(seg.select(F.col("seg").alias("b"), F.col("geom").alias("_gb")), "b")
-    by = hull.groupBy("a").agg(F.first("_ga").alias("_ga"), F.collect_list("_gb").alias("_gb"))
-    out = by.select(F.col("a").alias("fid"), g.call("hull", g.call("collect", F.concat(F.array("_ga"), "_gb"))).alias("geom"), F.xxhash64("a").alias("_ord")).where(g.area("geom") > 0)
-    return sp.union_parts(cut(out, "hulls"))
+    around = seg.select("seg", F.col("geom").alias("line"), g.buffer("geom", distance, "flat", "mitre").alias("geom"))
+    met = sp.sjoin(around, seg.select("geom")).groupBy(F.col("l.seg").alias("_ord")).agg(F.first("l.line").alias("line"), F.array_sort(F.collect_set("r.geom")).alias("near"))
+    hull = g.call("besidehull", "line", "near", F.lit(float(distance)), F.lit(float(most)))
+    hulls = met.select("_ord", F.concat_ws(":", F.transform("_ord", lambda k: k.cast("string"))).alias("fid"), hull.alias("geom")).where("geom IS NOT NULL")
+    united = fe.remove_small_holes(sp.union_parts(cut(hulls, "hulls")), hole)
+    closed = sp.union_parts(cut(united.withColumn("geom", g.buffer("geom", distance / 10, join=join)), "closed"))
+    back = fe.remove_small_holes(fe.drop_empty(closed.withColumn("geom", g.buffer("geom", -distance / 10, join=join))), hole)
+    return sp.explode_parts(back)
 
 
 class GeneralizePowerLines(Algorithm):
@@ -199,25 +233,39 @@ class GeneralizePowerLines(Algorithm):
 
     def _execute(self, df, ref):
         fences, stations = ref["reference_key_fences"], ref["reference_key_substations"]
-        lone = cut(sp.semi(stations.withColumn("geom", g.buffer("geom", 5)), fences, anti=True), "stations")
+        lone = cut(sp.semi(stations.withColumn("geom", g.buffer("geom", 5)), fences, anti=True).select("_ord").join(stations, "_ord"), "stations")
         d, merging = self.distance_threshold_for_parallel_lines, fe.is_in(self.class_column, self.classes_for_merge_parallel_lines)
-        rest, side = df.where(~merging), df.where(merging)
+        rest = df
         if self.classes_for_merge_parallel_lines:
-            hulls = cut(parallel_areas(side, d, 10.0), "parallel")
-            middle = cut(sp.explode_parts(hulls.withColumn("geom", g.with_double("center", "geom", max(d / 8, 1.0)))).where(g.geom_type("geom") == "LineString"), "middle")
-            merged = sp.inherit_largest(side, middle, old_ids="old_ids", measure_by="length").dropDuplicates(["fid", "_ord"])
-            merged = fe.hash_old_ids(merged, "powerlines")
-            left = sp.difference(side, hulls.withColumn("geom", g.buffer("geom", 0.1)))
-            rest = cut(rest.unionByName(left).unionByName(merged), "powerlines")
+            merged = self._merge_parallel(df.where(merging), fences, lone)
+            rest = cut(df.where(~merging).withColumn("_ord", ord_under(0)).unionByName(merged.withColumn("_ord", ord_under(1))), "powerlines")
         if self.classes_for_higher_priority_lines:
             high = fe.is_in(self.class_column, self.classes_for_higher_priority_lines)
             first = rest.where(high)
-            low = nw.reconnect(rest.where(~high), lambda lines: sp.remove_close_segments(lines, first, d), first, tolerance=1.5 * d)
-            rest = cut(first.unionByName(low), "priority")
+            low = nw.reconnect(rest.where(~high), lambda lines: fe.explode_and_hash(sp.remove_close_segments(lines, first, d), "powerlines"), first)
+            rest = cut(first.withColumn("_ord", ord_under(0)).unionByName(low.withColumn("_ord", ord_under(1))), "priority")
         if self.simplification_tolerance > 0:
             rest = rest.withColumn("geom", g.with_double("simplify", "geom", self.simplification_tolerance))
-        kept = nw.remove_disconnected_short(sp.explode_parts(rest), self.length_threshold)
-        return sp.nearest_z(connect_to_centroids(cut(fe.hash_duplicates(kept, "powerlines"), "kept"), lone), df)
+        kept = nw.remove_disconnected_short(rest, self.length_threshold)
+        return sp.nearest_z(connect_to_centroids(cut(kept, "kept"), lone), df)
+
+    def _merge_parallel(self, side: DataFrame, fences: DataFrame, stations: DataFrame) -> DataFrame:
+        """Lines side by side become the centre line of the area that they fill, led on to the fences and stations
+        that the area reaches; what is left of them outside is led on to the centre lines."""
+        d = self.distance_threshold_for_parallel_lines
+        hulls = areas_of_parallel_lines(side, d, most=10.0, convex=True).drop("parallel_direction")
+        hulls = cut(hulls.withColumn("geom", g.with_double("removeholes", "geom", float("inf"))), "parallel")
+        named = sp.inherit_largest(side, hulls, old_ids="old_ids", measure_by="length").drop("old_ids")
+        areas = cut(fe.hash_old_ids(sp.dissolve(cut(named, "parallel"), old_ids="old_ids"), "powerlines"), "areas")
+        middle = areas.withColumn("_poly", F.col("geom")).withColumn("geom", g.with_double("center", "geom", 5.0))
+        middle = cut(sp.explode_parts(middle).where(g.geom_type("geom") == "LineString"), "middle")
+        for reference, tolerance in ((fences, 0.0), (stations, d)):
+            flagged = nw.flag_centre_connections(middle, reference, "_poly", start="_cs", end="_ce")
+            middle = cut(nw.extend_flagged(flagged, reference, F.col("_cs"), F.col("_ce"), tolerance).drop("_cs", "_ce"), "middle")
+        covered = middle.select(g.buffer("_poly", 1).alias("geom"))
+        left = nw.reconnect(side, lambda lines: fe.explode_and_hash(sp.difference(lines, covered), "powerlines"), middle)
+        both = left.withColumn("_ord", ord_under(0)).unionByName(middle.select(left.columns).withColumn("_ord", ord_under(1)))
+        return fe.explode_and_hash(cut(both, "merged"), "powerlines")
 
 
 def connect_to_centroids(lines: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -233,28 +281,30 @@ def connect_to_centroids(lines: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def rank_parallel(df: DataFrame, group: str) -> DataFrame:
-    """``df`` with _rank: where each line of a group crosses a long line through the middle, across the mean
-    direction; ties share the average rank, up to two lines are 0 and 1 in row order, null where it misses (W1)."""
-    middle = df.groupBy(group).agg(g.centroid(g.call("collect", F.collect_list("geom"))).alias("_c"), F.avg(co.mean_direction(g.vertices("geom"))).alias("_dir"), F.count("*").alias("_k"))
-    c = F.element_at(g.vertices("_c"), 1)
-    across = F.radians(F.col("_dir") + 90)
-    far = lambda s: F.array(c[0] + s * 1e5 * F.cos(across), c[1] + s * 1e5 * F.sin(across))
-    cut_line = g.line(F.array(far(-1), far(1)))
-    out = df.join(middle, group).withColumn("_x", cut_line).withColumn("_hit", g.call("intersects", "geom", "_x"))
-    d = F.when(F.col("_hit"), g.distance(g.line(F.array(g.start_of("_x"))), F.expr("ms_collect(array(geom))")))
+    """``df`` with _rank: where each line of a group crosses a line through the middle of their union, across the mean
+    direction of all its segments and twice as long as the group's extent to either side; ties share the average
+    rank, up to two lines are 0 and 1 in row order, null where it misses (W1)."""
+    whole = df.groupBy(group).agg(g.union(F.collect_list("geom")).alias("_u")).select(group, g.centroid("_u").alias("_c"), g.call("meandirection", "_u").alias("_dir"), g.call("envelope", "_u").alias("_e"))
+    c, e = F.element_at(g.vertices("_c"), 1), F.col("_e")
+    across, far = F.radians(F.col("_dir") + 90), 2 * F.hypot(e[2] - e[0], e[3] - e[1])
+    end = lambda s: F.array(c[0] + s * far * F.cos(across), c[1] + s * far * F.sin(across))
+    out = df.join(whole.withColumn("_x", g.line(F.array(end(-1), end(1)))), group).withColumn("_hit", g.call("intersects", "geom", "_x"))
+    start = g.line(F.array(g.start_of("_x")))
+    d = F.when(F.col("_hit"), g.distance(start, g.call("cross", "geom", "_x")))
     hits = F.sum(F.col("_hit").cast("int")).over(Window.partitionBy(group))
     ranked = out.withColumn("_d", d).withColumn("_hits", hits)
     order = Window.partitionBy(group, "_hit").orderBy("_d")
     ties = F.count("*").over(Window.partitionBy(group, "_hit", "_d"))
     place = F.when(F.col("_hits") <= 2, F.row_number().over(Window.partitionBy(group, "_hit").orderBy("_ord")) - 1.0).otherwise(F.rank().over(order) + (ties - 1) / 2.0)
-    return ranked.withColumn("_rank", F.when(F.col("_hit"), place)).drop("_c", "_dir", "_k", "_x", "_d", "_hits", "_hit")
+    return ranked.withColumn("_rank", F.when(F.col("_hit"), place)).select(*df.columns, "_rank")
 
 
-def outermost(df: DataFrame, group: str) -> DataFrame:
-    """The first and the last of each group by rank, and those without one."""
+def outermost(df: DataFrame, group: str, *, missed: bool) -> DataFrame:
+    """The first and the last of each group by rank (W2), and with ``missed`` those without one; _rank stays."""
     low = F.row_number().over(Window.partitionBy(group).orderBy(F.asc_nulls_last("_rank"), "_ord"))
     high = F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last("_rank"), "_ord"))
-    return df.withColumn("_lo", low).withColumn("_hi", high).where("_lo = 1 OR _hi = 1 OR _rank IS NULL").drop("_lo", "_hi", "_rank")
+    some = (F.col("_rank").isNotNull() & ((F.col("_lo") == 1) | (F.col("_hi") == 1))) | (F.col("_rank").isNull() & F.lit(missed))
+    return df.withColumn("_lo", low).withColumn("_hi", high).where(some).drop("_lo", "_hi")
 
 
 class GeneralizeRailroads(Algorithm):
@@ -269,12 +319,12 @@ class GeneralizeRailroads(Algorithm):
     def _execute(self, df, ref):
         info = cut(nw.contiguous(df, length="_n", dead="_dead", apart="_apart"), "rails")
         fan = info.where((F.col("_n") < self.fan_minimum_length) & F.col("_dead")).select(df.columns)
-        areas = parallel_areas(fan, self.fan_rail_parallel_distance, 15.0).withColumn("geom", g.buffer(g.buffer("geom", -4), 4)).where(~g.is_empty("geom"))
+        areas = polygonize_parallel(fan, self.fan_rail_parallel_distance).withColumn("geom", g.buffer(g.buffer("geom", -4), 4)).where(~g.is_empty("geom"))
         areas = cut(areas.select("geom", F.col("_ord").alias("_area")), "fans")
-        met = sp.sjoin(fan.select("_ord", "geom"), areas).groupBy(F.col("l._ord").alias("_ord")).agg(F.min("r._area").alias("_area"))
+        met = sp.sjoin(fan.select("_ord", "geom"), areas).groupBy(F.col("l._ord").alias("_ord")).agg(F.max("r._area").alias("_area"))
         held = cut(fan.join(met, "_ord"), "fan")
-        thinned = outermost(rank_parallel(held, "_area"), "_area").select(df.columns)
-        rest = cut(info.select(df.columns).join(held.select("_ord"), "_ord", "left_anti").unionByName(thinned), "thinned")
+        thinned = outermost(rank_parallel(held, "_area"), "_area", missed=False).select("fid", "geom", "_ord")
+        rest = cut(info.select(df.columns).join(held.select("_ord"), "_ord", "left_anti"), "rest")
 
         whole = nw.chains(rest).groupBy("_comp").agg(g.call("merge", g.call("collect", F.collect_list("geom"))).alias("geom"))
         tracks = cut(sp.explode_parts(whole.select(F.col("_comp").cast("string").alias("fid"), "geom", F.col("_comp").alias("_ord"))), "tracks")
@@ -286,9 +336,10 @@ class GeneralizeRailroads(Algorithm):
         size, mean = F.count("*").over(Window.partitionBy("_code")), F.avg("length").over(Window.partitionBy("_code"))
         kind = F.when(F.col("_same"), F.lit("cluster_track")).when((size == 1) | (mean > self.pack_track_maximum_length), F.lit("free_track")).otherwise(F.lit("pack_track"))
         coded = cut(coded.withColumn("_kind", kind).select("fid", "geom", "_ord", "_code", "_kind"), "coded")
-        packs = outermost(rank_parallel(coded.where("_kind = 'pack_track'"), "_code"), "_code").select("fid", "geom", "_ord", "_kind")
-        kept = packs.unionByName(coded.where("_kind != 'pack_track'").select("fid", "geom", "_ord", "_kind"))
-        kept = cut(nw.prune_to_fixpoint(kept, "_kind", "cluster_track"), "pruned")
-        met = nw.end_touches(kept, kept)
-        kept = met.where("first_intersects OR last_intersects OR _kind = 'free_track'").select("fid", "geom", "_ord")
+        packs = outermost(rank_parallel(coded.where("_kind = 'pack_track'"), "_code"), "_code", missed=True)
+        packs = packs.select("fid", "geom", "_ord", F.when(F.col("_rank").isNull(), "free_track").otherwise(F.col("_kind")).alias("_kind"))
+        typed = packs.unionByName(coded.where("_kind != 'pack_track'").select("fid", "geom", "_ord", "_kind"))
+        kept = typed.withColumn("_ord", ord_under(0)).unionByName(thinned.withColumn("_ord", ord_under(1)).withColumn("_kind", F.lit("fan_track")))
+        kept = nw.prune_to_fixpoint(kept, "_kind", "cluster_track")
+        kept = nw.end_touches(kept, kept).where("first_intersects OR last_intersects").select("fid", "geom", "_ord")
         return fe.hash_duplicates(sp.inherit_largest(df, kept, measure_by="length"), "railroads").select(df.columns)

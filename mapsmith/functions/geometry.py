@@ -15,7 +15,13 @@ _KINDS = {
     "array<double>": "Envelope Box",
     "array<array<double>>": "Vertices",
     "array<binary>": "Dump Holes Faces",
-    "binary": "FromWkt Boundary Centroid Inside Hull Fix Flat Reverse Norm Merge Line Union Collect Intersection Difference Shortest RemoveHoles Simplify SimplifyTopology Dense Concave Center Gauss SetZ At Substring Smooth Thin NearestZ Buffer",
+    "binary": "FromWkt Boundary Centroid Inside Hull Fix Flat Reverse Norm Merge Line Union Collect Intersection Difference Shortest RemoveHoles Simplify SimplifyTopology Dense Concave Center Gauss SetZ At Substring Smooth Thin Buffer",
+}
+_EDITS = {
+    "double": "MeanDirection CentreLength",
+    "boolean": "Equal",
+    "array<binary>": "Segments Split SmoothJoints",
+    "binary": "Cross Largest LargerThan Squared SimplifyKeep AddPoints Snap NarrowPlaces BesideHull Crossing LongParts WithZ",
 }
 _installed: set[str] = set()
 
@@ -26,9 +32,10 @@ def install(spark: SparkSession) -> None:
     if key in _installed or spark.conf.get("spark.mapsmith.kernels", None) == spark.sparkContext.applicationId:
         return
     spark.sql(f"ADD JAR '{JAR}'")
-    for kind, names in _KINDS.items():
-        for name in names.split():
-            spark.udf.registerJavaFunction(f"ms_{name.lower()}", f"mapsmith.Kernels${name}", kind)
+    for owner, kinds in (("Kernels", _KINDS), ("Edits", _EDITS)):
+        for kind, names in kinds.items():
+            for name in names.split():
+                spark.udf.registerJavaFunction(f"ms_{name.lower()}", f"mapsmith.{owner}${name}", kind)
     spark.conf.set("spark.mapsmith.kernels", spark.sparkContext.applicationId)
     _installed.add(key)
 

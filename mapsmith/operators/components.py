@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mapsmith.plans.cutting import cut
+from mapsmith.plans.cutting import cut, drop_cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,11 +27,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has an edge to another; component is its least reachable node.
 
-    Loops, repeated and reversed edges are allowed. Every round is written to the shared folder."""
-    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct()
-    now, seen = cut(now, "edges"), None
+    Nodes are whole numbers, or of any type with an order (then they are numbered in that order first, so that the
+    rounds move numbers). Loops, repeated and reversed edges are allowed. Every round is written to the shared folder
+    and the one before it removed."""
+    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct()
+    if isinstance(pairs.schema["u"].dataType, T.IntegralType):
+        return _rounds(cut(pairs, "edges"), max_rounds)
+    pairs = cut(pairs, "edges")
+    names = pairs.select(F.col("u").alias("name")).unionByName(pairs.select(F.col("v").alias("name"))).distinct()
+    numbers = cut(names.orderBy("name").withColumn("n", F.monotonically_increasing_id()), "nodes")  # increase with the order
+    u, v = numbers.select(F.col("name").alias("u"), F.col("n").alias("un")), numbers.select(F.col("name").alias("v"), F.col("n").alias("vn"))
+    found = _rounds(cut(pairs.join(u, "u").join(v, "v").select(F.col("un").alias("u"), F.col("vn").alias("v")), "edges"), max_rounds)
+    named = found.join(numbers.select(F.col("n").alias("node"), F.col("name").alias("_node")), "node").join(numbers.select(F.col("n").alias("component"), F.col("name").alias("_component")), "component")
+    return named.select(F.col("_node").alias("node"), F.col("_component").alias("component"))
+
+
+def _rounds(now: DataFrame, max_rounds: int) -> DataFrame:
+    seen = None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        before, now = now, cut(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        drop_cut(before)
         print_of = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
         if print_of == seen:
             break

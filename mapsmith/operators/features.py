@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mapsmith.functions import geometry as g
 from mapsmith.operators.model import GeometryTypeError, check_types
-from mapsmith.operators.spatial import explode_parts
+from mapsmith.operators.spatial import explode_parts, masks_of
 
 AREAS, LINES = {"Polygon", "MultiPolygon"}, {"LineString", "MultiLineString", "LinearRing"}
 
@@ -132,10 +132,21 @@ def polygons_to_points(df: DataFrame, least: float) -> DataFrame:
 
 
 def narrow_parts(df: DataFrame, width: float) -> DataFrame:
-    """What an opening by half of ``width`` takes away, but for slivers (P5)."""
-    from mapsmith.operators.spatial import difference
-
+    """What an opening by half of ``width`` takes away, but for slivers: a row for each row, empty if there is
+    nothing (P5)."""
     clean = df.withColumn("geom", g.buffer("geom", 0))
     opened = lambda c, d: g.buffer(g.buffer(c, -d, "flat", "mitre"), d, "flat", "mitre")
     wide = clean.withColumn("geom", opened("geom", width / 2)).where(~g.is_empty("geom"))
-    return difference(clean, wide).withColumn("geom", opened("geom", 0.1))
+    out = masks_of(clean, wide)
+    rest = F.when(F.col("_masks").isNull(), F.col("geom")).otherwise(g.difference("geom", "_masks"))
+    return out.withColumn("geom", opened(rest, 0.1)).select(df.columns)
+
+
+def largest_part(df: DataFrame) -> DataFrame:
+    """The largest part of each polygon or line."""
+    return df.withColumn("geom", g.call("largest", "geom"))
+
+
+def remove_small_parts(df: DataFrame, least: float) -> DataFrame:
+    """Parts larger than ``least``; a row without any becomes empty."""
+    return df.withColumn("geom", g.with_double("largerthan", "geom", least))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mapsmith.functions import geometry as g
 
@@ -30,6 +31,16 @@ class MissingReferenceError(Exception):
         super().__init__(message)
 
 
+def ord_under(first: int, order: Column | str = "_ord") -> Column:
+    """The order of a table that stands ``first``-th among those it is united with."""
+    return F.concat(F.array(F.lit(first).cast("long")), F.col(order) if isinstance(order, str) else order)
+
+
+def ord_part(k: Column | str, order: Column | str = "_ord") -> Column:
+    """The order of the ``k``-th part of a row: after the row's own, before the next row's."""
+    return F.concat(F.col(order) if isinstance(order, str) else order, F.array((F.col(k) if isinstance(k, str) else k).cast("long")))
+
+
 GEOMETRY_TYPES = frozenset("Point LineString LinearRing Polygon MultiPoint MultiLineString MultiPolygon GeometryCollection".split())
 #: Known systems; others count as projected if listed by the caller.
 PROJECTED, GEOGRAPHIC = frozenset({3067, 3857, 3903, 3879, 25832, 25833, 32634, 32635}), frozenset({4326, 4258})
@@ -37,7 +48,9 @@ PROJECTED, GEOGRAPHIC = frozenset({3067, 3857, 3903, 3879, 25832, 25833, 32634,
 
 @dataclass(frozen=True)
 class Features:
-    """A table with one geometry column (WKB), a string id and a row order (``ord``: what "first" means)."""
+    """A table with one geometry column (WKB), a string id and a row order (``ord``: what "first" means, a list of
+    numbers compared from the left; parts of a row and appended tables get further or leading numbers, so that orders
+    neither overflow nor meet). A single number is taken as a list of one."""
 
     df: DataFrame
     geom: str = "geom"
@@ -51,7 +64,9 @@ class Features:
         if dict(df.dtypes)[self.fid] != "string":
             df = df.withColumn(self.fid, F.col(self.fid).cast("string"))
         if self.ord not in df.columns:
-            df = df.withColumn(self.ord, F.monotonically_increasing_id())
+            df = df.withColumn(self.ord, F.array(F.monotonically_increasing_id()))
+        elif not isinstance(df.schema[self.ord].dataType, T.ArrayType):
+            df = df.withColumn(self.ord, F.array(F.col(self.ord).cast("long")))
         object.__setattr__(self, "df", df)
 
     def plain(self) -> DataFrame:
@@ -99,11 +114,11 @@ def combine(tables: list[Features]) -> Features:
         raise GeoCombineError("different geometry columns")
     if len(tables) == 1:
         return tables[0]
-    out = tables[0].df.withColumn(tables[0].ord, F.struct(F.lit(0).alias("k"), F.col(tables[0].ord).cast("long").alias("o")))
+    # tables keep their order, and rows theirs within a table
+    out = tables[0].df.withColumn(tables[0].ord, ord_under(0, tables[0].ord))
     for k, t in enumerate(tables[1:], 1):
-        out = out.unionByName(t.df.withColumn(t.ord, F.struct(F.lit(k).alias("k"), F.col(t.ord).cast("long").alias("o"))), allowMissingColumns=True)
-    # tables keep their order, and rows theirs within a table, in one long
-    return replace(tables[0], df=out.withColumn(tables[0].ord, F.shiftleft(F.col(f"{tables[0].ord}.k").cast("long"), 56) + F.col(f"{tables[0].ord}.o")))
+        out = out.unionByName(t.df.withColumnRenamed(t.ord, tables[0].ord).withColumn(tables[0].ord, ord_under(k, tables[0].ord)), allowMissingColumns=True)
+    return replace(tables[0], df=out)
 
 
 FAMILIES = {"polygon": {"Polygon", "MultiPolygon"}, "line": {"LineString", "MultiLineString", "LinearRing"}, "point": {"Point", "MultiPoint"}}
@@ -121,11 +136,6 @@ def group_by_family(tables: list[Features]) -> dict[str, Features | None]:
     return {k: combine(v) if v else None for k, v in held.items()}
 
 
-def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
-    """_ord renewed after rows were split: the old order, then ``order``."""
-    return df.withColumn("_ord", F.shiftleft(F.col("_ord"), 16) + F.row_number().over(Window.partitionBy("_ord").orderBy(*order)))
-
-
 def empty_like(df: DataFrame, extra: dict[str | None, str] | None = None) -> DataFrame:
     """Same schema and no rows, with further typed columns; a None name is skipped."""
     return add_columns(df.limit(0), extra or {})

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from mapsmith.functions import geometry as g
 from mapsmith.operators.components import components
+from mapsmith.operators.model import ord_part, ord_under
 from mapsmith.operators.points import near_pairs
-from mapsmith.operators.spatial import difference, explode_parts, inherit_first, labels, sjoin, touching
+from mapsmith.operators.spatial import by_reach, explode_parts, inherit_first, labels, sjoin, topological_points, touching
 from mapsmith.plans.cutting import cut
 
 
@@ -36,16 +37,16 @@ def connect_near_ends(lines: DataFrame, gap: float) -> DataFrame:
     met = near_pairs(lone, gap, strict=True, others=every).where("a_id != b_id")
     best = met.groupBy("a_id").agg(F.min_by(F.struct("a_x", "a_y", "b_x", "b_y", "a_fid"), F.struct("d", "b_id")).alias("p"))
     at = lambda n: F.array(F.col(f"p.{n}_x"), F.col(f"p.{n}_y"))
-    new = best.select(F.concat(F.lit("gap:"), "p.a_fid", F.lit(":"), F.col("a_id.side").cast("string")).alias("fid"), g.line(F.array(at("a"), at("b"))).alias("geom"), (F.shiftleft(F.lit(1).cast("long"), 50) + F.col("a_id._ord") * 2 + F.col("a_id.side")).alias("_ord"))
-    return lines.unionByName(new, allowMissingColumns=True)
+    new = best.select(F.concat(F.lit("gap:"), "p.a_fid", F.lit(":"), F.col("a_id.side").cast("string")).alias("fid"), g.line(F.array(at("a"), at("b"))).alias("geom"), ord_part("a_id.side", ord_under(1, ord_part("a_id.part", "a_id._ord"))).alias("_ord"))
+    return lines.withColumn("_ord", ord_under(0)).unionByName(new, allowMissingColumns=True)
 
 
 def end_touches(lines: DataFrame, others: DataFrame, distance: float = 0.0, *, itself: bool = False) -> DataFrame:
     """``lines`` with first_intersects and last_intersects: whether each end comes within ``distance`` of another
-    row (N4 to N7, N9, N10)."""
+    row of ``others`` (``itself``: of any row, as the tables differ) (N4 to N7, N9, N10)."""
     both = lines.select("_ord", F.posexplode(F.array(g.start_of("geom"), g.end_of("geom"))).alias("side", "p"))
-    at = both.select(F.concat_ws(":", "_ord", "side").alias("fid"), "_ord", "side", g.point(F.col("p")[0], F.col("p")[1]).alias("geom"))
-    met = sjoin(at, others.select("_ord", "geom"), "dwithin", distance=distance)
+    at = both.select("_ord", "side", g.point(F.col("p")[0], F.col("p")[1]).alias("geom"))
+    met = sjoin(at, others.select("geom") if itself else others.select("_ord", "geom"), "dwithin", distance=distance)
     if not itself:
         met = met.where("l._ord != r._ord")
     by = met.groupBy(F.col("l._ord").alias("_ord")).agg(F.max((F.col("l.side") == 0).cast("int")).alias("_a"), F.max((F.col("l.side") == 1).cast("int")).alias("_b"))
@@ -59,12 +60,17 @@ def check_connections(lines: DataFrame, distance: float, column: str) -> tuple[D
     return out.where(column), out.where(~F.col(column))
 
 
+def all_of(tables: list[DataFrame]) -> DataFrame:
+    """The geometries of all tables."""
+    every = tables[0].select("geom")
+    for t in tables[1:]:
+        every = every.unionByName(t.select("geom"))
+    return every
+
+
 def check_reference_connections(lines: DataFrame, distance: float, references: list[DataFrame], column: str) -> tuple[DataFrame, DataFrame]:
     """The same against reference tables."""
-    every = references[0].select("_ord", "geom")
-    for r in references[1:]:
-        every = every.unionByName(r.select("_ord", "geom"))
-    out = end_touches(lines, every, distance, itself=True).withColumn(column, F.col("first_intersects") | F.col("last_intersects")).drop("first_intersects", "last_intersects")
+    out = end_touches(lines, all_of(references), distance, itself=True).withColumn(column, F.col("first_intersects") | F.col("last_intersects")).drop("first_intersects", "last_intersects")
     return out.where(column), out.where(~F.col(column))
 
 
@@ -76,10 +82,7 @@ def dead_ends(lines: DataFrame, distance: float, column: str) -> tuple[DataFrame
 
 def free_ends_at_reference(dead: DataFrame, distance: float, references: list[DataFrame], column: str) -> DataFrame:
     """Whether the end of a dead end that no line touches comes near a reference."""
-    every = references[0].select("_ord", "geom")
-    for r in references[1:]:
-        every = every.unionByName(r.select("_ord", "geom"))
-    there = end_touches(dead.drop("first_intersects", "last_intersects"), every, distance, itself=True).select("_ord", F.col("first_intersects").alias("_f"), F.col("last_intersects").alias("_l"))
+    there = end_touches(dead.drop("first_intersects", "last_intersects"), all_of(references), distance, itself=True).select("_ord", F.col("first_intersects").alias("_f"), F.col("last_intersects").alias("_l"))
     free = F.when(F.col("first_intersects"), F.col("_l")).otherwise(F.col("_f"))
     return dead.join(there, "_ord").withColumn(column, free).drop("_f", "_l")
 
@@ -141,7 +144,7 @@ def contiguous(lines: DataFrame, reference: DataFrame | None = None, *, length:
     whole = explode_parts(size.select(F.col("_comp").cast("string").alias("fid"), "geom", "_ord", "_comp", length))
     met = end_touches(whole, whole)
     if reference is not None:
-        there = end_touches(whole, reference.select("_ord", "geom"), itself=True).select("_ord", F.col("first_intersects").alias("_f"), F.col("last_intersects").alias("_l"))
+        there = end_touches(whole, reference, itself=True).select("_ord", F.col("first_intersects").alias("_f"), F.col("last_intersects").alias("_l"))
         met = met.join(there, "_ord").withColumn("first_intersects", F.col("first_intersects") | F.col("_f")).withColumn("last_intersects", F.col("last_intersects") | F.col("_l"))
     ring = F.element_at(g.vertices("geom"), 1) == F.element_at(g.vertices("geom"), -1)
     flags = met.select("_comp", (~ring & (F.col("first_intersects") != F.col("last_intersects"))).alias(dead), (~F.col("first_intersects") & ~F.col("last_intersects")).alias(apart))
@@ -159,7 +162,7 @@ def split_by_points(lines: DataFrame, points: DataFrame, reach: float = 1.0) ->
     spans = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.struct(F.element_at(bounds, i).alias("a"), F.element_at(bounds, i + 1).alias("b")))
     piece = F.when(F.size(inner) == 0, F.col("geom")).otherwise(g.call("substring", "geom", "_s.a", "_s.b"))
     cut_up = out.withColumn("_bounds", spans).select("*", F.posexplode("_bounds").alias("_k", "_s"))
-    return cut_up.select(*[piece.alias("geom") if c == "geom" else (F.shiftleft(F.col("_ord"), 12) + F.col("_k")).alias("_ord") if c == "_ord" else F.col(c) for c in lines.columns])
+    return cut_up.select(*[piece.alias("geom") if c == "geom" else ord_part("_k").alias("_ord") if c == "_ord" else F.col(c) for c in lines.columns])
 
 
 def extend_to(line: str, target: str, at_start: Column, at_end: Column, tolerance: float = 0.0) -> Column:
@@ -189,18 +192,36 @@ def reconnect(lines: DataFrame, process: Callable[[DataFrame], DataFrame], to: D
     first = events.withColumn("_r", F.row_number().over(Window.partitionBy(F.col("e.p")[0], F.col("e.p")[1]).orderBy("_ord", "side"))).where("_r = 1")
     wanted = first.groupBy("_ord").agg(F.max((F.col("side") == 0).cast("int")).alias("_ws"), F.max((F.col("side") == 1).cast("int")).alias("_we"))
     ready = flagged.join(wanted, "_ord", "left")
-    reach = tolerance or 1000.0
-    met = sjoin(ready.where("_ws = 1 OR _we = 1").select("_ord", "geom"), to.select("geom"), "dwithin", distance=reach).groupBy(F.col("l._ord").alias("_ord")).agg(g.call("collect", F.collect_list("r.geom")).alias("_to"))
-    out = ready.join(met, "_ord", "left")
-    geom = F.when(F.col("_to").isNotNull(), extend_to("geom", "_to", F.coalesce(F.col("_ws") == 1, F.lit(False)), F.coalesce(F.col("_we") == 1, F.lit(False)), tolerance)).otherwise(F.col("geom"))
-    return out.withColumn("geom", geom).select(after.columns)
+    out = extend_flagged(ready, to, F.coalesce(F.col("_ws") == 1, F.lit(False)), F.coalesce(F.col("_we") == 1, F.lit(False)), tolerance)
+    return out.select(after.columns)
+
+
+def extend_flagged(lines: DataFrame, to: DataFrame, start: Column, end: Column, tolerance: float = 0.0) -> DataFrame:
+    """Lines led on, at the ends that the two conditions say, to the nearest row of ``to``: up to a positive
+    ``tolerance``, or else however far (S16)."""
+    ready = cut(lines.withColumns({"_ws": start.cast("int"), "_we": end.cast("int")}), "lost-ends")
+    ends = ready.where("_ws = 1 OR _we = 1").select("_ord", F.explode(F.array(F.when(F.col("_ws") == 1, F.array(g.start_of("geom"))), F.when(F.col("_we") == 1, F.array(g.end_of("geom"))))).alias("p"))
+    ends = ends.where("p IS NOT NULL").select(ord_part(F.monotonically_increasing_id()).alias("_ord"), g.line("p").alias("geom"))
+    ends = cut(ends, "ends")
+    if tolerance > 0:
+        met = sjoin(ends, to.select("geom"), "dwithin", distance=tolerance).select(F.col("l._ord").alias("_ord"), F.col("r.geom").alias("_to"))
+    else:  # the nearest one, however far
+        start = ends.agg(F.max(F.abs(g.call("envelope", "geom")[0]))).head()[0]
+        met = by_reach(ends, to, max(1.0, (start or 0.0) / 1e6)).select("_ord", F.explode("_to").alias("_to"))
+    whose = met.select(F.slice("_ord", 1, F.size("_ord") - 1).alias("_ord"), "_to")
+    out = ready.join(whose.groupBy("_ord").agg(g.call("collect", F.collect_set("_to")).alias("_to")), "_ord", "left")
+    geom = F.when(F.col("_to").isNotNull(), extend_to("geom", "_to", F.col("_ws") == 1, F.col("_we") == 1, tolerance)).otherwise(F.col("geom"))
+    return out.withColumn("geom", geom).select(lines.columns)
 
 
 def faces(lines: DataFrame) -> DataFrame:
-    """(fid, geom, _ord): the faces of each connected network, inner ones dissolved."""
+    """(fid, geom, _ord): the faces of each connected network, inner ones dissolved, each with an id of its own
+    (N21)."""
     grouped = labels(lines, touching(lines))
-    areas = grouped.groupBy("_comp").agg(g.call("faces", F.collect_list("geom")).alias("_f"))
-    return areas.select(F.col("_comp").cast("string").alias("fid"), F.explode(g.dump(g.union("_f"))).alias("geom"), F.col("_comp").alias("_ord")).withColumn("_ord", F.xxhash64("geom"))
+    areas = grouped.groupBy("_comp").agg(g.call("faces", F.array_sort(F.collect_list("geom"))).alias("_f"))
+    parts = areas.select("_comp", F.posexplode(g.dump(g.union("_f"))).alias("_k", "geom"))
+    own = parts.select(ord_part("_k", "_comp").alias("_ord"), "geom")
+    return cut(own.select(F.concat_ws(":", F.transform("_ord", lambda k: k.cast("string"))).alias("fid"), "geom", "_ord"), "faces")
 
 
 def prune_to_fixpoint(lines: DataFrame, kind: str, value: str) -> DataFrame:
@@ -216,4 +237,36 @@ def prune_to_fixpoint(lines: DataFrame, kind: str, value: str) -> DataFrame:
         n = left
 
 
-__all__ = ["difference", "endpoints", "contiguous", "chains", "merge_by_attribute"]
+def joints_of(lines: DataFrame) -> DataFrame:
+    """(_ord, geom, a, b): the places where just two rows meet, as points, and these rows."""
+    at = topological_points(lines).where("n = 2").select(F.array(F.monotonically_increasing_id()).alias("_ord"), g.point(F.col("x"), F.col("y")).alias("geom"))
+    at = cut(at, "joints")
+    met = sjoin(at, lines.select("_ord", "geom")).groupBy(F.col("l._ord").alias("_ord"), F.col("l.geom").alias("geom"))
+    return met.agg(F.min("r._ord").alias("a"), F.max("r._ord").alias("b"))
+
+
+def smooth_connections(lines: DataFrame, *, distance: float = 30.0, subdivisions: int = 10) -> DataFrame:
+    """Lines with a curve through each place where just two of them end (N15, S39). Joints of one chain of lines see
+    each other's result, in the order of their places."""
+    if distance <= 0 or subdivisions < 1:
+        raise ValueError("distance and subdivisions must be positive")
+    lines = cut(lines, "lines")
+    joints = cut(joints_of(lines), "joints")
+    grouped = labels(lines.select("_ord", "geom"), joints.where("a != b").select("a", "b"))
+    comp = grouped.select(F.col("_ord").alias("a"), "_comp")
+    v = F.element_at(g.vertices("geom"), 1)
+    places = joints.join(comp, "a").groupBy("_comp").agg(F.array_sort(F.collect_list(F.struct(v[0].alias("x"), v[1].alias("y"), "geom"))).alias("_j"))
+    chains_ = grouped.join(places, "_comp").groupBy("_comp").agg(F.array_sort(F.collect_list(F.struct("_ord", "geom"))).alias("_l"), F.first("_j").alias("_j"))
+    curved = chains_.select(F.explode(F.arrays_zip(F.col("_l._ord").alias("o"), g.call("smoothjoints", "_l.geom", "_j.geom", F.lit(float(distance)), F.lit(subdivisions)).alias("g"))).alias("r"))
+    out = lines.join(curved.select(F.col("r.o").alias("_ord"), F.col("r.g").alias("_g")), "_ord", "left")
+    return out.withColumn("geom", F.coalesce("_g", "geom")).select(lines.columns)
+
+
+def flag_centre_connections(lines: DataFrame, reference: DataFrame, polygon: str, *, around: float = 50.0, start: str = "start_connected", end: str = "end_connected") -> DataFrame:
+    """Centre lines with whether their polygon (column ``polygon``), within ``around`` of each end, meets the
+    reference (N11)."""
+    both = lines.select("_ord", F.posexplode(F.array(g.start_of("geom"), g.end_of("geom"))).alias("side", "p"), F.col(polygon).alias("_poly"))
+    near = both.select("_ord", "side", g.intersection("_poly", g.buffer(g.line(F.array("p")), around)).alias("geom")).where(~g.is_empty("geom"))
+    met = sjoin(near, reference.select("geom")).groupBy(F.col("l._ord").alias("_ord")).agg(F.max(F.col("l.side") == 0).alias("_a"), F.max(F.col("l.side") == 1).alias("_b"))
+    out = lines.join(met, "_ord", "left").withColumns({start: F.coalesce("_a", F.lit(False)), end: F.coalesce("_b", F.lit(False))})
+    return out.select(*[c for c in lines.columns if c not in (start, end)], start, end)

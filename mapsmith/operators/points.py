@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapsmith.functions import geometry as g
 from mapsmith.operators.components import components
-from mapsmith.operators.spatial import labels, union_parts, with_group_number
+from mapsmith.operators.spatial import labels, with_group_number
 from mapsmith.plans.cutting import cut
 
 
@@ -98,8 +98,9 @@ def reduce_by_selecting(df: DataFrame, reference: DataFrame | None, distance: fl
     mine = xy(df).select(F.col("fid").alias("id"), "x", "y", "_ord", rank.alias("p"), F.lit(True).alias("own"))
     theirs = mine if reference is None else xy(reference).select(F.col("fid").alias("id"), "x", "y", "_ord", (F.col(priority).cast("double") if priority else F.lit(0.0)).alias("p"), F.lit(False).alias("own"))
     met = near_pairs(mine.select("id", "x", "y", "_ord", "p"), distance, strict=True, others=theirs.select("id", "x", "y", "p")).where("a_id != b_id").select("a_id", "a__ord", "a_p", "b_id", "b_p")
-    comp = components(met.select(F.xxhash64("a_id").alias("src"), F.xxhash64("b_id").alias("dst")))
-    dealt = met.join(comp, F.xxhash64("a_id") == F.col("node")).select("component", "a_id", "a__ord", "a_p", "b_id", "b_p")
+    met = cut(met, "near")
+    comp = components(met.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    dealt = met.join(comp, F.col("a_id") == F.col("node")).select("component", "a_id", "a__ord", "a_p", "b_id", "b_p")
     ranked = priority is not None
 
     def walk(table):
@@ -129,5 +130,3 @@ def displace(df: DataFrame, threshold: float, iterations: int) -> DataFrame:
     z = F.when(F.isnan("z") | F.col("z").isNull(), F.lit(0.0)).otherwise(F.col("z"))
     return df.drop("geom").join(now.select("_ord", g.point(F.col("x"), F.col("y"), z).alias("geom")), "_ord").select(df.columns)
 
-
-__all__ = ["Iterator", "Window", "union_parts", "near_pairs", "cluster_labels", "cluster_ids", "cluster_centroids", "reduce_by_clustering", "reduce_by_selecting", "displace"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mapsmith.functions import geometry as g
 from mapsmith.operators.components import components
+from mapsmith.operators.model import ord_part, ord_under
 from mapsmith.plans.cutting import cut
 
 #: A row covers at most about so many cells a side.
@@ -59,8 +60,8 @@ def sjoin(left: DataFrame, right: DataFrame, predicate: str = "intersects", *, d
 
 def semi(left: DataFrame, right: DataFrame, predicate: str = "intersects", *, anti: bool = False, **more: object) -> DataFrame:
     """Rows of ``left`` that some (``anti``: no) row of ``right`` meets. J4, J16, J17"""
-    found = sjoin(left.select("fid", "geom"), right.select("geom"), predicate, **more).select(F.col("l.fid").alias("fid")).distinct()
-    return left.join(found, "fid", "left_anti" if anti else "left_semi")
+    found = sjoin(left.select("_ord", "geom"), right.select("geom"), predicate, **more).select(F.col("l._ord").alias("_ord")).distinct()
+    return left.join(found, "_ord", "left_anti" if anti else "left_semi").select(left.columns)
 
 
 def split_by_points(polygons: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,9 +71,9 @@ def split_by_points(polygons: DataFrame, points: DataFrame) -> tuple[DataFrame,
 
 def masks_of(left: DataFrame, masks: DataFrame, *, distance: float = 0.0) -> DataFrame:
     """``left`` with _masks: the geometries whose envelopes come within ``distance`` of its own, or null."""
-    met = pairs(left.select("fid", "_ord", "geom"), masks.select("geom"), distance=distance)
-    by = met.groupBy(F.col("l.fid").alias("fid"), F.col("l._ord").alias("_ord")).agg(F.collect_list("r.geom").alias("_masks"))
-    return left.join(by, ["fid", "_ord"], "left")
+    met = pairs(left.select("_ord", "geom"), masks.select("geom"), distance=distance)
+    by = met.groupBy(F.col("l._ord").alias("_ord")).agg(F.collect_list("r.geom").alias("_masks"))
+    return left.join(by, "_ord", "left").select(*left.columns, "_masks")
 
 
 def difference(left: DataFrame, masks: DataFrame) -> DataFrame:
@@ -109,12 +110,13 @@ def group_by_intersections(df: DataFrame, column: str) -> DataFrame:
 
 
 def with_group_number(df: DataFrame, comp: str, column: str, start: int = 1) -> DataFrame:
-    """Dense numbers of the groups in the order of their least _ord (one row a group is ranked)."""
-    firsts = df.select(comp).distinct()
-    ranked = firsts.withColumn("_bucket", F.floor(F.col(comp) / 1_000_000))
-    within = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_bucket").orderBy(comp)))
-    before = within.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbers = within.join(before, "_bucket").select(comp, (F.col("_r") + F.col("_before") + (start - 1)).alias(column))
+    """Dense numbers of the groups in the order of their least _ord: one row a group is sorted over all tasks, and
+    what each task holds is counted."""
+    firsts = df.select(comp).distinct().orderBy(comp)
+    placed = cut(firsts.withColumns({"_task": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "places")
+    counts = placed.groupBy("_task").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))  # a row for each task
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbers = placed.join(F.broadcast(before), "_task").select(comp, (F.col("_place") - F.col("_first") + F.col("_before") + start).alias(column))
     return df.join(numbers, comp, "left")
 
 
@@ -138,13 +140,13 @@ def dissolve(df: DataFrame, *, by: list[str] | None = None, old_ids: str = "old_
 def explode_parts(df: DataFrame) -> DataFrame:
     """One row for each part of a multipart geometry; ids repeat."""
     out = df.select(*[c for c in df.columns if c != "geom"], F.posexplode(g.dump("geom")).alias("_k", "geom"))
-    return out.withColumn("_ord", F.shiftleft(F.col("_ord"), 12) + F.col("_k")).select(df.columns)
+    return out.withColumn("_ord", ord_part("_k")).select(df.columns)
 
 
-def union_parts(df: DataFrame) -> DataFrame:
-    """The parts of the union of all rows, each with the attributes of its first row (G2): by component, never all
-    rows in one task."""
-    grouped = labels(df, touching(df))
+def union_parts(df: DataFrame, *, by: list[str] | None = None) -> DataFrame:
+    """The parts of the union of all rows (of equal ``by`` columns), each with the attributes of its first row (G2):
+    by component, never all rows in one task."""
+    grouped = labels(df, touching(df, by=by))
     first = grouped.groupBy("_comp").agg(F.min_by(F.struct(*[c for c in df.columns if c != "geom"]), "_ord").alias("_f"), g.union(F.collect_list("geom")).alias("geom"))
     out = first.select(*[F.col("geom") if c == "geom" else F.col(f"_f.{c}") for c in df.columns])
     return explode_parts(out)
@@ -178,37 +180,86 @@ def inherit_by_buffer(source: DataFrame, target: DataFrame, *, distance: float =
     return out.select(F.col("_s.fid").alias("fid"), *[F.col(f"_s.{c}").alias(c) for c in source.columns if c not in ("fid", "geom", "_ord")], "geom", "_ord")
 
 
-def nearest_z(target: DataFrame, source: DataFrame, *, reach: float = 1000.0, overwrite: bool = False) -> DataFrame:
-    """Every vertex with the z of the nearest source vertex (J13), of those whose rows come within ``reach``."""
-    out = masks_of(target, source, distance=reach)
-    return out.withColumn("geom", g.call("nearestz", "geom", "_masks", F.lit(overwrite))).drop("_masks").select(target.columns)
+def nearest_z(target: DataFrame, source: DataFrame, *, overwrite: bool = False) -> DataFrame:
+    """Every vertex with the z of the nearest source vertex, however far that is (J13). A row that has a z keeps all
+    its own unless ``overwrite``; without any z in the source, all rows stay as they are.
+
+    Vertices meet in grid cells. A vertex is done once the nearest in the cells around it is no farther than a cell
+    is wide; the others go on to cells four times as wide."""
+    target = cut(target, "z-targets")
+    at = lambda d: d.select("_ord", F.posexplode(g.vertices("geom")).alias("_no", "p"))
+    x, y, z = (F.col("p")[k] for k in range(3))
+    has = F.exists(g.vertices("geom"), lambda p: p[2].isNotNull() & ~F.isnan(p[2]))
+    held = at(source).where(z.isNotNull() & ~F.isnan(z)).groupBy(x.alias("x"), y.alias("y")).agg(F.min_by(z, F.struct("_ord", "_no")).alias("z"), F.min(F.struct("_ord", "_no")).alias("o"))
+    held = cut(held, "z-vertices")
+    wide = held.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"), F.count("*").alias("n")).head()
+    if not wide["n"]:
+        return target
+    open_rows = target if overwrite else target.where(~has)
+    todo = cut(at(open_rows).select(x.alias("x"), y.alias("y")).distinct(), "z-todo")
+    size = max(2.0 * ((wide["b"] - wide["a"]) * (wide["d"] - wide["c"]) / wide["n"]) ** 0.5, (wide["b"] - wide["a"] + wide["d"] - wide["c"]) / wide["n"], 1e-6)
+    found = None
+    while not todo.isEmpty():
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        around = todo.withColumns({"cx": F.explode(F.sequence(cell("x") - 1, cell("x") + 1))}).withColumn("cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
+        near = held.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "z", "o", cell("x").alias("cx"), cell("y").alias("cy"))
+        d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+        best = around.join(near, ["cx", "cy"]).withColumn("d", d).groupBy("x", "y").agg(F.min(F.struct("d", "o", "z")).alias("m"))
+        done = cut(best.where(F.col("m.d") <= size).select("x", "y", "m.z"), "z-found")
+        found = done if found is None else found.unionByName(done)
+        todo = cut(todo.join(done, ["x", "y"], "left_anti"), "z-todo")
+        size *= 4
+    if found is None:
+        return target
+    each = at(open_rows).select("_ord", "_no", x.alias("x"), y.alias("y")).join(found, ["x", "y"])
+    zs = each.groupBy("_ord").agg(F.array_sort(F.collect_list(F.struct("_no", "z"))).alias("_z"))
+    out = target.join(zs, "_ord", "left").withColumn("geom", F.when(F.col("_z").isNull(), F.col("geom")).otherwise(g.call("withz", "geom", F.col("_z.z"))))
+    return out.select(target.columns)
+
+
+def by_reach(left: DataFrame, right: DataFrame, start: float) -> DataFrame:
+    """(_ord, _to): for each row of ``left`` the rows of ``right`` that hold its nearest one, however far: those
+    within a reach that grows fourfold until some are met."""
+    todo, reach, found = left.select("_ord", "geom"), start, None
+    while True:
+        met = sjoin(todo, right.select("geom"), "dwithin", distance=reach)
+        done = cut(met.groupBy(F.col("l._ord").alias("_ord")).agg(F.collect_list("r.geom").alias("_to")), "reached")
+        found = done if found is None else found.unionByName(done)
+        todo = cut(todo.join(done, "_ord", "left_anti"), "unreached")
+        if todo.isEmpty():
+            return found
+        if found.isEmpty() and right.where(F.col("geom").isNotNull() & ~g.is_empty("geom")).isEmpty():
+            return found
+        reach *= 4
 
 
 def nearest_other(df: DataFrame, others: DataFrame, within: float) -> DataFrame:
-    """``df`` with _dist: the distance to the nearest other row of ``others``, or null beyond ``within``."""
-    met = pairs(df.select("fid", "geom"), others.select("fid", "geom"), distance=within).where("l.fid != r.fid")
-    by = met.groupBy(F.col("l.fid").alias("fid")).agg(F.min(g.distance("l.geom", "r.geom")).alias("_dist"))
-    return df.join(by.where(F.col("_dist") <= within), "fid", "left")
+    """``df`` with _dist: the distance to the nearest other row of ``others`` (another row has another _ord), or null
+    beyond ``within`` (J8)."""
+    met = pairs(df.select("_ord", "geom"), others.select("_ord", "geom"), distance=within).where("l._ord != r._ord")
+    by = met.groupBy(F.col("l._ord").alias("_ord")).agg(F.min(g.distance("l.geom", "r.geom")).alias("_dist"))
+    return df.join(by.where(F.col("_dist") <= within), "_ord", "left").select(*df.columns, "_dist")
 
 
 def coverage(base: DataFrame, overlay: DataFrame, column: str) -> DataFrame:
     """Per cent of each base polygon's area that the overlays cover, each counted for itself."""
-    met = sjoin(base.select("fid", "geom"), overlay.select("geom"))
-    by = met.groupBy(F.col("l.fid").alias("fid")).agg(F.sum(g.area(g.intersection("l.geom", "r.geom"))).alias("_c"))
-    return base.join(by, "fid", "left").withColumn(column, F.coalesce(F.try_divide(F.lit(100.0) * F.col("_c"), g.area("geom")), F.lit(0.0))).drop("_c")
+    met = sjoin(base.select("_ord", "geom"), overlay.select("geom"))
+    by = met.groupBy(F.col("l._ord").alias("_ord")).agg(F.sum(g.area(g.intersection("l.geom", "r.geom"))).alias("_c"))
+    out = base.join(by, "_ord", "left").withColumn(column, F.coalesce(F.try_divide(F.lit(100.0) * F.col("_c"), g.area("geom")), F.lit(0.0)))
+    return out.select(*[c for c in base.columns if c != column], column)
 
 
 def edge_adjacency(df: DataFrame, reference: DataFrame, distance: float, column: str) -> DataFrame:
     """The larger share of a row's inner and outer rim that lies in the reference."""
     def share(rim: Column, name: str) -> DataFrame:
-        rims = df.select("fid", rim.alias("geom")).where(~g.is_empty("geom"))
-        by = sjoin(rims, reference.select("geom")).groupBy(F.col("l.fid").alias("fid")).agg(F.sum(g.area(g.intersection("l.geom", "r.geom"))).alias("_s"))
-        return rims.join(by, "fid", "left").select("fid", F.try_divide(F.coalesce("_s", F.lit(0.0)), g.area("geom")).alias(name))
+        rims = df.select("_ord", rim.alias("geom")).where(~g.is_empty("geom"))
+        by = sjoin(rims, reference.select("geom")).groupBy(F.col("l._ord").alias("_ord")).agg(F.sum(g.area(g.intersection("l.geom", "r.geom"))).alias("_s"))
+        return rims.join(by, "_ord", "left").select("_ord", F.try_divide(F.coalesce("_s", F.lit(0.0)), g.area("geom")).alias(name))
 
     outer = share(g.difference(g.buffer("geom", distance), F.array("geom")), "_outer")
     shrunk = g.buffer("geom", -distance)
     inner = share(F.when(~g.is_empty(shrunk), g.difference("geom", F.array(shrunk))), "_inner")
-    return df.join(outer, "fid", "left").join(inner, "fid", "left").withColumn(column, F.greatest("_outer", "_inner")).drop("_outer", "_inner")
+    return df.join(outer, "_ord", "left").join(inner, "_ord", "left").withColumn(column, F.greatest("_outer", "_inner")).select(*df.columns, column)
 
 
 def buffer_and_merge(df: DataFrame, distance: float, *, join: str = "bevel") -> DataFrame:
@@ -221,7 +272,7 @@ def dissolve_layers(tables: list[DataFrame]) -> DataFrame:
     """The parts of the union of several layers, geometry only."""
     out = None
     for k, t in enumerate(tables):
-        t = t.select(F.concat(F.lit(f"{k}:"), "fid").alias("fid"), g.buffer("geom", 0).alias("geom"), (F.shiftleft(F.lit(k).cast("long"), 56) + F.col("_ord")).alias("_ord"))
+        t = t.select(F.concat(F.lit(f"{k}:"), "fid").alias("fid"), g.buffer("geom", 0).alias("geom"), ord_under(k).alias("_ord"))
         out = t if out is None else out.unionByName(t)
     return union_parts(out)
 
@@ -254,14 +305,30 @@ def along_references(lines: DataFrame, reference: DataFrame, distance: float = 2
 
 
 def topological_points(df: DataFrame) -> DataFrame:
-    """(x, y) of the vertices that two rows or more meet."""
+    """(x, y, n) of the vertices that n rows meet, two or more."""
     at = df.select(F.explode(g.vertices("geom")).alias("p")).select(F.col("p")[0].alias("x"), F.col("p")[1].alias("y")).distinct()
     met = sjoin(at.withColumn("geom", g.point(F.col("x"), F.col("y"))), df.select("_ord", "geom"))
-    return met.groupBy(F.col("l.x").alias("x"), F.col("l.y").alias("y")).agg(F.countDistinct("r._ord").alias("n")).where("n > 1").select("x", "y")
+    return met.groupBy(F.col("l.x").alias("x"), F.col("l.y").alias("y")).agg(F.countDistinct("r._ord").alias("n")).where("n > 1").select("x", "y", "n")
 
 
-def smooth_keep_topology(df: DataFrame, iterations: int = 3) -> DataFrame:
-    """Corner cutting that leaves shared vertices where they are."""
+def smooth_keep_topology(df: DataFrame, iterations: int = 3, also: DataFrame | None = None) -> DataFrame:
+    """Corner cutting that leaves shared vertices, and those of ``also``, where they are."""
     fixed = topological_points(df).withColumn("geom", g.point(F.col("x"), F.col("y"))).select("geom")
-    out = masks_of(df, fixed)
+    out = masks_of(df, fixed if also is None else fixed.unionByName(also.select("geom")))
     return out.withColumn("geom", g.call("smooth", "geom", F.coalesce("_masks", F.array().cast("array<binary>")), F.lit(iterations))).drop("_masks").select(df.columns)
+
+
+def perforate(polygons: DataFrame, exteriors: DataFrame) -> DataFrame:
+    """Each polygon without the exteriors of the rows that lie within it."""
+    outlines = exteriors.select(g.with_double("removeholes", "geom", float("inf")).alias("geom"))
+    met = sjoin(outlines, polygons.select("_ord", "geom"), "within").groupBy(F.col("r._ord").alias("_ord")).agg(F.collect_list("l.geom").alias("_in"))
+    out = polygons.join(met, "_ord", "left").withColumn("geom", F.when(F.col("_in").isNull(), F.col("geom")).otherwise(g.difference("geom", "_in")))
+    return out.select(polygons.columns)
+
+
+def split_lines(lines: DataFrame, splitters: DataFrame) -> DataFrame:
+    """Lines and rings cut where they meet a splitter; a ring that is met once stays whole (S31). ids repeat."""
+    met = sjoin(lines.select("_ord", "geom"), splitters.select("geom")).groupBy(F.col("l._ord").alias("_ord")).agg(g.call("collect", F.collect_list("r.geom")).alias("_by"))
+    out = lines.join(met, "_ord", "left").select(*lines.columns, "_by")
+    pieces = out.select(*[c for c in lines.columns if c != "geom"], F.posexplode(g.call("split", "geom", "_by")).alias("_k", "geom"))
+    return pieces.withColumn("_ord", ord_part("_k")).select(lines.columns)

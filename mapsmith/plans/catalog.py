@@ -160,7 +160,7 @@ def self_meet(spark, sf_dir):
 
 @query("J4_split_by_points", f"WITH {duck('rects', 'pts')} SELECT fid, EXISTS (SELECT 1 FROM pts p WHERE p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1) held FROM rects")
 def split_points(spark, sf_dir):
-    a, b = sp.split_by_points(features(spark, sf_dir, "rects").select("fid", "geom"), features(spark, sf_dir, "pts").select("fid", "geom"))
+    a, b = sp.split_by_points(features(spark, sf_dir, "rects").select("fid", "geom", "_ord"), features(spark, sf_dir, "pts").select("fid", "geom"))
     return a.select("fid", F.lit(True).alias("held")).unionByName(b.select("fid", F.lit(False).alias("held")))
 
 
@@ -174,7 +174,7 @@ def first_met(spark, sf_dir):
 SELECT t, arg_min(fid, -s * 1000000 + k) fid, arg_min(cls, -s * 1000000 + k) cls, string_agg(fid, ',' ORDER BY s DESC, k) ids FROM m GROUP BY t""")
 def largest_met(spark, sf_dir):
     out = sp.inherit_largest(features(spark, sf_dir, "rects").select("fid", "cls", "geom", "_ord"), features(spark, sf_dir, "masks").select("fid", "geom", "_ord"), old_ids="old_ids")
-    return out.select(F.col("_ord").alias("t"), "fid", "cls", F.array_join("old_ids", ",").alias("ids"))
+    return out.select(F.col("_ord")[0].alias("t"), "fid", "cls", F.array_join("old_ids", ",").alias("ids"))
 
 
 @query("J11_intersection", f"WITH {duck('rects', 'masks')} SELECT a.fid, count(*) n, CAST(sum({OVERLAP}) AS DOUBLE) area FROM rects a JOIN masks b ON {OVERLAP} > 0 GROUP BY a.fid")
@@ -208,7 +208,7 @@ def remove(spark, sf_dir):
 
 @query("P7_coverage", f"WITH {duck('rects', 'masks')} SELECT a.fid, round(100.0 * coalesce(sum({OVERLAP}), 0) / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) pct FROM masks a LEFT JOIN rects b ON {OVERLAP} > 0 GROUP BY a.fid, a.x0, a.x1, a.y0, a.y1")
 def covered(spark, sf_dir):
-    return sp.coverage(features(spark, sf_dir, "masks").select("fid", "geom"), features(spark, sf_dir, "rects").select("fid", "geom"), "pct").select("fid", F.round("pct", 6).alias("pct"))
+    return sp.coverage(features(spark, sf_dir, "masks").select("fid", "geom", "_ord"), features(spark, sf_dir, "rects").select("fid", "geom"), "pct").select("fid", F.round("pct", 6).alias("pct"))
 
 
 @query("J16_within_distance", f"WITH {duck('pts', 'edges')} SELECT DISTINCT p.fid FROM pts p JOIN edges e ON p.x BETWEEN e.ax - 1 AND e.bx + 1 AND p.y BETWEEN e.ay - 1 AND e.by_ + 1 AND power(greatest(0, e.ax - p.x, p.x - e.bx), 2) + power(greatest(0, e.ay - p.y, p.y - e.by_), 2) <= 1")
@@ -378,7 +378,7 @@ def clusters(spark, sf_dir):
 @query("N22_split_by_points", f"""WITH {duck("edges", "pts")}, c AS (SELECT e.k, count(*) n FROM (SELECT DISTINCT e.k, p.x, p.y FROM edges_wide e JOIN pts p ON p.y = e.ay AND p.x > e.ax AND p.x < e.bx) e GROUP BY e.k), t AS (SELECT count(*) n FROM edges_wide)
 SELECT t.n + coalesce((SELECT sum(n) FROM c), 0) pieces, CAST(t.n * 8 AS DOUBLE) n FROM t""".replace("c AS (SELECT e.k", "edges_wide AS (SELECT k, ax * 8 ax, ay, bx * 8 bx FROM edges_right), c AS (SELECT e.k"))
 def pieces(spark, sf_dir):
-    e = view(spark, sf_dir, "edges_right").withColumn("_ord", F.col("k").cast("long"))
+    e = view(spark, sf_dir, "edges_right").withColumn("_ord", F.array(F.col("k").cast("long")))
     g.install(spark)
     at = lambda x: F.array((F.col(x) * 8).cast("double"), F.col("ay").cast("double"))
     wide = e.select("fid", "_ord", g.line(F.array(at("ax"), at("bx"))).alias("geom"))
@@ -391,7 +391,7 @@ def ranked(spark, sf_dir):
     p = view(spark, sf_dir, "pts")
     g.install(spark)
     y = F.col("y") + F.col("k") / 1e6
-    rows = p.select("fid", "cls", "k", F.col("k").cast("long").alias("_ord"), g.line(F.array(F.array(F.lit(-2000.0), y), F.array(F.lit(2000.0), y))).alias("geom"))
+    rows = p.select("fid", "cls", "k", F.array(F.col("k").cast("long")).alias("_ord"), g.line(F.array(F.array(F.lit(-2000.0), y), F.array(F.lit(2000.0), y))).alias("geom"))
     out = lines.rank_parallel(rows, "cls")
     n = F.count("*").over(__import__("pyspark").sql.Window.partitionBy("cls"))
     # the crossing line may run either way

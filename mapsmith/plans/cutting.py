@@ -33,3 +33,14 @@ def cut(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
     finally:
         spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Removes the table that ``cut`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    jvm = spark.sparkContext._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getParent() == jvm.org.apache.hadoop.fs.Path(folder) or at.getParent().toUri().getPath() == jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath():
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

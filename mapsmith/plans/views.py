@@ -64,7 +64,7 @@ def _aliased(column: str) -> str:
 def features(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view with geom and _ord (its key)."""
     g.install(spark)
-    df = view(spark, sf_dir, name).withColumn("_ord", F.col("k").cast("long"))
+    df = view(spark, sf_dir, name).withColumn("_ord", F.array(F.col("k").cast("long")))
     if name == "pts":
         return df.withColumn("geom", g.point(F.col("x"), F.col("y")))
     if name.startswith("edges"):

@@ -98,9 +98,9 @@ def read_layer(spark: SparkSession, path: str, layer: str | None = None, unique_
     geom, srs = known[layer]
     own = next((f for f in df.columns if f in ("fid", "ogc_fid", "id") and dict(df.dtypes)[f] == "bigint"), None)
     order = F.col(own) if own else F.monotonically_increasing_id()
-    df = df.withColumn("_ord", order.cast("long"))
+    df = df.withColumn("_ord", F.array(order.cast("long")))
     if unique_id_column is None:
-        return Features(df.withColumn("fid", (F.col("_ord") - (1 if own else 0)).cast("string")), geom, "fid", srs)
+        return Features(df.withColumn("fid", (F.col("_ord")[0] - (1 if own else 0)).cast("string")), geom, "fid", srs)
     return Features(df.withColumn(unique_id_column, F.col(unique_id_column).cast("string")), geom, unique_id_column, srs)
 
 

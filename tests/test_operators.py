@@ -14,8 +14,8 @@ from mapsmith.operators.model import Features, GeoCombineError, GeometryTypeErro
 
 def table(spark, *wkts, **columns):
     g.install(spark)
-    rows = [(str(i), i, w, *(c[i] for c in columns.values())) for i, w in enumerate(wkts)]
-    df = spark.createDataFrame(rows, "fid string, _ord long, w string" + "".join(f", {c} {'long' if isinstance(v[0], int) else 'double' if isinstance(v[0], float) else 'string'}" for c, v in columns.items()))
+    rows = [(str(i), [i], w, *(c[i] for c in columns.values())) for i, w in enumerate(wkts)]
+    df = spark.createDataFrame(rows, "fid string, _ord array<long>, w string" + "".join(f", {c} {'long' if isinstance(v[0], int) else 'double' if isinstance(v[0], float) else 'string'}" for c, v in columns.items()))
     return df.withColumn("geom", g.from_wkt("w")).drop("w")
 
 
