@@ -119,14 +119,20 @@ class GeneralizeConservationAreas(Algorithm):
 
     def _execute(self, df, ref):
         ratio = cut(sp.edge_adjacency(df, ref["reference_key"], 20.0, "_ratio"), "adjacency")
-        coastal = F.coalesce(F.col("_ratio") > 0.5, F.lit(False))
+        near_water, other = fe.split_by_ratio(ratio, "_ratio")
         more = {"tolerance": self.simplification_tolerance, "area": self.area_threshold, "holes": self.hole_threshold, "smoothing": self.smoothing, "join": "bevel", "by": sorted(self.group_by)}
-        beside = landcover(ratio.where(coastal).drop("_ratio"), positive=self.positive_buffer_coastal_areas, negative=self.negative_buffer_coastal_areas, **more)
-        inland = landcover(ratio.where(~coastal).drop("_ratio"), positive=self.positive_buffer_inland_areas, negative=self.negative_buffer_inland_areas, **more)
+        beside = landcover(near_water.drop("_ratio"), positive=self.positive_buffer_coastal_areas, negative=self.negative_buffer_coastal_areas, **more)
+        inland = landcover(other.drop("_ratio"), positive=self.positive_buffer_inland_areas, negative=self.negative_buffer_inland_areas, **more)
         both = cut(beside.unionByName(inland), "both")
         return fe.hash_old_ids(sp.dissolve(both, by=sorted(self.group_by)), "landcover")
 
 
+def urban_areas(df: DataFrame, growth: float, erosion: float, *, join: str = "round") -> DataFrame:
+    """Buildings grown, united and eroded again, in single parts (K4)."""
+    grown = sp.union_parts(cut(df.withColumn("geom", g.buffer("geom", growth, join=join)), "grown"))
+    return fe.drop_empty(sp.explode_parts(fe.drop_empty(grown.withColumn("geom", g.buffer("geom", -erosion, join=join)))))
+
+
 class GeneralizeBuildingAreas(Algorithm):
     """A2"""
 
@@ -154,8 +160,8 @@ class GeneralizeBuildingAreas(Algorithm):
     def _execute(self, df, ref):
         own = fe.exclude_large_of_class(df, self.building_filter_column, self.classes_for_filtering, self.building_size_filter_threshold)
         bare = cut(own.select("fid", "geom", "_ord").withColumn("geom", g.with_double("simplifytopology", "geom", self.buildings_simplify_tolerance)), "buildings")
-        areas = sp.union_parts(bare.withColumn("geom", g.buffer("geom", self.boffet_area_buffer)))
-        areas = fe.drop_empty(areas.withColumn("geom", g.with_double("simplifytopology", g.buffer("geom", -self.boffet_area_erosion), 1.0)))
+        areas = urban_areas(bare, self.boffet_area_buffer, self.boffet_area_erosion)
+        areas = areas.withColumn("geom", g.with_double("simplifytopology", "geom", 1.0))
         if "reference_key_parcels" in ref:
             built = sp.coverage(ref["reference_key_parcels"].select("fid", "geom", "_ord"), bare, "_c").where(F.col("_c") > self.parcel_coverage_threshold).drop("_c")
             parcels = sp.buffer_and_merge(built, self.parcel_buffer_distance)

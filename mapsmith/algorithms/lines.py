@@ -40,8 +40,7 @@ class GeneralizePoints(Algorithm):
     def _execute(self, df, ref):
         made = cut(pt.cluster_centroids(df, self.cluster_distance, aggregation_functions=self.aggregation_functions), "centroids").drop("_x", "_y")
         new = made.withColumn("fid", F.sha2(F.concat(F.lit("pointcluster"), F.array_join(F.array_sort("old_ids"), "")), 256))
-        gone = made.select(F.explode("old_ids").alias("fid"))
-        rest = df.join(gone, "fid", "left_anti")
+        rest = fe.without_members(df, made)
         if self.is_cluster_column:
             new, rest = new.withColumn(self.is_cluster_column, F.lit(True)), rest.withColumn(self.is_cluster_column, F.lit(False))
         out = new.drop("old_ids").unionByName(rest)
@@ -74,7 +73,7 @@ class GeneralizeRoads(Algorithm):
 
     def _execute(self, df, ref):
         out = nw.contiguous(df, ref.get("reference_key"), length="_n", dead="_dead", apart="_apart")
-        return out.where(~((F.col("_n") <= self.threshold_length) & (F.col("_dead") | F.col("_apart")))).select(df.columns)
+        return fe.only(fe.prune_network(out, self.threshold_length, length="_n", dead="_dead", apart="_apart"), df.columns)
 
 
 class GeneralizeSharedPaths(Algorithm):
@@ -129,6 +128,12 @@ class GeneralizeContours(Algorithm):
         return fe.z_from_attribute(fe.hash_duplicates(whole, "contour"), self.level_attribute).select(df.columns)
 
 
+def merged_fences(df: DataFrame, attribute: str) -> DataFrame:
+    """Lines merged by attribute, with ids made from those of their sources."""
+    merged = nw.merge_by_attribute(df, attribute)
+    return merged.withColumn("fid", F.sha2(F.concat(F.lit("generalize_fences"), F.array_join("old_ids", "")), 256)).select(df.columns)
+
+
 class GeneralizeFences(Algorithm):
     """A7"""
 
@@ -146,8 +151,7 @@ class GeneralizeFences(Algorithm):
     def _execute(self, df, ref):
         if self.attribute_for_line_merge not in df.columns:
             raise KeyError(self.attribute_for_line_merge)
-        merged = nw.merge_by_attribute(df, self.attribute_for_line_merge)
-        merged = cut(merged.withColumn("fid", F.sha2(F.concat(F.lit("generalize_fences"), F.array_join("old_ids", "")), 256)).select(df.columns), "fences")
+        merged = cut(merged_fences(df, self.attribute_for_line_merge), "fences")
         closed = cut(nw.connect_near_ends(merged, self.gap_threshold), "closed")
         areas = nw.faces(closed)
         within = sp.sjoin(merged.where(g.length("geom") < self.fence_length_threshold_in_closed_area).select("_ord", "geom"), areas, "within").select(F.col("l._ord").alias("_ord")).distinct()
@@ -307,6 +311,24 @@ def outermost(df: DataFrame, group: str, *, missed: bool) -> DataFrame:
     return df.withColumn("_lo", low).withColumn("_hi", high).where(some).drop("_lo", "_hi")
 
 
+def with_mean_length(df: DataFrame, by: str, column: str, length: str | None = None) -> DataFrame:
+    """``df`` with the mean length of the rows of each group."""
+    return df.withColumn(column, F.avg(F.col(length) if length else g.length("geom")).over(Window.partitionBy(by)))
+
+
+def typed_tracks(edges: DataFrame, cluster: float, longest: float) -> DataFrame:
+    """(fid, geom, _ord, _code, _kind) of graph edges: tracks within a cluster (of edges shorter than ``cluster``),
+    packs of several tracks between the same two places, and free ones; packs of long tracks are free (N19)."""
+    node = nw.cluster_graph(edges, cluster)
+    named = edges.join(node.select(F.col("node").alias("src"), F.col("component").alias("_u")), "src", "left").join(node.select(F.col("node").alias("dst"), F.col("component").alias("_v")), "dst", "left")
+    ends = F.array_sort(F.array(F.coalesce("_u", "src"), F.coalesce("_v", "dst")))
+    same = F.col("_u").isNotNull() & F.col("_v").isNotNull() & (F.col("_u") == F.col("_v"))
+    coded = named.withColumn("_code", F.when(same, F.lit("cluster_track")).otherwise(F.array_join(ends, "|")))
+    sized = with_mean_length(coded, "_code", "_mean", "length").withColumn("_many", F.count("*").over(Window.partitionBy("_code")))
+    kind = F.when(F.col("_code") == "cluster_track", F.col("_code")).when((F.col("_many") == 1) | (F.col("_mean") > longest), F.lit("free_track")).otherwise(F.lit("pack_track"))
+    return sized.withColumn("_kind", kind).select("fid", "geom", "_ord", "_code", "_kind")
+
+
 class GeneralizeRailroads(Algorithm):
     """A12"""
 
@@ -329,13 +351,7 @@ class GeneralizeRailroads(Algorithm):
         whole = nw.chains(rest).groupBy("_comp").agg(g.call("merge", g.call("collect", F.collect_list("geom"))).alias("geom"))
         tracks = cut(sp.explode_parts(whole.select(F.col("_comp").cast("string").alias("fid"), "geom", F.col("_comp").alias("_ord"))), "tracks")
         edges = cut(nw.graph_edges(tracks), "graph")
-        node = nw.cluster_graph(edges, self.pack_cluster_length_threshold)
-        named = edges.join(node.select(F.col("node").alias("src"), F.col("component").alias("_u")), "src", "left").join(node.select(F.col("node").alias("dst"), F.col("component").alias("_v")), "dst", "left")
-        ends = F.array_sort(F.array(F.coalesce("_u", "src"), F.coalesce("_v", "dst")))
-        coded = named.withColumn("_code", F.array_join(ends, "|")).withColumn("_same", F.element_at(ends, 1) == F.element_at(ends, 2))
-        size, mean = F.count("*").over(Window.partitionBy("_code")), F.avg("length").over(Window.partitionBy("_code"))
-        kind = F.when(F.col("_same"), F.lit("cluster_track")).when((size == 1) | (mean > self.pack_track_maximum_length), F.lit("free_track")).otherwise(F.lit("pack_track"))
-        coded = cut(coded.withColumn("_kind", kind).select("fid", "geom", "_ord", "_code", "_kind"), "coded")
+        coded = cut(typed_tracks(edges, self.pack_cluster_length_threshold, self.pack_track_maximum_length), "coded")
         packs = outermost(rank_parallel(coded.where("_kind = 'pack_track'"), "_code"), "_code", missed=True)
         packs = packs.select("fid", "geom", "_ord", F.when(F.col("_rank").isNull(), "free_track").otherwise(F.col("_kind")).alias("_kind"))
         typed = packs.unionByName(coded.where("_kind != 'pack_track'").select("fid", "geom", "_ord", "_kind"))

@@ -102,11 +102,3 @@ def concatenate(a: Column, b: Column) -> Column:
     first = F.element_at(b, 1)
     same = (joint[X] == first[X]) & (joint[Y] == first[Y])
     return F.concat(a, F.when(same, F.slice(b, F.lit(2), F.size(b) - 1)).otherwise(b))
-
-
-def move_to(line: Column, x: Column, y: Column) -> Column:
-    """Translated so that the mean of its vertices is at (x, y) (S15, for point sets)."""
-    n = F.size(line)
-    dx = x - F.aggregate(line, F.lit(0.0), lambda s, p: s + p[X]) / n
-    dy = y - F.aggregate(line, F.lit(0.0), lambda s, p: s + p[Y]) / n
-    return F.transform(line, lambda p: F.array(p[X] + dx, p[Y] + dy, p[Z]))

@@ -21,7 +21,7 @@ _EDITS = {
     "double": "MeanDirection CentreLength",
     "boolean": "Equal",
     "array<binary>": "Segments Split SmoothJoints",
-    "binary": "Cross Largest LargerThan Squared SimplifyKeep AddPoints Snap NarrowPlaces BesideHull Crossing LongParts WithZ",
+    "binary": "Cross MoveTo Largest LargerThan Squared SimplifyKeep AddPoints Snap NarrowPlaces BesideHull Crossing LongParts WithZ",
 }
 _installed: set[str] = set()
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapsmith.functions import geometry as g
-from mapsmith.operators.model import GeometryTypeError, check_types
+from mapsmith.operators.model import GeometryTypeError, check_types, ord_part
 from mapsmith.operators.spatial import explode_parts, masks_of
 
 AREAS, LINES = {"Polygon", "MultiPolygon"}, {"LineString", "MultiLineString", "LinearRing"}
@@ -81,10 +81,55 @@ def elongation(geom: str = "geom") -> Column:
     return F.try_divide(g.call("box", geom)[0], g.call("box", geom)[1])
 
 
-def exaggerate_thin(df: DataFrame, width: float, elongated: float, by: float) -> DataFrame:
+def exaggerate_thin(df: DataFrame, width: float, elongated: float, by: float, *, cap: str = "round", join: str = "round") -> DataFrame:
     """P6"""
     thin = (elongation() <= elongated) & (g.call("box", "geom")[0] <= width)
-    return df.withColumn("geom", F.when(thin, g.buffer("geom", by)).otherwise(F.col("geom")))
+    return df.withColumn("geom", F.when(thin, g.buffer("geom", by, cap, join)).otherwise(F.col("geom")))
+
+
+def split_by_ratio(df: DataFrame, column: str, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Rows above ``share``, and the others; null is not above."""
+    above = F.coalesce(F.col(column) > share, F.lit(False))
+    return df.where(above), df.where(~above)
+
+
+def interior_rings(df: DataFrame) -> DataFrame:
+    """A row for each hole, as a polygon; ids repeat."""
+    out = df.select(*[c for c in df.columns if c != "geom"], F.posexplode(g.call("holes", "geom")).alias("_k", "geom"))
+    return out.withColumn("_ord", ord_part("_k")).select(df.columns)
+
+
+def moved_to(geom: str, x: Column, y: Column) -> Column:
+    """Translated so that the centroid is at (x, y)."""
+    return g.call("moveto", geom, x, y)
+
+
+def split_at(line: str, distances: list[float]) -> Column:
+    """Pieces of a line between distinct distances along it; 0, its length and what is beyond are no cuts."""
+    n = g.length(line)
+    inner = F.filter(F.array_sort(F.array_distinct(F.array(*(F.lit(float(d)) for d in distances)))), lambda d: (d > 0) & (d < n))
+    bounds = F.concat(F.array(F.lit(0.0)), inner, F.array(n))
+    return F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: g.call("substring", line, F.element_at(bounds, i), F.element_at(bounds, i + 1)))
+
+
+def without_members(df: DataFrame, grouped: DataFrame, column: str = "old_ids") -> DataFrame:
+    """Rows whose id is in no list of ``grouped``."""
+    return by_ids(df, grouped.select(F.explode(column).alias("fid")), anti=True)
+
+
+def by_ids(df: DataFrame, others: DataFrame, *, anti: bool = False) -> DataFrame:
+    """Rows whose id is (``anti``: is not) among those of ``others``."""
+    return df.join(others.select("fid").distinct(), "fid", "left_anti" if anti else "left_semi").select(df.columns)
+
+
+def prune_network(df: DataFrame, longest: float, *, length: str, dead: str, apart: str) -> DataFrame:
+    """Rows of dead ends and of disconnected lines go unless they are longer."""
+    return df.where(~((F.col(length) <= longest) & (F.col(dead) | F.col(apart))))
+
+
+def only(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Without the columns that were added on the way (F16)."""
+    return df.select([c for c in df.columns if c in columns])
 
 
 def hash_geometry(df: DataFrame, prefix: str) -> DataFrame:

@@ -241,23 +241,33 @@ def nearest_other(df: DataFrame, others: DataFrame, within: float) -> DataFrame:
     return df.join(by.where(F.col("_dist") <= within), "_ord", "left").select(*df.columns, "_dist")
 
 
+def overlap_areas(base: DataFrame, overlay: DataFrame, column: str) -> DataFrame:
+    """(_ord, column): the area of each base row that overlays cover, each counted for itself."""
+    met = sjoin(base.select("_ord", "geom"), overlay.select("geom"))
+    return met.groupBy(F.col("l._ord").alias("_ord")).agg(F.sum(g.area(g.intersection("l.geom", "r.geom"))).alias(column))
+
+
+def attach(base: DataFrame, sums: DataFrame, column: str) -> DataFrame:
+    """``base`` with the column of ``sums`` by _ord, 0 where there is none."""
+    return base.join(sums, "_ord", "left").select(*[c for c in base.columns if c != column], F.coalesce(sums[column], F.lit(0.0)).alias(column))
+
+
 def coverage(base: DataFrame, overlay: DataFrame, column: str) -> DataFrame:
     """Per cent of each base polygon's area that the overlays cover, each counted for itself."""
-    met = sjoin(base.select("_ord", "geom"), overlay.select("geom"))
-    by = met.groupBy(F.col("l._ord").alias("_ord")).agg(F.sum(g.area(g.intersection("l.geom", "r.geom"))).alias("_c"))
-    out = base.join(by, "_ord", "left").withColumn(column, F.coalesce(F.try_divide(F.lit(100.0) * F.col("_c"), g.area("geom")), F.lit(0.0)))
-    return out.select(*[c for c in base.columns if c != column], column)
+    out = attach(base, overlap_areas(base, overlay, "_c"), "_c")
+    share = F.coalesce(F.try_divide(F.lit(100.0) * F.col("_c"), g.area("geom")), F.lit(0.0))
+    return out.select(*[c for c in base.columns if c != column], share.alias(column))
 
 
-def edge_adjacency(df: DataFrame, reference: DataFrame, distance: float, column: str) -> DataFrame:
+def edge_adjacency(df: DataFrame, reference: DataFrame, distance: float, column: str, *, join: str = "round") -> DataFrame:
     """The larger share of a row's inner and outer rim that lies in the reference."""
     def share(rim: Column, name: str) -> DataFrame:
         rims = df.select("_ord", rim.alias("geom")).where(~g.is_empty("geom"))
         by = sjoin(rims, reference.select("geom")).groupBy(F.col("l._ord").alias("_ord")).agg(F.sum(g.area(g.intersection("l.geom", "r.geom"))).alias("_s"))
         return rims.join(by, "_ord", "left").select("_ord", F.try_divide(F.coalesce("_s", F.lit(0.0)), g.area("geom")).alias(name))
 
-    outer = share(g.difference(g.buffer("geom", distance), F.array("geom")), "_outer")
-    shrunk = g.buffer("geom", -distance)
+    outer = share(g.difference(g.buffer("geom", distance, join=join), F.array("geom")), "_outer")
+    shrunk = g.buffer("geom", -distance, join=join)
     inner = share(F.when(~g.is_empty(shrunk), g.difference("geom", F.array(shrunk))), "_inner")
     return df.join(outer, "_ord", "left").join(inner, "_ord", "left").withColumn(column, F.greatest("_outer", "_inner")).select(*df.columns, column)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mapsmith.algorithms import ALGORITHMS, areas, lines
@@ -19,45 +19,16 @@ from mapsmith.operators import network as nw
 from mapsmith.operators import points as pt
 from mapsmith.operators import spatial as sp
 from mapsmith.operators.model import Features
+from mapsmith.plans import relations, shapes  # noqa: F401  registers further queries
+from mapsmith.plans.registry import AREA, CELLS, ENDS, JOIN, MEET, NEAR, ORACLES, OVERLAP, QUERIES, comps, query, rounded
 from mapsmith.plans.views import duck, features, view
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return register
-
-
-AREA = "(x1 - x0) * (y1 - y0)"
-OVERLAP = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
-MEET = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
-NEAR = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
-
-
-def rounded(c, n: int = 6):
-    return F.round(c.cast("double"), n)
-
-
-def reach(edges: str, nodes: str) -> str:
-    """Recursive CTEs r (x, y): y is reachable from x; ``edges``: name of (a, b)."""
-    return f"both_ AS MATERIALIZED (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), r AS (SELECT k x, k y FROM {nodes} UNION SELECT r.x, e.b FROM r JOIN both_ e ON r.y = e.a)"
-
-
 # points -----------------------------------------------------------------------------------------------------------
 
 EPS = 3
 POINTS_SQL = f"""WITH RECURSIVE {duck("pts")}, p AS MATERIALIZED (SELECT * FROM pts),
 near AS MATERIALIZED (SELECT a.k a, b.k b FROM p a JOIN p b ON a.k < b.k AND {NEAR} <= {EPS * EPS}),
-n AS (SELECT a k FROM near UNION SELECT b FROM near), {reach("near", "n")},
-c AS (SELECT x k, min(y) comp FROM r GROUP BY x)"""
+n AS (SELECT a k FROM near UNION SELECT b FROM near), {comps("near", "n")}"""
 
 
 @query("A8_generalize_points", POINTS_SQL + """,
@@ -89,12 +60,19 @@ def centroids(spark, sf_dir):
     return out.select("fid", F.round("v", 4).alias("v"), F.size("old_ids").cast("long").alias("n"), F.array_join("old_ids", ",").alias("ids"))
 
 
-@query("P1_displace_points", f"""WITH {duck("pts")}, p AS MATERIALIZED (SELECT * FROM pts),
-m AS (SELECT a.k, sum((a.x - b.x) / sqrt({NEAR}) * (4.0 - sqrt({NEAR})) / 2) dx, sum((a.y - b.y) / sqrt({NEAR}) * (4.0 - sqrt({NEAR})) / 2) dy FROM p a JOIN p b ON a.k != b.k AND {NEAR} < 16 AND {NEAR} > 0 GROUP BY a.k)
-SELECT fid, round(x + coalesce(dx, 0), 6) x, round(y + coalesce(dy, 0), 6) y FROM p LEFT JOIN m USING (k)""")
+def pushed(table: str, threshold: float) -> str:
+    """One pass over ``table`` (k, fid, x, y)."""
+    return f"""SELECT p.k, any_value(p.fid) fid, any_value(p.x) + coalesce(sum((p.x - b.x) / d * ({threshold} - d) / 2), 0) x, any_value(p.y) + coalesce(sum((p.y - b.y) / d * ({threshold} - d) / 2), 0) y
+FROM {table} p LEFT JOIN LATERAL (SELECT b.x, b.y, sqrt((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y)) d FROM {table} b WHERE b.k != p.k AND b.x BETWEEN p.x - {threshold} AND p.x + {threshold} AND b.y BETWEEN p.y - {threshold} AND p.y + {threshold}) b ON d < {threshold} AND d > 0 GROUP BY p.k"""
+
+
+PASSES = 10
+
+
+@query("P1_displace_points", f"WITH {duck('pts')}, p0 AS MATERIALIZED (SELECT k, fid, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM pts), " + ", ".join(f"p{i + 1} AS MATERIALIZED ({pushed(f'p{i}', 4.0)})" for i in range(PASSES)) + f" SELECT fid, round(x, 6) x, round(y, 6) y FROM p{PASSES}")
 def displaced(spark, sf_dir):
     v = F.element_at(g.vertices("geom"), 1)
-    return pt.displace(features(spark, sf_dir, "pts").select("fid", "geom", "_ord"), 4.0, 1).select("fid", rounded(v[0]).alias("x"), rounded(v[1]).alias("y"))
+    return pt.displace(features(spark, sf_dir, "pts").select("fid", "geom", "_ord"), 4.0, PASSES).select("fid", rounded(v[0]).alias("x"), rounded(v[1]).alias("y"))
 
 
 @query("P3_reduce_by_selecting")
@@ -103,7 +81,7 @@ def reduced(spark, sf_dir):
 
 
 @query("G9_reduce_by_clustering", f"""WITH RECURSIVE {duck("pts")}, p AS MATERIALIZED (SELECT * FROM pts),
-near AS MATERIALIZED (SELECT a.k a, b.k b FROM p a JOIN p b ON a.k < b.k AND {NEAR} < 16), {reach("near", "p")}, c AS (SELECT x k, min(y) comp FROM r GROUP BY x)
+near AS MATERIALIZED (SELECT a.k a, b.k b FROM p a JOIN p b ON a.k < b.k AND {NEAR} < 16), {comps("near", "p")}
 SELECT min(k) k, count(*) n FROM c GROUP BY comp""")
 def by_clustering(spark, sf_dir):
     out = pt.reduce_by_clustering(features(spark, sf_dir, "pts").select("fid", "k", "geom", "_ord"), 2.0, "k", "members")
@@ -119,12 +97,8 @@ def area_query(name: str, where: str, f: Callable[[DataFrame], DataFrame]) -> No
         return f(features(spark, sf_dir, "rects")).select("fid", g.area("geom").alias("area"))
 
 
-area_query("F1_wrong_types", "false", lambda d: d.where(~g.geom_type("geom").isin("Polygon")))
 area_query("F3_remove_large_polygons", f"{AREA} <= 100", lambda d: fe.remove_large_polygons(d, 100))
 area_query("F4_remove_small_polygons", f"{AREA} >= 100", lambda d: fe.remove_small_polygons(d, 100))
-area_query("F6_drop_empty", "true", fe.drop_empty)
-area_query("F7_fix_invalid", "true", fe.fix_invalid)
-area_query("F8_remove_small_holes", "true", lambda d: fe.remove_small_holes(d, 10))
 area_query("F9_filter_buildings", f"({AREA} >= 50 AND NOT (cls IN ('Brand#11', 'Brand#12') AND {AREA} < 200)) OR cls = 'Brand#13'", lambda d: fe.filter_buildings(d, "cls", least=50, least_low=200, low=frozenset({"Brand#11", "Brand#12"}), always=frozenset({"Brand#13"})))
 area_query("F10_exclude_large_of_class", f"NOT (cls = 'Brand#11' AND {AREA} > 100)", lambda d: fe.exclude_large_of_class(d, "cls", frozenset({"Brand#11"}), 100))
 area_query("F15_by_box_side", "greatest(x1 - x0, y1 - y0) > 15", lambda d: fe.by_box_side(d, 15)[0])
@@ -183,7 +157,6 @@ def overlaid(spark, sf_dir):
     return out.groupBy("fid").agg(F.count("*").alias("n"), F.sum(g.area("geom")).alias("area"))
 
 
-CELLS = "SELECT k, fid, unnest(range(x0, x1)) cx, y0, y1 FROM {t}"
 DIFFERENCE_SQL = f"""WITH {duck("rects", "masks")}, u AS (SELECT k, fid, cx, unnest(range(y0, y1)) cy FROM ({CELLS.format(t="rects")})), m AS (SELECT DISTINCT cx, unnest(range(y0, y1)) cy FROM ({CELLS.format(t="masks")}))
 SELECT fid, CAST(count(*) AS DOUBLE) area FROM u ANTI JOIN m USING (cx, cy) GROUP BY fid"""
 
@@ -194,16 +167,21 @@ def without(spark, sf_dir):
     return out.select("fid", rounded(g.area("geom")).alias("area"))
 
 
-@query("A18_keep_intersection", f"WITH {duck('rects', 'masks')} SELECT count(*) n, CAST(sum({OVERLAP}) AS DOUBLE) area FROM rects a JOIN masks b ON {OVERLAP} > 0")
+@query("A18_keep_intersection", f"WITH {duck('rects', 'masks')} SELECT a.cls, CAST({OVERLAP} AS DOUBLE) area, count(*) OVER (PARTITION BY a.k) > 1 hashed FROM rects a JOIN masks b ON {OVERLAP} > 0")
 def keep(spark, sf_dir):
-    data, mask = (Features(features(spark, sf_dir, n).select("fid", "geom", "_ord")) for n in ("rects", "masks"))
-    return areas.KeepIntersection().execute(data, {"mask": mask}).df.agg(F.count("*").alias("n"), F.sum(g.area("geom")).alias("area"))
+    data, mask = Features(features(spark, sf_dir, "rects").select("fid", "cls", "geom", "_ord")), Features(features(spark, sf_dir, "masks").select("fid", "geom", "_ord"))
+    out = areas.KeepIntersection().execute(data, {"mask": mask}).df
+    return out.select("cls", rounded(g.area("geom")).alias("area"), (F.length("fid") == 64).alias("hashed"))
 
 
-@query("A19_remove_overlap", f"SELECT CAST(sum(area) AS DOUBLE) area FROM ({DIFFERENCE_SQL})")
+@query("A19_remove_overlap", DIFFERENCE_SQL)
 def remove(spark, sf_dir):
-    data, mask = (Features(features(spark, sf_dir, n).select("fid", "geom", "_ord")) for n in ("rects", "masks"))
-    return areas.RemoveOverlap().execute(data, {"mask": mask}).df.agg(rounded(F.sum(g.area("geom"))).alias("area"))
+    data, mask = Features(features(spark, sf_dir, "rects").select("fid", "k", "geom", "_ord")), Features(features(spark, sf_dir, "masks").select("fid", "geom", "_ord"))
+    out = areas.RemoveOverlap().execute(data, {"mask": mask}).df
+    # parts of one row have ids of their own, made from its id and their form
+    own = F.col("k").cast("string")
+    good = F.when(F.count("*").over(Window.partitionBy("k")) > 1, F.col("fid") == F.sha2(F.concat(F.lit("removeoverlap"), own, g.wkt("geom")), 256)).otherwise(F.col("fid") == own)
+    return out.withColumn("_good", good).groupBy("k").agg(rounded(F.sum(g.area("geom"))).alias("area"), F.min("_good").alias("_good")).where("_good").select(F.col("k").cast("string").alias("fid"), "area")
 
 
 @query("P7_coverage", f"WITH {duck('rects', 'masks')} SELECT a.fid, round(100.0 * coalesce(sum({OVERLAP}), 0) / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) pct FROM masks a LEFT JOIN rects b ON {OVERLAP} > 0 GROUP BY a.fid, a.x0, a.x1, a.y0, a.y1")
@@ -217,41 +195,55 @@ def slope(spark, sf_dir):
     return lines.GeneralizeSlopeLines().execute(data, {"contours": contours}).df.select("fid")
 
 
-QUERIES["A15_slope_lines"], ORACLES["A15_slope_lines"] = slope, ORACLES["J16_within_distance"]
+@query("A15_slope_lines", f"WITH {duck('pts', 'edges')} SELECT DISTINCT p.fid FROM pts p JOIN edges e ON power(greatest(0, e.ax * 16 - p.x, p.x - e.bx * 16), 2) + power(greatest(0, e.ay * 16 - p.y, p.y - e.by_ * 16), 2) <= 2 AND p.x BETWEEN e.ax * 16 - 2 AND e.bx * 16 + 2 AND p.y BETWEEN e.ay * 16 - 2 AND e.by_ * 16 + 2")
+def slope_lines(spark, sf_dir):
+    wide = view(spark, sf_dir, "edges").withColumn("_ord", F.array(F.col("k").cast("long")))
+    at = lambda x, y: F.array(*((F.col(c) * 16).cast("double") for c in (x, y)))
+    contours = Features(wide.select("fid", g.line(F.array(at("ax", "ay"), at("bx", "by_"))).alias("geom"), "_ord"))
+    data = Features(features(spark, sf_dir, "pts").select("fid", "geom", "_ord"))
+    return lines.GeneralizeSlopeLines(tolerance=2**0.5).execute(data, {"contours": contours}).df.select("fid")
 
 
-GROUPS_SQL = f"""WITH RECURSIVE {duck("rects")}, q AS MATERIALIZED (SELECT * FROM rects WHERE cls IN ('Brand#11', 'Brand#22')),
-near AS MATERIALIZED (SELECT a.k a, b.k b FROM q a JOIN q b ON a.k < b.k AND a.cls = b.cls AND {MEET}), {reach("near", "q")}, c AS (SELECT x k, min(y) comp FROM r GROUP BY x)"""
+MEETING = f"near AS MATERIALIZED (SELECT a.k a, b.k b FROM rects a JOIN rects b ON a.k < b.k AND {MEET})"
 
 
-def brands(spark, sf_dir):
-    return features(spark, sf_dir, "rects").where("cls IN ('Brand#11', 'Brand#22')").select("fid", "cls", "geom", "_ord")
+def rects(spark, sf_dir):
+    return features(spark, sf_dir, "rects").select("fid", "cls", "geom", "_ord")
 
 
-@query("G3_group_by_intersections", GROUPS_SQL.replace("AND a.cls = b.cls ", "") + " SELECT fid, dense_rank() OVER (ORDER BY comp) grp FROM q JOIN c USING (k)")
+@query("G3_group_by_intersections", f"WITH RECURSIVE {duck('rects')}, {MEETING}, {comps('near', 'rects')} SELECT fid, dense_rank() OVER (ORDER BY comp) grp FROM rects JOIN c USING (k)")
 def groups(spark, sf_dir):
-    return sp.group_by_intersections(brands(spark, sf_dir), "grp").select("fid", "grp")
+    return sp.group_by_intersections(rects(spark, sf_dir), "grp").select("fid", "grp")
+
 
+@query("A1_dissolve_polygons", f"""WITH RECURSIVE {duck("rects")}, near AS MATERIALIZED (SELECT a.k a, b.k b FROM rects a JOIN rects b ON a.k < b.k AND a.cls = b.cls AND {JOIN}), {comps("near", "rects")},
+u AS (SELECT comp, count(DISTINCT (cx, cy)) n FROM (SELECT comp, cx, unnest(range(y0, y1)) cy FROM (SELECT comp, unnest(range(x0, x1)) cx, y0, y1 FROM rects JOIN c USING (k))) GROUP BY comp),
+i AS (SELECT comp, any_value(cls) cls, CASE WHEN count(*) > 1 THEN sha256('dissolvepolygons' || string_agg(fid, '' ORDER BY fid)) ELSE any_value(fid) END fid FROM rects JOIN c USING (k) GROUP BY comp)
+SELECT fid, cls, CAST(n AS DOUBLE) area FROM i JOIN u USING (comp)""")
+def dissolved(spark, sf_dir):
+    out = areas.DissolvePolygons(by_column=frozenset({"cls"})).execute(Features(rects(spark, sf_dir))).df
+    return out.select("fid", "cls", rounded(g.area("geom")).alias("area"))
 
-DISSOLVED = f"""{GROUPS_SQL}, u AS (SELECT DISTINCT comp, cx, unnest(range(y0, y1)) cy FROM (SELECT comp, unnest(range(x0, x1)) cx, y0, y1 FROM q JOIN c USING (k)))
-SELECT CAST(count(*) AS DOUBLE) area FROM u"""
 
+G1_SQL = f"""WITH RECURSIVE {duck("masks")}, near AS MATERIALIZED (SELECT a.k a, b.k b FROM masks a JOIN masks b ON a.k < b.k AND {JOIN}), {comps("near", "masks")},
+u AS (SELECT comp, count(DISTINCT (cx, cy)) n FROM (SELECT comp, cx, unnest(range(y0, y1)) cy FROM (SELECT comp, unnest(range(x0, x1)) cx, y0, y1 FROM masks JOIN c USING (k))) GROUP BY comp)"""
 
-@query("A1_dissolve_polygons", DISSOLVED)
-def dissolved(spark, sf_dir):
-    out = areas.DissolvePolygons(by_column=frozenset({"cls"})).execute(Features(brands(spark, sf_dir))).df
-    return out.agg(rounded(F.sum(g.area("geom"))).alias("area"))
+
+@query("G1_dissolve_by_least_id", G1_SQL + ", i AS (SELECT comp, string_agg(fid, ',' ORDER BY fid) ids, min(fid) fid FROM masks JOIN c USING (k) GROUP BY comp) SELECT fid, ids, CAST(n AS DOUBLE) area FROM i JOIN u USING (comp)")
+def by_least_id(spark, sf_dir):
+    out = sp.dissolve(features(spark, sf_dir, "masks").select("fid", "geom", "_ord"), inherit_from="min_id")
+    return out.select("fid", F.array_join("old_ids", ",").alias("ids"), rounded(g.area("geom")).alias("area"))
 
 
-@query("G2_union_parts", f"SELECT CAST(count(DISTINCT (cx, cy)) AS DOUBLE) area FROM (WITH {duck('masks')} SELECT cx, unnest(range(y0, y1)) cy FROM ({CELLS.format(t='masks')}))")
+@query("G2_union_parts", G1_SQL + " SELECT CAST(n AS DOUBLE) area FROM u")
 def united(spark, sf_dir):
-    return sp.union_parts(features(spark, sf_dir, "masks").select("fid", "geom", "_ord")).agg(rounded(F.sum(g.area("geom"))).alias("area"))
+    return sp.union_parts(features(spark, sf_dir, "masks").select("fid", "geom", "_ord")).select(rounded(g.area("geom")).alias("area"))
 
 
-@query("G6_dissolve_layers", ORACLES["G2_union_parts"])
+@query("G6_dissolve_layers", f"SELECT CAST(count(DISTINCT (cx, cy)) AS DOUBLE) area FROM (WITH {duck('masks', 'rects')} SELECT cx, unnest(range(y0, y1)) cy FROM ({CELLS.format(t='masks')} UNION ALL {CELLS.format(t='rects')}))")
 def layers(spark, sf_dir):
-    m = features(spark, sf_dir, "masks").select("fid", "geom", "_ord")
-    return sp.dissolve_layers([m, m]).agg(rounded(F.sum(g.area("geom"))).alias("area"))
+    m, r = (features(spark, sf_dir, n).select("fid", "geom", "_ord") for n in ("masks", "rects"))
+    return sp.dissolve_layers([m, r]).agg(rounded(F.sum(g.area("geom"))).alias("area"))
 
 
 # identity ---------------------------------------------------------------------------------------------------------
@@ -310,17 +302,14 @@ def box(spark, sf_dir):
     return features(spark, sf_dir, "rects").select("fid", rounded(b[0]).alias("width"), rounded(b[1]).alias("height"), rounded(fe.elongation()).alias("ratio"))
 
 
-@query("S5_topological_points", f"""WITH {duck("rects")}, q AS MATERIALIZED (SELECT * FROM rects WHERE cls IN ('Brand#11', 'Brand#22')), v AS (SELECT x0 x, y0 y FROM q UNION SELECT x1, y0 FROM q UNION SELECT x0, y1 FROM q UNION SELECT x1, y1 FROM q)
-SELECT CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM v JOIN q ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY x, y HAVING count(DISTINCT k) > 1""")
+@query("S5_topological_points", f"""WITH {duck("rects")}, v AS (SELECT x0 x, y0 y FROM rects UNION SELECT x1, y0 FROM rects UNION SELECT x0, y1 FROM rects UNION SELECT x1, y1 FROM rects)
+SELECT CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y, count(*) n FROM v JOIN rects ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY x, y HAVING count(*) > 1""")
 def shared_points(spark, sf_dir):
-    return sp.topological_points(brands(spark, sf_dir)).select("x", "y")
+    return sp.topological_points(rects(spark, sf_dir)).select("x", "y", "n")
 
 
 # networks ---------------------------------------------------------------------------------------------------------
 
-ENDS = "e AS MATERIALIZED (SELECT k, fid, ax x, ay y, 0 side FROM edges UNION ALL SELECT k, fid, bx, by_, 1 FROM edges)"
-
-
 @query("N1_endpoints", f"WITH {duck('edges')}, {ENDS} SELECT fid, CAST(side AS INTEGER) side, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y, count(*) OVER (PARTITION BY x, y) n FROM e")
 def ends(spark, sf_dir):
     return nw.endpoints(features(spark, sf_dir, "edges")).select("fid", "side", "x", "y", "n")
@@ -342,8 +331,7 @@ def counts(spark, sf_dir):
     return nw.count_connections(features(spark, sf_dir, "edges").select("fid", "geom", "_ord")).select("fid", "start_count", "end_count")
 
 
-CHAINS = f"""WITH RECURSIVE {duck("edges")}, {ENDS}, j AS MATERIALIZED (SELECT x, y, count(*) n, min(k) a, max(k) b FROM e GROUP BY x, y), near AS (SELECT a, b FROM j WHERE n = 2 AND a != b), {reach("near", "edges")},
-c AS MATERIALIZED (SELECT x k, min(y) comp FROM r GROUP BY x), z AS MATERIALIZED (SELECT comp, count(*) n FROM c GROUP BY comp),
+CHAINS = f"""WITH RECURSIVE {duck("edges")}, {ENDS}, j AS MATERIALIZED (SELECT x, y, count(*) n, min(k) a, max(k) b FROM e GROUP BY x, y), near AS (SELECT a, b FROM j WHERE n = 2 AND a != b), {comps("near", "edges")}, z AS MATERIALIZED (SELECT comp, count(*) n FROM c GROUP BY comp),
 o AS (SELECT comp, count(*) FILTER (WHERE j.n > 2) met, count(*) outer_ FROM e JOIN c USING (k) JOIN j USING (x, y) WHERE j.n != 2 GROUP BY comp)"""
 
 
@@ -359,31 +347,37 @@ def roads(spark, sf_dir):
     return lines.GeneralizeRoads(threshold_length=4.0).execute(data).df.select("fid")
 
 
-@query("G4_merge_by_attribute", f"WITH {duck('edges')} SELECT cls, CAST(count(*) AS DOUBLE) n FROM edges GROUP BY cls")
+MERGED = f"""WITH RECURSIVE {duck("edges")}, {ENDS}, j AS MATERIALIZED (SELECT x, y, cls, count(*) n, min(k) a, max(k) b FROM e JOIN edges USING (k) GROUP BY x, y, cls), near AS (SELECT a, b FROM j WHERE n = 2 AND a != b), {comps("near", "edges")},
+m AS (SELECT comp, any_value(cls) cls, list(fid ORDER BY fid) ids, count(*) n FROM edges JOIN c USING (k) GROUP BY comp)"""
+
+
+@query("G4_merge_by_attribute", MERGED + " SELECT array_to_string(ids, ',') ids, CAST(n AS DOUBLE) n FROM m")
 def merged(spark, sf_dir):
-    e = features(spark, sf_dir, "edges").select("fid", "cls", "geom", "_ord")
-    out = nw.merge_by_attribute(e, "cls")
-    kind = e.select(F.col("fid").alias("_one"), "cls")
-    named = out.select(F.element_at("old_ids", 1).alias("_one"), "geom").join(kind, "_one")
-    return named.groupBy("cls").agg(rounded(F.sum(g.length("geom"))).alias("n"))
+    out = nw.merge_by_attribute(features(spark, sf_dir, "edges").select("fid", "cls", "geom", "_ord"), "cls")
+    return out.select(F.array_join("old_ids", ",").alias("ids"), rounded(g.length("geom")).alias("n"))
+
+
+@query("I7_fence_ids", MERGED + " SELECT sha256('generalize_fences' || array_to_string(ids, '')) fid FROM m")
+def fence_ids(spark, sf_dir):
+    return lines.merged_fences(features(spark, sf_dir, "edges").select("fid", "cls", "geom", "_ord"), "cls").select("fid")
 
 
-@query("N18_cluster_graph", f"""WITH RECURSIVE {duck("edges")}, f AS MATERIALIZED (SELECT * FROM edges WHERE ax % 3 > 0 AND ay % 3 > 0 AND bx % 3 > 0 AND by_ % 3 > 0), near AS (SELECT ax * 100000 + ay a, bx * 100000 + by_ b FROM f), nodes AS (SELECT a k FROM near UNION SELECT b FROM near), {reach("near", "nodes")},
-c AS (SELECT x k, min(y) comp FROM r GROUP BY x) SELECT count(*) nodes, count(DISTINCT comp) comps FROM c""")
+@query("N18_cluster_graph", f"""WITH RECURSIVE {duck("edges")}, near AS (SELECT ax * 100000 + ay a, bx * 100000 + by_ b FROM edges), nodes AS (SELECT a k FROM near UNION SELECT b FROM near), {comps("near", "nodes")},
+z AS (SELECT comp, count(*) size FROM c GROUP BY comp) SELECT k // 100000 || '.0 ' || k % 100000 || '.0' node, size FROM c JOIN z USING (comp)""")
 def clusters(spark, sf_dir):
-    f = features(spark, sf_dir, "edges").where("ax % 3 > 0 AND ay % 3 > 0 AND bx % 3 > 0 AND by_ % 3 > 0")
-    return nw.cluster_graph(nw.graph_edges(f.select("fid", "geom", "_ord")), 2.0).agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("comps"))
+    out = nw.cluster_graph(nw.graph_edges(features(spark, sf_dir, "edges").select("fid", "geom", "_ord")), 2.0)
+    return out.select("node", F.count("*").over(Window.partitionBy("component")).alias("size"))
 
 
-@query("N22_split_by_points", f"""WITH {duck("edges", "pts")}, c AS (SELECT e.k, count(*) n FROM (SELECT DISTINCT e.k, p.x, p.y FROM edges_wide e JOIN pts p ON p.y = e.ay AND p.x > e.ax AND p.x < e.bx) e GROUP BY e.k), t AS (SELECT count(*) n FROM edges_wide)
-SELECT t.n + coalesce((SELECT sum(n) FROM c), 0) pieces, CAST(t.n * 8 AS DOUBLE) n FROM t""".replace("c AS (SELECT e.k", "edges_wide AS (SELECT k, ax * 8 ax, ay, bx * 8 bx FROM edges_right), c AS (SELECT e.k"))
+@query("N22_split_by_points", f"""WITH {duck("edges", "pts")}, w AS (SELECT k, fid, ax * 8 ax, ay, bx * 8 bx FROM edges_right)
+SELECT w.fid, count(DISTINCT p.x) + 1 pieces, CAST(8 AS DOUBLE) n FROM w LEFT JOIN pts p ON p.y = w.ay AND p.x > w.ax AND p.x < w.bx GROUP BY w.fid""")
 def pieces(spark, sf_dir):
     e = view(spark, sf_dir, "edges_right").withColumn("_ord", F.array(F.col("k").cast("long")))
     g.install(spark)
     at = lambda x: F.array((F.col(x) * 8).cast("double"), F.col("ay").cast("double"))
     wide = e.select("fid", "_ord", g.line(F.array(at("ax"), at("bx"))).alias("geom"))
     out = nw.split_by_points(wide, features(spark, sf_dir, "pts").select("geom"), 0.5)
-    return out.agg(F.count("*").alias("pieces"), rounded(F.sum(g.length("geom"))).alias("n"))
+    return out.groupBy("fid").agg(F.count("*").alias("pieces"), rounded(F.sum(g.length("geom"))).alias("n"))
 
 
 @query("W1_rank_parallel", f"WITH {duck('pts')}, p AS (SELECT k, cls, y + k / 1e6 d, min(y + k / 1e6) OVER (PARTITION BY cls) FROM pts) SELECT cls, k, CAST(rank() OVER (PARTITION BY cls ORDER BY d) AS DOUBLE) rnk FROM p")
@@ -392,11 +386,7 @@ def ranked(spark, sf_dir):
     g.install(spark)
     y = F.col("y") + F.col("k") / 1e6
     rows = p.select("fid", "cls", "k", F.array(F.col("k").cast("long")).alias("_ord"), g.line(F.array(F.array(F.lit(-2000.0), y), F.array(F.lit(2000.0), y))).alias("geom"))
-    out = lines.rank_parallel(rows, "cls")
-    n = F.count("*").over(__import__("pyspark").sql.Window.partitionBy("cls"))
-    # the crossing line may run either way
-    first = F.min_by("_rank", "k").over(__import__("pyspark").sql.Window.partitionBy("cls"))
-    return out.withColumn("_n", n).withColumn("_f", first).select("cls", "k", F.col("_rank").alias("rnk"))
+    return lines.rank_parallel(rows, "cls").select("cls", "k", F.col("_rank").alias("rnk"))
 
 
 # algorithms without SQL -------------------------------------------------------------------------------------------
