@@ -6,15 +6,18 @@ share last, by how many, and break ties by a hash of their own each.
 
 1. One pass gives each document's set size and digest; documents of equal sets are one class from here on. The same
    pass counts shingles that repeat within a task, which is enough to tell common ones: any order is a right one.
-2. A second pass lists each class's prefix under the first order. Tokens of one class alone go; a row also goes
-   when its position leaves too few tokens for any partner of its token.
+2. A second pass writes each class's prefix under every order. The first order is indexed by token. Tokens of one
+   class alone go; a row also goes when its position leaves too few tokens for any partner of its token.
 3. Classes are compared with the class that has the token earliest (in a group of near copies, the least edited one),
    and what is similar becomes one component. This leaves few pairs that are not known to be connected.
 4. All other pairs of different components that share a token, early enough in both, are listed; every one has a
    member outside the token's largest component.
-5. A pair is compared in full only if it also shares prefix tokens under each further order.
+5. Before any text moves, the filters are intersected on the keys: a pair stays a candidate only if its prefixes share
+   a token under each further order too. Then the sets themselves are compared.
 
 No pair of one component is compared twice over, none of different components is left out, and no group is capped.
+Tokens that a task met often are dealt with by counts for each task, not in one group (``per_token``); class keys and
+components of many rows are joined by broadcasting the few of them (``join_few``).
 
 Results in special cases: a document of fewer words than a shingle has its whole sequence as one shingle; one
 without words has an empty set, which is linked with nothing; a null id is linked with nothing and has no component;
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapsmith.llm import wordhash
@@ -42,6 +45,11 @@ COUNT_AT_ONCE = 3_000_000
 #: Up to so many class keys are broadcast to pick the texts to compare (8 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 NEAREST = 3
+#: A token that repeats so often, and at most so many of the most common ones, are not grouped in one task.
+HOT_TIMES, HOT_TOKENS = 1_000, 10_000
+#: A key is hot if it has more than one in HOT_SHARE of all rows (so there are fewer than HOT_SHARE of them), and
+#: more than HOT_ROWS.
+HOT_SHARE, HOT_ROWS = 2_000, 200
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -68,33 +76,25 @@ def class_key(tokens: np.ndarray) -> int:
     return int(signed(wordhash.mix(np.array([total], np.uint64)))[0])
 
 
-def rank(tokens: np.ndarray, order: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Indices that sort ``tokens`` by how common they are, then by the order's own hash."""
+def ranks(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For each order, indices that sort ``tokens`` by how common they are, then by the order's own hash."""
     level = np.zeros(len(tokens), np.int64)
     if len(common[0]) and len(tokens):
         at = np.searchsorted(common[0], tokens).clip(max=len(common[0]) - 1)
         level = np.where(common[0][at] == tokens, common[1][at], 0)
-    return np.lexsort((wordhash.mix(tokens ^ _SALTS[order]), level))
-
-
-def needed(a, b, t: Fraction):
-    """Least overlap of sets of ``a`` and ``b`` tokens with similarity ``t``: ceil(t / (1 + t) * (a + b))."""
-    top, bottom = t.numerator, t.numerator + t.denominator
-    return -(-(top * (a + b)) // bottom)
+    # the level goes on top of the hash: one sort of numbers
+    top = level.astype(np.uint64) << np.uint64(57)
+    return [np.argsort(top | (wordhash.mix(tokens ^ _SALTS[k]) >> np.uint64(7)), kind="stable") for k in range(ORDERS)]
 
 
 def prefix_size(n, t: Fraction):
     return n - -(-n * t.numerator // t.denominator) + 1
 
 
-def similar(a: np.ndarray, b: np.ndarray, common: tuple[np.ndarray, np.ndarray], t: Fraction, orders: int = ORDERS) -> bool:
-    """Whether |a & b| / |a | b| >= t, by the filters of the further orders first."""
+def similar(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
+    """Whether |a & b| / |a | b| >= t."""
     if not len(a) or not len(b) or min(len(a), len(b)) * t.denominator < max(len(a), len(b)) * t.numerator:
         return False
-    for k in range(1, orders):
-        x, y = (s[rank(s, k, common)[: prefix_size(len(s), t)]] for s in (a, b))
-        if not len(np.intersect1d(x, y, assume_unique=True)):
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * t.denominator >= t.numerator * (len(a) + len(b) - both)
 
@@ -134,17 +134,19 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, n long, key long, token long, times long")
 
 
-def common_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted common tokens, and the level of each (at most COMMON of them)."""
+def common_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Sorted common tokens, the level of each (at most COMMON of them), and those that are hot."""
     counted = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where("times >= 12")
     got = counted.orderBy(F.desc("times"), "token").limit(COMMON).toArrow()
     tokens, times = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    hot = signed(tokens[:HOT_TOKENS][times[:HOT_TOKENS] >= HOT_TIMES]).tolist()
     order = np.argsort(tokens)
-    return tokens[order], 1 + (2 * np.log2(np.maximum(times[order], 1))).astype(np.int64)
+    return tokens[order], 1 + (2 * np.log2(np.maximum(times[order], 1))).astype(np.int64), hot
 
 
 def prefixes(rows: DataFrame, n: int, t: Fraction, common) -> DataFrame:
-    """(token, key, n, pos) of the first order, for each class met in a task."""
+    """(key, n, p0, p1, ...): the prefix under each order, for each class met in a task."""
+    names = ["key", "n", *(f"p{k}" for k in range(ORDERS))]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -153,25 +155,57 @@ def prefixes(rows: DataFrame, n: int, t: Fraction, common) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                out: list[list] = [[], [], [], []]
+                keys, sizes, found = [], [], [[] for _ in range(ORDERS)]
                 for tokens in shingle_sets(part.column(0).to_pylist(), n):
                     if not len(tokens) or (key := class_key(tokens)) in known:
                         continue
                     known.add(key)
                     many = prefix_size(len(tokens), t)
-                    out[0].append(signed(tokens[rank(tokens, 0, common.value)[:many]]))
-                    out[1].append(np.full(many, key, np.int64))
-                    out[2].append(np.full(many, len(tokens), np.int32))
-                    out[3].append(np.arange(1, many + 1, dtype=np.int32))
+                    keys.append(key)
+                    sizes.append(len(tokens))
+                    for k, of in enumerate(ranks(tokens, common.value)):
+                        found[k].append(signed(tokens[of[:many]]))
                 if len(known) > 500_000:
                     known.clear()
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["token", "key", "n", "pos"])
+                if keys:
+                    ends = pa.array(np.cumsum([0, *map(len, found[0])]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(f))) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *lists], names=names)
 
-    return rows.where("_id IS NOT NULL").select("_t").mapInArrow(run, "token long, key long, n int, pos int")
+    return rows.where("_id IS NOT NULL").select("_t").mapInArrow(run, "key long, n int, " + ", ".join(f"{c} array<long>" for c in names[2:]))
 
 
-def compare(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction, common) -> DataFrame:
+def per_token(rows: DataFrame, hot: DataFrame, **of: Column) -> DataFrame:
+    """``rows`` with aggregates over each token: by window, but for hot tokens from what each task has aggregated."""
+    own = Window.partitionBy("token")
+    some = rows.join(F.broadcast(hot), "token", "left_semi")
+    stats = some.groupBy("token").agg(*[c.alias(name) for name, c in of.items()])  # as many rows as there are hot tokens
+    many = some.join(F.broadcast(stats), "token")
+    few = rows.join(F.broadcast(hot), "token", "left_anti").withColumns({name: c.over(own) for name, c in of.items()})
+    return few.unionByName(many)
+
+
+def join_few(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Left join with a table of one row for each key. Keys that many rows of ``left`` have are few: they are
+    broadcast, the others shuffled."""
+    total = left.count()
+    hot = left.groupBy(on).count().where(F.col("count") > max(HOT_ROWS, total // HOT_SHARE)).select(on)
+    hot = cut(hot, "hot")  # fewer than HOT_SHARE rows
+    many = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, "left")
+    few = left.join(F.broadcast(hot), on, "left_anti").join(right, on, "left")
+    return few.unionByName(many)
+
+
+def agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class keys whose prefixes share a token under every further order."""
+    of = lambda name: sets.select(F.col("key").alias(name), *[F.col(f"p{k}").alias(f"_{name}{k}") for k in range(1, ORDERS)])
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    for k in range(1, ORDERS):
+        both = both.where(F.arrays_overlap(f"_a{k}", f"_b{k}"))
+    return both.select("a", "b")
+
+
+def compare(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) of class keys that are similar."""
     with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("_t").alias("_tb")), "b")
     both = with_b.join(texts.select(F.col("key").alias("a"), F.col("_t").alias("_ta")), "a").select("a", "b", "_ta", "_tb")
@@ -187,7 +221,7 @@ def compare(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction, common) ->
                 for k, right in enumerate(shingle_sets(part.column(3).to_pylist(), n)):
                     if keys[k] != last:
                         last, left = keys[k], next(shingle_sets([part.column(2)[k].as_py()], n))
-                    good.append(similar(left, right, common.value, t))
+                    good.append(similar(left, right, t))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -198,36 +232,41 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     spark, t = docs.sparkSession, Fraction(threshold)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     found = cut(signatures(rows, n), "signatures")
-    common = spark.sparkContext.broadcast(common_tokens(found))
+    tokens, levels, often = common_tokens(found)
+    common = spark.sparkContext.broadcast((tokens, levels))
+    hot = spark.createDataFrame([(x,) for x in often], "token long")
     members = found.where("n IS NOT NULL").select("_id", "n", "key")
-    index = prefixes(rows, n, t, common)
+    # a class that several tasks met is there once
+    sets = cut(prefixes(rows, n, t, common), "prefixes")
+    index = sets.select("key", "n", F.posexplode("p0").alias("pos", "token")).select("token", "key", "n", (F.col("pos") + 1).alias("pos"))
     top, bottom = t.numerator, t.numerator + t.denominator
 
-    own = Window.partitionBy("token")
-    held = index.withColumns({"_least": F.min("n").over(own), "_first": F.min("key").over(own), "_last": F.max("key").over(own)})
+    held = per_token(index, hot, _least=F.min("n"), _first=F.min("key"), _last=F.max("key"))
     partner = F.greatest(F.col("_least"), F.ceil(F.col("n") * t.numerator / t.denominator))
     held = held.where((F.col("_first") != F.col("_last")) & (F.col("n") - F.col("pos") + 1 >= F.ceil((F.col("n") + partner) * top / bottom)))
-    held = cut(held.select("token", "key", "n", "pos").distinct(), "prefixes")
-    # one text of each class that may have a partner
-    keys = held.select("key").distinct()
-    ids = cut(members.join(keys, "key").groupBy("key").agg(F.min("_id").alias("_id")).select("_id"), "ids")
+    held = cut(held.select("token", "key", "n", "pos").distinct(), "held")
+    # one text, and one list of prefixes, of each class that may have a partner
+    keys = cut(held.select("key").distinct(), "keys")
+    ids = cut(members.groupBy("key").agg(F.min("_id").alias("_id")).join(keys, "key", "left_semi").select("_id"), "ids")
     small = ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     texts = keyed_texts(rows.join(F.broadcast(ids) if small else ids, "_id", "left_semi"), n)
     texts = cut(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    further = cut(sets.drop("p0", "n").join(keys, "key", "left_semi").dropDuplicates(["key"]), "further")
 
     def fits(a: str, b: str):
         least = F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * top / bottom)
         big, less = F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")), F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))
         return (less * t.denominator >= big * t.numerator) & (F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) + 1 >= least)
 
-    first = held.withColumn("c", F.min(F.struct("pos", "key", "n")).over(own))
+    first = per_token(held, hot, c=F.min(F.struct("pos", "key", "n")))
     near = first.select("token", F.struct("key", "n", "pos").alias("x"), F.col("c").alias("y")).where("x.key != y.key").where(fits("x", "y"))
     near = near.groupBy(F.col("y.key").alias("a"), F.col("x.key").alias("b")).count()
+    near = cut(agreeing(near, further).join(near, ["a", "b"]), "agreeing")
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))).where(f"_r <= {NEAREST}").select("a", "b")
-    links = cut(compare(best, texts, n, t, common), "links")
+    links = cut(compare(best, texts, n, t), "links")
     # classes that one repeated id holds
     twice = members.where("n > 0 AND _id IS NOT NULL").groupBy("_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("_k")).where("a != b")
-    links = links.unionByName(twice.select("a", F.explode("_k").alias("b")))
+    links = cut(links.unionByName(twice.select("a", F.explode("_k").alias("b"))), "links")
     label = cut(components(links, "a", "b"), "labels")
 
     labelled = held.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
@@ -236,14 +275,19 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     open_rows = cut(labelled.join(largest, "token"), "open")
     x, y = open_rows.where("comp != main").alias("x"), open_rows.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & fits("x", "y"))
-    rest = rest.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    more = compare(rest, texts, n, t, common)
-    final = components(links.unionByName(more), "a", "b")
-
-    grouped = members.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("component", "key")))
-    least = grouped.where("n > 0 AND _id IS NOT NULL").groupBy("comp").agg(F.min("_id").alias("_c"))
-    out = grouped.join(least, "comp", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_c", "_id")).alias("component_id"))
+    rest = cut(rest.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "rest")
+    # what was compared above and found different is known
+    rest = rest.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = cut(compare(agreeing(rest, further), texts, n, t), "links")
+    final = cut(components(links.unionByName(more), "a", "b"), "labels")
+
+    # by class: the least id of its component; then by row
+    own = members.where("n > 0 AND _id IS NOT NULL").groupBy("key").agg(F.min("_id").alias("_least"))
+    classes = cut(own.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).select("key", "comp", "_least"), "classes")
+    least = classes.groupBy("comp").agg(F.min("_least").alias("_c"))
+    named = cut(join_few(classes.select("key", "comp"), least, "comp").select("key", "_c"), "named")
+    out = join_few(members, named, "key")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("_id"))).alias("component_id"))
 
 
 def keyed_texts(rows: DataFrame, n: int) -> DataFrame:
