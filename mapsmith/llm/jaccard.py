@@ -6,8 +6,9 @@ share last, by how many, and break ties by a hash of their own each.
 
 1. One pass gives each document's set size and digest; documents of equal sets are one class from here on. The same
    pass counts shingles that repeat within a task, which is enough to tell common ones: any order is a right one.
-2. A second pass writes each class's prefix under every order. The first order is indexed by token. Tokens of one
-   class alone go; a row also goes when its position leaves too few tokens for any partner of its token.
+2. A second pass lists each class's prefix under the first order, by token. Tokens of one class alone go; a row also
+   goes when its position leaves too few tokens for any partner of its token. Classes that are left over get their
+   prefixes under the further orders.
 3. Classes are compared with the class that has the token earliest (in a group of near copies, the least edited one),
    and what is similar becomes one component. This leaves few pairs that are not known to be connected.
 4. All other pairs of different components that share a token, early enough in both, are listed; every one has a
@@ -16,8 +17,8 @@ share last, by how many, and break ties by a hash of their own each.
    a token under each further order too. Then the sets themselves are compared.
 
 No pair of one component is compared twice over, none of different components is left out, and no group is capped.
-Tokens that a task met often are dealt with by counts for each task, not in one group (``per_token``); class keys and
-components of many rows are joined by broadcasting the few of them (``join_few``).
+Tokens that repeat often are dealt out by class too, and what is needed of them as a whole is aggregated in each task
+first; class keys and components of many rows are joined by broadcasting the few of them (``join_few``).
 
 Results in special cases: a document of fewer words than a shingle has its whole sequence as one shingle; one
 without words has an empty set, which is linked with nothing; a null id is linked with nothing and has no component;
@@ -45,8 +46,8 @@ COUNT_AT_ONCE = 3_000_000
 #: Up to so many class keys are broadcast to pick the texts to compare (8 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 NEAREST = 3
-#: A token that repeats so often, and at most so many of the most common ones, are not grouped in one task.
-HOT_TIMES, HOT_TOKENS = 1_000, 10_000
+#: A token of this level (from 724 times on; there are COMMON at most) is dealt to SALTS groups by class.
+HOT_LEVEL, SALTS = 20, 64
 #: A key is hot if it has more than one in HOT_SHARE of all rows (so there are fewer than HOT_SHARE of them), and
 #: more than HOT_ROWS.
 HOT_SHARE, HOT_ROWS = 2_000, 200
@@ -76,15 +77,18 @@ def class_key(tokens: np.ndarray) -> int:
     return int(signed(wordhash.mix(np.array([total], np.uint64)))[0])
 
 
-def ranks(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+def level_of(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How common each token is, from 0."""
+    if not len(common[0]) or not len(tokens):
+        return np.zeros(len(tokens), np.int64)
+    at = np.searchsorted(common[0], tokens).clip(max=len(common[0]) - 1)
+    return np.where(common[0][at] == tokens, common[1][at], 0)
+
+
+def ranks(tokens: np.ndarray, level: np.ndarray, orders: range) -> list[np.ndarray]:
     """For each order, indices that sort ``tokens`` by how common they are, then by the order's own hash."""
-    level = np.zeros(len(tokens), np.int64)
-    if len(common[0]) and len(tokens):
-        at = np.searchsorted(common[0], tokens).clip(max=len(common[0]) - 1)
-        level = np.where(common[0][at] == tokens, common[1][at], 0)
-    # the level goes on top of the hash: one sort of numbers
-    top = level.astype(np.uint64) << np.uint64(57)
-    return [np.argsort(top | (wordhash.mix(tokens ^ _SALTS[k]) >> np.uint64(7)), kind="stable") for k in range(ORDERS)]
+    top = level.astype(np.uint64) << np.uint64(57)  # on top of the hash: one sort of numbers
+    return [np.argsort(top | (wordhash.mix(tokens ^ _SALTS[k]) >> np.uint64(7)), kind="stable") for k in orders]
 
 
 def prefix_size(n, t: Fraction):
@@ -134,19 +138,17 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, n long, key long, token long, times long")
 
 
-def common_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Sorted common tokens, the level of each (at most COMMON of them), and those that are hot."""
+def common_tokens(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted common tokens, and the level of each (at most COMMON of them)."""
     counted = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where("times >= 12")
     got = counted.orderBy(F.desc("times"), "token").limit(COMMON).toArrow()
     tokens, times = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    hot = signed(tokens[:HOT_TOKENS][times[:HOT_TOKENS] >= HOT_TIMES]).tolist()
     order = np.argsort(tokens)
-    return tokens[order], 1 + (2 * np.log2(np.maximum(times[order], 1))).astype(np.int64), hot
+    return tokens[order], 1 + (2 * np.log2(np.maximum(times[order], 1))).astype(np.int64)
 
 
 def prefixes(rows: DataFrame, n: int, t: Fraction, common) -> DataFrame:
-    """(key, n, p0, p1, ...): the prefix under each order, for each class met in a task."""
-    names = ["key", "n", *(f"p{k}" for k in range(ORDERS))]
+    """(token, key, n, pos, salt) of the first order, for each class met in a task; salt is above 0 for hot tokens."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -155,34 +157,48 @@ def prefixes(rows: DataFrame, n: int, t: Fraction, common) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                keys, sizes, found = [], [], [[] for _ in range(ORDERS)]
+                out: list[list] = [[], [], [], [], []]
                 for tokens in shingle_sets(part.column(0).to_pylist(), n):
                     if not len(tokens) or (key := class_key(tokens)) in known:
                         continue
                     known.add(key)
-                    many = prefix_size(len(tokens), t)
-                    keys.append(key)
-                    sizes.append(len(tokens))
-                    for k, of in enumerate(ranks(tokens, common.value)):
-                        found[k].append(signed(tokens[of[:many]]))
+                    many, level = prefix_size(len(tokens), t), level_of(tokens, common.value)
+                    first = ranks(tokens, level, range(1))[0][:many]
+                    out[0].append(signed(tokens[first]))
+                    out[1].append(np.full(many, key, np.int64))
+                    out[2].append(np.full(many, len(tokens), np.int32))
+                    out[3].append(np.arange(1, many + 1, dtype=np.int32))
+                    out[4].append(np.where(level[first] >= HOT_LEVEL, 1 + key % SALTS, 0).astype(np.int8))
                 if len(known) > 500_000:
                     known.clear()
-                if keys:
-                    ends = pa.array(np.cumsum([0, *map(len, found[0])]).astype(np.int32))
-                    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(f))) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *lists], names=names)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["token", "key", "n", "pos", "salt"])
 
-    return rows.where("_id IS NOT NULL").select("_t").mapInArrow(run, "key long, n int, " + ", ".join(f"{c} array<long>" for c in names[2:]))
+    return rows.where("_id IS NOT NULL").select("_t").mapInArrow(run, "token long, key long, n int, pos int, salt byte")
 
 
-def per_token(rows: DataFrame, hot: DataFrame, **of: Column) -> DataFrame:
-    """``rows`` with aggregates over each token: by window, but for hot tokens from what each task has aggregated."""
-    own = Window.partitionBy("token")
-    some = rows.join(F.broadcast(hot), "token", "left_semi")
-    stats = some.groupBy("token").agg(*[c.alias(name) for name, c in of.items()])  # as many rows as there are hot tokens
-    many = some.join(F.broadcast(stats), "token")
-    few = rows.join(F.broadcast(hot), "token", "left_anti").withColumns({name: c.over(own) for name, c in of.items()})
-    return few.unionByName(many)
+def classes_of(rows: DataFrame, n: int, t: Fraction, common) -> DataFrame:
+    """(key, _t, p1, p2, ...) of rows of (_id, _t): a text of the class, and 32 bits of each token of its prefixes under
+    the further orders."""
+    names = [f"p{k}" for k in range(1, ORDERS)]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                keys, found, sizes = [], [[] for _ in names], [0]
+                for tokens in shingle_sets(part.column(0).to_pylist(), n):
+                    many = prefix_size(len(tokens), t) if len(tokens) else 0
+                    keys.append(class_key(tokens) if many else None)
+                    sizes.append(many)
+                    for k, of in enumerate(ranks(tokens, level_of(tokens, common.value), range(1, ORDERS))):
+                        found[k].append(tokens[of[:many]].astype(np.uint32).view(np.int32))
+                ends = pa.array(np.cumsum(sizes).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), part.column(0), *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(f) if f else np.zeros(0, np.int32))) for f in found)], names=["key", "_t", *names])
+
+    return rows.select("_t").mapInArrow(run, "key long, _t string, " + ", ".join(f"{c} array<int>" for c in names))
 
 
 def join_few(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -232,44 +248,47 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     spark, t = docs.sparkSession, Fraction(threshold)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     found = cut(signatures(rows, n), "signatures")
-    tokens, levels, often = common_tokens(found)
-    common = spark.sparkContext.broadcast((tokens, levels))
-    hot = spark.createDataFrame([(x,) for x in often], "token long")
+    common = spark.sparkContext.broadcast(common_tokens(found))
     members = found.where("n IS NOT NULL").select("_id", "n", "key")
-    # a class that several tasks met is there once
-    sets = cut(prefixes(rows, n, t, common), "prefixes")
-    index = sets.select("key", "n", F.posexplode("p0").alias("pos", "token")).select("token", "key", "n", (F.col("pos") + 1).alias("pos"))
+    index = prefixes(rows, n, t, common)
     top, bottom = t.numerator, t.numerator + t.denominator
 
-    held = per_token(index, hot, _least=F.min("n"), _first=F.min("key"), _last=F.max("key"))
-    partner = F.greatest(F.col("_least"), F.ceil(F.col("n") * t.numerator / t.denominator))
-    held = held.where((F.col("_first") != F.col("_last")) & (F.col("n") - F.col("pos") + 1 >= F.ceil((F.col("n") + partner) * top / bottom)))
-    held = cut(held.select("token", "key", "n", "pos").distinct(), "held")
-    # one text, and one list of prefixes, of each class that may have a partner
-    keys = cut(held.select("key").distinct(), "keys")
+    # of a hot token the least partner is not known here: any that its size allows
+    own = Window.partitionBy("token", "salt")
+    held = index.withColumns({"_least": F.min("n").over(own), "_first": F.min("key").over(own), "_last": F.max("key").over(own)})
+    smallest = F.ceil(F.col("n") * t.numerator / t.denominator)
+    partner = F.when(F.col("salt") > 0, smallest).otherwise(F.greatest(F.col("_least"), smallest))
+    held = held.where((F.col("salt") > 0) | (F.col("_first") != F.col("_last"))).where(F.col("n") - F.col("pos") + 1 >= F.ceil((F.col("n") + partner) * top / bottom))
+    held = cut(held.select("token", "key", "n", "pos", "salt").distinct(), "held")
+    # one text, and the further prefixes, of each class that may have a partner
+    keys = held.select("key").distinct()
     ids = cut(members.groupBy("key").agg(F.min("_id").alias("_id")).join(keys, "key", "left_semi").select("_id"), "ids")
     small = ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    texts = keyed_texts(rows.join(F.broadcast(ids) if small else ids, "_id", "left_semi"), n)
+    texts = classes_of(rows.join(F.broadcast(ids) if small else ids, "_id", "left_semi"), n, t, common)
     texts = cut(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    further = cut(sets.drop("p0", "n").join(keys, "key", "left_semi").dropDuplicates(["key"]), "further")
+    further = texts.drop("_t")
 
     def fits(a: str, b: str):
         least = F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * top / bottom)
         big, less = F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")), F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))
         return (less * t.denominator >= big * t.numerator) & (F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) + 1 >= least)
 
-    first = per_token(held, hot, c=F.min(F.struct("pos", "key", "n")))
+    # the earliest row of each token: by window, and for hot tokens from what each task has aggregated
+    row = F.struct("pos", "key", "n")
+    few = held.where("salt = 0").withColumn("c", F.min(row).over(Window.partitionBy("token")))
+    many = held.where("salt > 0")
+    first = few.unionByName(many.join(F.broadcast(many.groupBy("token").agg(F.min(row).alias("c"))), "token").select(few.columns))  # COMMON rows at most
     near = first.select("token", F.struct("key", "n", "pos").alias("x"), F.col("c").alias("y")).where("x.key != y.key").where(fits("x", "y"))
     near = near.groupBy(F.col("y.key").alias("a"), F.col("x.key").alias("b")).count()
-    near = cut(agreeing(near, further).join(near, ["a", "b"]), "agreeing")
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))).where(f"_r <= {NEAREST}").select("a", "b")
-    links = cut(compare(best, texts, n, t), "links")
+    best = cut(best, "best")
+    links = cut(compare(agreeing(best, further), texts, n, t), "links")
     # classes that one repeated id holds
     twice = members.where("n > 0 AND _id IS NOT NULL").groupBy("_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("_k")).where("a != b")
     links = cut(links.unionByName(twice.select("a", F.explode("_k").alias("b"))), "links")
     label = cut(components(links, "a", "b"), "labels")
 
-    labelled = held.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    labelled = held.drop("salt").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     sizes = labelled.groupBy("token", "comp").count()
     largest = sizes.groupBy("token").agg(F.max(F.struct("count", F.col("comp"))).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.comp").alias("main"))
     open_rows = cut(labelled.join(largest, "token"), "open")
@@ -288,18 +307,3 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     named = cut(join_few(classes.select("key", "comp"), least, "comp").select("key", "_c"), "named")
     out = join_few(members, named, "key")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.when(F.col("n") > 0, F.col("_c")).otherwise(F.col("_id"))).alias("component_id"))
-
-
-def keyed_texts(rows: DataFrame, n: int) -> DataFrame:
-    """(key, _t) of rows of (_id, _t)."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                keys = [class_key(tokens) if len(tokens) else None for tokens in shingle_sets(part.column(0).to_pylist(), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), part.column(0)], names=["key", "_t"])
-
-    return rows.select("_t").mapInArrow(run, "key long, _t string")
