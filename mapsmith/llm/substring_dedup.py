@@ -34,7 +34,7 @@ from mapsmith.llm.common import cut
 
 ANCHOR = 5
 #: Suffixes of a group; an anchor that more suffixes share is split by whole windows.
-GROUP = 40_000
+GROUP = 8_000
 #: Tasks that the rows of such an anchor are dealt to when they get its count.
 SALTS = 64
 
