@@ -8,14 +8,17 @@ its rows); further columns are carried by ``apply_bitmaps`` and never looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapsmith.llm.common import SPACE, ascii_lower, cut
 
-#: A hash is split by document into so many parts, so that a line held by a third of all documents is still dealt
-#: to several tasks; the first of each part meet in a second pass of at most that many documents a line.
-SALTS = 32
+#: A hash is split by document into at least so many parts, so that a line held by a third of all documents is still
+#: dealt to several tasks; the first of each part meet in a second pass of at most that many documents a line. With the
+#: lines' number their root grows, so that neither pass gets a line as a whole.
+SALTS, LINES_A_SALT = 32, 64
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -29,7 +32,9 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """(_id, _th, _runs): the dropped lines of each document that loses any, as sorted (start, n) runs."""
-    lines = cut(line_hashes(docs, id_col, text_col, min_chars), "lines").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    lines = cut(line_hashes(docs, id_col, text_col, min_chars), "lines")
+    salts = max(SALTS, math.isqrt(lines.count() // LINES_A_SALT))
+    lines = lines.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
     dealt = lines.repartitionByRange("_h1", "_h2", "_salt")
     first = dealt.withColumn("_first", F.first("_id").over(Window.partitionBy("_h1", "_h2", "_salt").orderBy("_id", "_pos")))
     later = first.where("_id > _first").select("_id", "_th", "_pos")
