@@ -19,7 +19,7 @@ from mapsmith.operators import network as nw
 from mapsmith.operators import points as pt
 from mapsmith.operators import spatial as sp
 from mapsmith.operators.model import Features
-from mapsmith.plans import relations, shapes  # noqa: F401  registers further queries
+from mapsmith.plans import cases, relations, shapes  # noqa: F401  registers further queries
 from mapsmith.plans.registry import AREA, CELLS, ENDS, JOIN, MEET, NEAR, ORACLES, OVERLAP, QUERIES, comps, query, rounded
 from mapsmith.plans.views import duck, features, view
 
@@ -389,13 +389,13 @@ def ranked(spark, sf_dir):
     return lines.rank_parallel(rows, "cls").select("cls", "k", F.col("_rank").alias("rnk"))
 
 
-# algorithms without SQL -------------------------------------------------------------------------------------------
+# algorithms over whole views, most without SQL -------------------------------------------------------------------------------------------
 
 
-def algorithm(name: str, command: str, view_name: str, refs: dict[str, str] | None = None, **parameters) -> None:
+def algorithm(name: str, command: str, view_name: str, refs: dict[str, str] | None = None, oracle: str | None = None, **parameters) -> None:
     """Summary of an algorithm's result over all rows of a view: rows, and their rounded measures."""
 
-    @query(name)
+    @query(name, oracle)
     def run(spark, sf_dir):
         columns = ["fid", "cls", "geom", "_ord"]
         data = Features(features(spark, sf_dir, view_name).withColumn("elevation_value", F.col("k") % 10).select(*columns, "elevation_value"))
@@ -406,14 +406,22 @@ def algorithm(name: str, command: str, view_name: str, refs: dict[str, str] | No
 
 algorithm("A2_building_areas", "building_areas", "rects", {"roads": "edges_right", "parcels": "masks"}, threshold_building_area_far=900.0, threshold_building_area_near=300.0)
 algorithm("A3_buildings", "buildings", "rects", None, building_class_column="cls", side_threshold=20, point_size=5, minimum_distance_to_isolated_building=10)
-algorithm("A4_cliffs", "cliffs", "edges", {"roads": "edges_up"}, buffer_size=0.2, length_threshold=0.1)
+algorithm(
+    "A4_cliffs", "cliffs", "edges", {"roads": "edges_up"},
+    f"WITH {duck('edges')}, u AS (SELECT ax x, ay y FROM edges_up UNION SELECT bx, by_ FROM edges_up) SELECT fid, 'LineString' kind, 0.0 area, CAST(1 - 0.2 * (EXISTS (SELECT 1 FROM u WHERE u.x = r.ax AND u.y = r.ay))::INT - 0.2 * (EXISTS (SELECT 1 FROM u WHERE u.x = r.bx AND u.y = r.by_))::INT AS DOUBLE) n FROM edges_right r",
+    buffer_size=0.2, length_threshold=0.1,
+)
 algorithm("A5_conservation_areas", "conservation_areas", "rects", {"water_areas": "masks"}, area_threshold=100.0)
 algorithm("A6_contours", "contours", "edges", {"slope": "pts"}, length_threshold=1.0, gaussian_filter_strength=0.2)
 algorithm("A7_fences", "fences", "edges", {"masts": "pts"}, attribute_for_line_merge="cls", gap_threshold=0.5, fence_length_threshold=2, fence_length_threshold_in_closed_area=3, simplification_tolerance=0.1, closing_fence_area_threshold=2, closing_fence_area_with_mast_threshold=4)
 algorithm("A9_landcover", "landcover", "rects", None, positive_buffer=3, negative_buffer=-3, simplification_tolerance=1, area_threshold=100, hole_threshold=50)
-algorithm("A10_polygons_to_points", "polygons_to_points", "rects", None, polygon_min_area=200.0)
+algorithm(
+    "A10_polygons_to_points", "polygons_to_points", "rects", None,
+    f"WITH {duck('rects')} SELECT fid, CASE WHEN {AREA} >= 200 THEN 'Polygon' ELSE 'Point' END kind, CAST(CASE WHEN {AREA} >= 200 THEN {AREA} ELSE 0 END AS DOUBLE) area, CAST(CASE WHEN {AREA} >= 200 THEN 2 * (x1 - x0 + y1 - y0) ELSE 0 END AS DOUBLE) n FROM rects",
+    polygon_min_area=200.0,
+)
 algorithm("A11_power_lines", "power_lines", "edges", {"fences": "edges_up", "substations": "masks"}, class_column="cls", length_threshold=2.0, distance_threshold_for_parallel_lines=0.4, classes_for_higher_priority_lines=frozenset({"1-URGENT"}))
 algorithm("A12_railroads", "railroads", "edges", None, fan_minimum_length=3, fan_rail_parallel_distance=1.2, pack_cluster_length_threshold=2, pack_track_maximum_length=6)
-algorithm("A14_shared_paths", "shared_paths", "edges", {"roads": "edges_right"}, detection_distance=0.3)
+algorithm("A14_shared_paths", "shared_paths", "edges", {"roads": "edges_right"}, f"WITH {duck('edges')} SELECT fid, 'LineString' kind, 0.0 area, 1.0 n FROM edges_up", detection_distance=0.3)
 algorithm("A16_water_areas", "water_areas", "rects", {"shoreline": "edges_right"}, min_area=100, area_simplification_tolerance=1, thin_section_width=4, thin_section_min_size=5, thin_section_exaggerate_by=0.5)
 algorithm("A17_watercourse_areas", "watercourse_areas", "rects", None, min_area=100, area_simplification_tolerance=1, thin_section_width=4, line_transform_width=8, line_min_length=5, min_new_section_length=6)

@@ -338,8 +338,8 @@ def codes(spark, sf_dir):
     return lines.typed_tracks(edges, 2.0, 1e9).select("fid", F.col("_kind").alias("kind"))
 
 
-@query("N20_prune_dead_ends", f"""WITH RECURSIVE {duck("edges")}, w AS MATERIALIZED (SELECT k, fid, ax * 1000 + ay a, bx * 1000 + by_ b, k % 4 = 0 free FROM edges),
-{", ".join(f"r{i + 1} AS MATERIALIZED (SELECT * FROM r{i} o WHERE free OR (EXISTS (SELECT 1 FROM r{i} n WHERE n.k != o.k AND (n.a = o.a OR n.b = o.a)) AND EXISTS (SELECT 1 FROM r{i} n WHERE n.k != o.k AND (n.a = o.b OR n.b = o.b))))" for i in range(40)).replace("FROM r0 ", "FROM w ")} SELECT fid FROM r40""")
+@query("N20_prune_dead_ends", f"""WITH RECURSIVE {duck("edges")}, w AS MATERIALIZED (SELECT k, fid, ax * 1000 + ay a, bx * 1000 + by_ b, k % 4 = 0 free FROM edges), r0 AS (SELECT * FROM w),
+{", ".join(f"d{i} AS MATERIALIZED (SELECT x, count(*) n FROM (SELECT a x FROM r{i} UNION ALL SELECT b FROM r{i}) GROUP BY x), r{i + 1} AS MATERIALIZED (SELECT r.* FROM r{i} r JOIN d{i} p ON p.x = r.a JOIN d{i} q ON q.x = r.b WHERE free OR (p.n > 1 AND q.n > 1))" for i in range(40))} SELECT fid FROM r40""")
 def pruned(spark, sf_dir):
     e = plain(spark, sf_dir, "edges", "k").withColumn("kind", F.when(F.col("k") % 4 == 0, "free_track").otherwise("cluster_track"))
     return nw.prune_to_fixpoint(e, "kind", "cluster_track").select("fid")
