@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,16 +12,17 @@ from mapsmith.plans.cutting import cut, drop_cut
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to its least neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
-    return least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # aggregated in each task first and joined, as a node may have edges to a third of all nodes
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-    own = least.select("u", F.col("m").alias("v"))
-    return least.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    others = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 60) -> DataFrame:

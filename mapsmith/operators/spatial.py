@@ -125,11 +125,13 @@ def dissolve(df: DataFrame, *, by: list[str] | None = None, old_ids: str = "old_
     that order (G1). Polygons that touch the rest in single points only stay apart; rows with a null ``by`` go."""
     by = by or []
     rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) if by else df
-    grouped = cut(labels(rows, touching(rows, by=by)), "groups")
+    grouped = cut(labels(rows, touching(rows, by=by)).withColumn("_in", g.call("inside", "geom")), "groups")
     merged = grouped.groupBy("_comp").agg(g.union(F.collect_list("geom")).alias("_u"))
     pieces = merged.select("_comp", F.posexplode(g.dump("_u")).alias("_k", "_part"))
+    pieces = cut(pieces, "pieces")
     single = pieces.groupBy("_comp").agg(F.count("*").alias("_n"))
-    member = grouped.join(single, "_comp").join(pieces, "_comp").where((F.col("_n") == 1) | g.call("covers", g.buffer("_part", 1e-6), "geom"))
+    # a member lies in the piece that holds a point of its inside
+    member = grouped.join(single, "_comp").join(pieces, "_comp").where((F.col("_n") == 1) | g.call("intersects", "_part", "_in"))
     order = [F.desc("_size"), "_ord"] if inherit_from == "most_intersection" else ["fid"]
     ranked = member.withColumn("_size", g.area("geom")).withColumn("_r", F.row_number().over(Window.partitionBy("_comp", "_k").orderBy(*order)))
     ids = ranked.groupBy("_comp", "_k").agg(F.array_sort(F.collect_list(F.struct("_r", "fid"))).alias("_ids"))
