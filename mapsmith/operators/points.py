@@ -13,6 +13,10 @@ from mapsmith.operators.spatial import labels, with_group_number
 from mapsmith.plans.cutting import cut
 
 
+#: So many points in a cell, and pairs of points are too many.
+DENSE = 64
+
+
 def near_pairs(points: DataFrame, distance: float, *, strict: bool = False, others: DataFrame | None = None) -> DataFrame:
     """(a, b, d) of ids of points (id, x, y) at ``distance`` or less, each pair once (with ``others``: of either
     table); cells of the distance's size, so only the nine around a point are looked at."""
@@ -27,6 +31,40 @@ def near_pairs(points: DataFrame, distance: float, *, strict: bool = False, othe
     return met.withColumn("d", d).where(F.col("d") < distance if strict else F.col("d") <= distance)
 
 
+def near_links(points: DataFrame, distance: float, *, strict: bool = False) -> DataFrame:
+    """(a, b): links between points (id, x, y) whose components are those of all pairs at ``distance`` or less.
+
+    Where points are sparse these are the pairs. Where more than DENSE points lie in a cell of a quarter of the
+    distance, all pairs would be too many: there each point is linked with the first of its cell, a cell with those
+    that are near whichever points of the two are taken, and points are compared only between cells that this leaves
+    unconnected."""
+    size = max(distance, 1e-9) / 4
+    held = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.floor(F.col("x") / size).alias("px"), F.floor(F.col("y") / size).alias("py"))
+    cells = held.groupBy("px", "py").agg(F.min("id").alias("first"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n"))
+    cells = cut(cells, "cells")
+    if (cells.agg(F.max("n")).head()[0] or 0) <= DENSE:
+        return near_pairs(points, distance, strict=strict).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    held = cut(held, "points")
+    first = held.join(cells.select("px", "py", "first"), ["px", "py"])
+    own = first.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    coarse = lambda n: cells.select(F.floor(F.col("px") / 4).alias("cx"), F.floor(F.col("py") / 4).alias("cy"), *[F.col(c).alias(f"{n}{c}") for c in cells.columns])
+    around = coarse("a").withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    met = around.join(coarse("b"), ["cx", "cy"]).where("afirst < bfirst")
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"a{k}0") - F.col(f"b{k}1"), F.col(f"b{k}0") - F.col(f"a{k}1"))
+    span = lambda k: F.greatest(F.col(f"a{k}1") - F.col(f"b{k}0"), F.col(f"b{k}1") - F.col(f"a{k}0"))
+    least, most = F.hypot(gap("x"), gap("y")), F.hypot(span("x"), span("y"))
+    near = lambda d: d < distance if strict else d <= distance
+    met = cut(met.where(near(least)).select("apx", "apy", "bpx", "bpy", F.col("afirst").alias("a"), F.col("bfirst").alias("b"), near(most).alias("sure")), "cell-pairs")
+    sure = met.where("sure").select("a", "b")
+    label = cut(components(sure, "a", "b"), "labels")
+    side = lambda n: label.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    unsure = met.where("NOT sure").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    of = lambda n: held.select(F.col("px").alias(f"{n}px"), F.col("py").alias(f"{n}py"), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    pairs = unsure.select("apx", "apy", "bpx", "bpy", "a", "b").join(of("a"), ["apx", "apy"]).join(of("b"), ["bpx", "bpy"])
+    tied = pairs.where(near(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")))).select("a", "b").distinct()
+    return own.unionByName(sure).unionByName(tied)
+
+
 def xy(df: DataFrame) -> DataFrame:
     v = F.element_at(g.vertices("geom"), 1)
     return df.withColumns({"x": v[0], "y": v[1], "z": v[2]})
@@ -35,8 +73,8 @@ def xy(df: DataFrame) -> DataFrame:
 def cluster_labels(df: DataFrame, eps: float) -> DataFrame:
     """``df`` (with _ord, x, y) plus _comp: components of the graph of distances up to ``eps`` (DBSCAN with two
     members at least), null for single points (G7)."""
-    edges = near_pairs(df.select(F.col("_ord").alias("id"), "x", "y"), eps).select("a_id", "b_id")
-    found = components(edges, "a_id", "b_id").select(F.col("node").alias("_ord"), F.col("component").alias("_comp"))
+    edges = near_links(df.select(F.col("_ord").alias("id"), "x", "y"), eps)
+    found = components(edges, "a", "b").select(F.col("node").alias("_ord"), F.col("component").alias("_comp"))
     return df.join(found, "_ord", "left")
 
 
@@ -83,7 +121,7 @@ def reduce_by_clustering(df: DataFrame, distance: float, key: str, members: str)
     """One row for each component of overlapping buffers: that of the least key, at the centroid of the united
     buffers (G9)."""
     some = xy(df)
-    edges = near_pairs(some.select(F.col("_ord").alias("id"), "x", "y"), 2 * distance, strict=True).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    edges = near_links(some.select(F.col("_ord").alias("id"), "x", "y"), 2 * distance, strict=True)
     grouped = labels(some, edges)
     area = g.centroid(g.union(F.collect_list(g.buffer("geom", distance))))
     by = grouped.groupBy("_comp").agg(F.min_by(F.struct(*[c for c in df.columns if c != "geom"]), key).alias("_f"), area.alias("_g"), F.coalesce(F.avg(F.when(~F.isnan("z"), F.col("z"))), F.lit(0.0)).alias("_z"), F.array_sort(F.collect_list(key)).alias("_m"))

@@ -17,6 +17,8 @@ from mapsmith.plans.cutting import cut
 
 #: A row covers at most about so many cells a side.
 MOST_CELLS = 200
+#: Rows that are united in one go.
+AT_ONCE = 2_000
 
 
 def cell_size(*tables: DataFrame, distance: float = 0.0, geom: str = "geom") -> float:
@@ -120,13 +122,30 @@ def with_group_number(df: DataFrame, comp: str, column: str, start: int = 1) ->
     return df.join(numbers, comp, "left")
 
 
+def united(grouped: DataFrame) -> DataFrame:
+    """(_comp, geom): the union of each component's rows. Where a component has more than AT_ONCE of them, they are
+    united by tile first, so that one task gets a shape for each tile, not all rows."""
+    sizes = grouped.groupBy("_comp").count()
+    large = cut(sizes.where(F.col("count") > AT_ONCE).select("_comp"), "large")
+    if large.isEmpty():
+        return grouped.groupBy("_comp").agg(g.union(F.collect_list("geom")).alias("geom"))
+    e = g.call("envelope", "geom")
+    rows = grouped.join(large, "_comp", "left_semi").select("_comp", "geom", e.alias("_e"))
+    wide = rows.where("_e IS NOT NULL").agg(F.count("*").alias("n"), F.avg(F.greatest(F.col("_e")[2] - F.col("_e")[0], F.col("_e")[3] - F.col("_e")[1])).alias("m"), (F.max(F.col("_e")[2]) - F.min(F.col("_e")[0])).alias("w"), (F.max(F.col("_e")[3]) - F.min(F.col("_e")[1])).alias("h")).head()
+    size = max(4 * (wide["m"] or 0.0), ((wide["w"] or 1.0) * (wide["h"] or 1.0) * AT_ONCE / max(1, wide["n"])) ** 0.5, 1e-9)
+    tiled = rows.groupBy("_comp", F.floor(F.col("_e")[0] / size).alias("_tx"), F.floor(F.col("_e")[1] / size).alias("_ty")).agg(g.union(F.collect_list("geom")).alias("geom"))
+    many = cut(tiled, "tiles").groupBy("_comp").agg(g.union(F.collect_list("geom")).alias("geom"))
+    few = grouped.join(large, "_comp", "left_anti").groupBy("_comp").agg(g.union(F.collect_list("geom")).alias("geom"))
+    return few.unionByName(many)
+
+
 def dissolve(df: DataFrame, *, by: list[str] | None = None, old_ids: str = "old_ids", inherit_from: str = "most_intersection") -> DataFrame:
     """Union of meeting polygons with the attributes of the largest (or least id) member and the members' ids in
     that order (G1). Polygons that touch the rest in single points only stay apart; rows with a null ``by`` go."""
     by = by or []
     rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) if by else df
     grouped = cut(labels(rows, touching(rows, by=by)).withColumn("_in", g.call("inside", "geom")), "groups")
-    merged = grouped.groupBy("_comp").agg(g.union(F.collect_list("geom")).alias("_u"))
+    merged = united(grouped).withColumnRenamed("geom", "_u")
     pieces = merged.select("_comp", F.posexplode(g.dump("_u")).alias("_k", "_part"))
     pieces = cut(pieces, "pieces")
     single = pieces.groupBy("_comp").agg(F.count("*").alias("_n"))
@@ -148,9 +167,9 @@ def explode_parts(df: DataFrame) -> DataFrame:
 def union_parts(df: DataFrame, *, by: list[str] | None = None) -> DataFrame:
     """The parts of the union of all rows (of equal ``by`` columns), each with the attributes of its first row (G2):
     by component, never all rows in one task."""
-    grouped = labels(df, touching(df, by=by))
-    first = grouped.groupBy("_comp").agg(F.min_by(F.struct(*[c for c in df.columns if c != "geom"]), "_ord").alias("_f"), g.union(F.collect_list("geom")).alias("geom"))
-    out = first.select(*[F.col("geom") if c == "geom" else F.col(f"_f.{c}") for c in df.columns])
+    grouped = cut(labels(df, touching(df, by=by)), "groups")
+    first = grouped.groupBy("_comp").agg(F.min_by(F.struct(*[c for c in df.columns if c != "geom"]), "_ord").alias("_f"))
+    out = first.join(united(grouped), "_comp").select(*[F.col("geom") if c == "geom" else F.col(f"_f.{c}") for c in df.columns])
     return explode_parts(out)
 
 

@@ -111,3 +111,28 @@ def test_empty_tables(spark):
     none = Features(table(spark, "POINT (0 0)").limit(0))
     assert lines.GeneralizePoints().execute(none).df.count() == 0
     assert lines.GeneralizeRoads().execute(Features(table(spark, "LINESTRING (0 0, 1 1)").limit(0))).df.count() == 0
+
+
+def test_dense_points_have_the_same_clusters(spark, monkeypatch):
+    """By links between cells, what all pairs give."""
+    import random
+
+    rng = random.Random(3)
+    wkts = [f"POINT ({rng.gauss(0, 1):.3f} {rng.gauss(0, 1):.3f})" for _ in range(200)] + [f"POINT ({rng.uniform(-30, 30):.2f} {rng.uniform(-30, 30):.2f})" for _ in range(200)] + ["POINT (100 100)", "POINT (101 100)", "POINT (102.001 100)"]
+    df = pt.xy(table(spark, *wkts))
+    for eps in (1.0, 2.5):
+        monkeypatch.setattr(pt, "DENSE", 10_000)
+        want = {r["fid"]: r["cluster"] for r in pt.cluster_ids(df, eps).collect()}
+        monkeypatch.setattr(pt, "DENSE", 1)
+        assert {r["fid"]: r["cluster"] for r in pt.cluster_ids(df, eps).collect()} == want
+    assert want["400"] == want["401"] != -1
+
+
+def test_large_components_are_united_by_tile(spark, monkeypatch):
+    wkts = [f"POLYGON (({i} {j}, {i + 1} {j}, {i + 1} {j + 1}, {i} {j + 1}, {i} {j}))" for i in range(12) for j in range(12) if (i, j) != (5, 5)] + ["POLYGON ((50 50, 51 50, 51 51, 50 50))"]
+    df = table(spark, *wkts)
+    plain = sorted(r["a"] for r in sp.union_parts(df).select(g.area("geom").alias("a")).collect())
+    monkeypatch.setattr(sp, "AT_ONCE", 20)
+    tiled = sorted(r["a"] for r in sp.union_parts(df).select(g.area("geom").alias("a")).collect())
+    assert tiled == plain == [0.5, 143.0]
+    assert sorted((len(r["old_ids"]), r["a"]) for r in sp.dissolve(df).select("old_ids", g.area("geom").alias("a")).collect()) == [(1, 0.5), (143, 143.0)]
