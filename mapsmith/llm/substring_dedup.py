@@ -98,9 +98,9 @@ def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
 
 
 def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
-    """From (_id, _th, _z, _at: [(pos, n)]) to rows of two kinds: suffixes to compare (grp, _id, _th, pos, left:
-    words before the anchor, words, mask: of the windows to judge there) and, without words, those known to repeat a
-    lesser id's (mask: these windows)."""
+    """From (_id, _th, _z, _at: [(pos, n)]) to rows of two kinds: suffixes to compare (grp, _id, _th, pos: where the
+    document has them, left: words before the anchor, words, mask: of the windows to judge there) and, without words,
+    those known to repeat a lesser id's (mask: these windows)."""
     before = length - ANCHOR
 
     def run(batches: Iterator) -> Iterator:
@@ -110,25 +110,36 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         every = (1 << before + 1) - 1
         names = ["grp", "_id", "_th", "pos", "left", "words", "mask"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int32()]
         least: dict[tuple[int, bytes], tuple] = {}
-        also: dict[tuple[int, bytes], list[tuple]] = {}  # as the one kept, from the same document
+        also: dict[tuple[int, bytes], list[tuple]] = {}  # as the one kept, from another row of the same id
 
         def rows(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         def keep(held: dict, more: dict, key: tuple, mine: tuple, known: list) -> None:
-            """One row of the least id for each key; the others are known to repeat it."""
+            """One row of the least id for each key, with all its places; the others are known to repeat it."""
             other = held.setdefault(key, mine)
+            if other is mine:
+                return
             if other[0] < mine[0]:
                 known.append(repeated(mine))
             elif other[0] > mine[0]:
                 known.append(repeated(other))
                 known += map(repeated, more.pop(key, ()))
                 held[key] = mine
-            elif other is not mine:
+            elif same := next((x for x in (other, *more.get(key, ())) if x[1] == mine[1]), None):
+                same[2].extend(mine[2])
+            else:
                 more.setdefault(key, []).append(mine)
 
+        def together(known: list) -> list[tuple]:
+            """A row for all places of a document that repeat alike."""
+            places: dict[tuple, list[int]] = {}
+            for _, doc, crc, pos, _, _, mask in known:
+                places.setdefault((doc, crc, mask), []).extend(pos)
+            return [(None, doc, crc, pos, None, None, mask) for (doc, crc, mask), pos in places.items()]
+
         def sent() -> Iterator:
             out, windows, twice = [], {}, {}
 
@@ -146,7 +157,7 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
                     for o in range(left + 1):
                         if length - o <= right:
                             window = b" ".join(words[left - o : left - o + length])
-                            keep(windows, twice, (o, window), (doc, crc, pos, o, n, length - o, window), out)
+                            keep(windows, twice, (o, window), (doc, crc, list(pos), o, n, length - o, window), out)
                     if len(windows) > 200_000:
                         out += split()
                 if len(out) >= 20_000:
@@ -158,6 +169,7 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
             least.clear()
             also.clear()
 
+        seen = 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -167,19 +179,21 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
                     for place in places:
                         pos, left = place["pos"], min(place["pos"], before)
                         context = b" ".join(words[pos - left : pos + length])
-                        mine = (doc, crc, pos, left, place["n"], min(length, len(words) - pos), context)
+                        mine = (doc, crc, [pos], left, place["n"], min(length, len(words) - pos), context)
                         keep(least, also, (left, context), mine, known)
+                    seen += len(places)
                 if known:
-                    yield rows(known)
-                if len(least) + sum(map(len, also.values())) > 400_000:
+                    yield rows(together(known))
+                if len(least) + sum(map(len, also.values())) > 400_000 or seen > 4_000_000:
                     yield from sent()
+                    seen = 0
         yield from sent()
 
     def repeated(row: tuple) -> tuple:
         doc, crc, pos, left, _, right, _ = row
         return None, doc, crc, pos, None, None, sum(1 << o for o in range(left + 1) if length - o <= right)
 
-    return shared.mapInArrow(run, "grp int, _id long, _th int, pos int, left int, words binary, mask int")
+    return shared.mapInArrow(run, "grp int, _id long, _th int, pos array<int>, left int, words binary, mask int")
 
 
 def group_of(prefix: bytes, groups: int) -> int:
@@ -229,7 +243,7 @@ def repeats_in(ids: np.ndarray, left: np.ndarray, words: list[bytes], length: in
 
 
 def repeated_windows(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(_id, _th, _hits: [(pos, mask)]) of the documents that have any."""
+    """(_id, _th, _hits: [(places, mask)]) of the documents that have any."""
     found = anchor_rows(rows, length)
     # counted from what each task has counted; then an anchor of many rows is dealt to SALTS tasks
     count = found.groupBy("h").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b"), F.sum(F.size("pos")).alias("n"))
@@ -254,7 +268,7 @@ def repeated_windows(rows: DataFrame, texts: DataFrame, length: int) -> DataFram
         some = pa.array(mask > 0)
         return pa.table({"_id": t.column("_id"), "_th": t.column("_th"), "pos": t.column("pos"), "mask": pa.array(mask.astype(np.int32))}).filter(some)
 
-    schema = "_id long, _th int, pos int, mask int"
+    schema = "_id long, _th int, pos array<int>, mask int"
     new = tails.where("words IS NOT NULL").select("grp", "_id", "_th", "pos", "left", "words", "mask").groupBy("grp").applyInArrow(judge, schema)
     hits = new.unionByName(tails.where("words IS NULL").select("_id", "_th", "pos", "mask"))
     return hits.groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "mask")).alias("_hits"))
@@ -282,10 +296,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     if found:
                         edge = np.zeros(n + 1, np.int64)
                         for x in found:
+                            pos = np.array(x["pos"])
                             for o in range(length):
                                 if x["mask"] >> o & 1:
-                                    edge[x["pos"] - o] += 1
-                                    edge[x["pos"] - o + length] -= 1
+                                    np.add.at(edge, pos - o, 1)
+                                    np.add.at(edge, pos - o + length, -1)
                         words = [w for w, gone in zip(words, (np.cumsum(edge)[:-1] > 0).tolist(), strict=True) if not gone]
                     for column, value in zip(out, (n, n - len(words), b" ".join(words).decode()), strict=True):
                         column.append(value)

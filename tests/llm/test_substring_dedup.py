@@ -66,6 +66,7 @@ def test_no_group_holds_all_that_share_a_passage(spark, monkeypatch):
     """Each document has other words before the passage and after it."""
     passage = " ".join(f"s{i}" for i in range(30))
     rows = [(i, " ".join(f"a{i}x{k}" for k in range(9)) + f" {passage} " + " ".join(f"b{i}x{k}" for k in range(9))) for i in range(400)]
+    rows += [(500 + i, "x y " * 300) for i in range(40)]  # a document's own repeats are one row
     rows += [(400, " ".join(["r"] * 60)), (401, " ".join(["r"] * 60)), (5, rows[5][1]), (5, rows[4][1])]
     made = {}
     cut = sd.cut
