@@ -68,7 +68,8 @@ def _windows_of(length: int) -> Column:
 
 
 def joined_hits(docs: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
-    """As window_hits, for a benchmark too large to broadcast: windows are exploded and joined by hash."""
+    """As window_hits, for a benchmark too large to broadcast: there is no set then, windows are exploded and joined by
+    hash with the n-grams (a window that many documents hold is one row on the right side; Spark splits the left)."""
     lengths = [r[0] for r in grams.select("_len").distinct().collect()]
     worded = docs.select("_key", words_of(F.col(text_col)).alias("_w"))
     parts = []

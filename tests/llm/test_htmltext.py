@@ -78,3 +78,67 @@ def test_long_lists_and_tables(rows):
     assert htmltext.extract(page.format(html_of(a), "ul", html_of(items, "li"), "ul")) == lines_of("Title", a, items)
     table = "".join(f"<tr><td>{t}</td></tr>" for t in items)
     assert htmltext.extract(page.format(html_of(a), "table", table, "table")) == lines_of("Title", a, items)
+
+
+def counted(node, link=False):
+    """(characters, tags, link characters, link tags) below a node, the plain way."""
+    link = link or node.tag == "a"
+    out = [0, 0, 0, 0]
+    for p in node.parts:
+        if isinstance(p, str):
+            n = len("".join(p.split()))
+            out[0] += n
+            out[2] += n * link
+        elif not p.skip:
+            below = counted(p, link)
+            out = [a + b for a, b in zip(out, below, strict=True)]
+            out[1] += p.tag not in htmltext.WITHIN
+            out[3] += p.tag == "a"
+    return out
+
+
+def test_density_of_every_node_by_recursion():
+    import math
+    import random
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.7 else "word " * rng.randrange(9) for _ in range(rng.randrange(4)))
+        tag = rng.choice(["div", "p", "ul", "li", "a", "section", "span"])
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(60):
+        root = htmltext.parse("<body>" + tree(4) + tree(3) + "</body>")
+        nodes = htmltext.score(root)
+        whole = counted(root)
+        for node, _, _ in nodes:
+            # whether a node is itself in a link is told by its own count
+            c, t, lc, lt = node.chars, node.tags, node.link_chars, node.link_tags
+            plain = counted(node, any(id(node) == id(n) and link for n, _, link in nodes))
+            assert [c, t, lc, lt] == plain
+            if c:
+                ratio = whole[2] / max(1, whole[0])
+                base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
+                want = c / max(1, t) * math.log(max(1 + 1e-9, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(max(base, math.e))
+                assert node.density == pytest.approx(want)
+        for node, _, _ in nodes:
+            def children(n):
+                for p in n.parts:
+                    if not isinstance(p, str) and not p.skip:
+                        yield from children(p) if p.tag in htmltext.WITHIN else [p]
+
+            total = sum(p.density for p in children(node))
+            assert node.total == pytest.approx(total or node.density)
+
+
+def test_long_pages_and_clashing_names(spark):
+    paragraph = "<p>" + "some words of an article, " * 20 + "</p>"
+    long = "<nav><a href='/'>home</a></nav><article>" + paragraph * 4000 + "</article><footer>foot</footer>"
+    deep = "<div>" * 5000 + paragraph + "</div>" * 5000
+    rows = [(1, "u", long, "x", 1), (2, "u", deep, "x", 1), (2, "u", deep, "x", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r["page_id"] or 0, len(r["text"])) for r in htmltext.extract_pages(df).collect())
+    one = len("some words of an article, " * 20) - 1
+    assert got == [(0, 0), (1, 4000 * one + 3999), (2, one), (2, one)]
+    assert htmltext.extract_pages(df.limit(0)).count() == 0

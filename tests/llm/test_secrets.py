@@ -46,3 +46,41 @@ def test_letters_and_glued_keys():
         assert len(found) == 1 and (key in text and key in found[0] or found == [text])
     for text in ("the_configuration_file_name=internationalisation", "verantwortlichkeitinternationalisation"):
         assert secrets.spans_of(text, ratio)[1] == []
+
+
+def test_ratio_and_added_spans_by_counting():
+    """The likelihoods from plain counts, and the added spans from all stretches of pieces of each long word."""
+    import math
+    from collections import Counter
+
+    ordinary, keys = secrets.labelled(["thly orin ornd healichkeit verantwortlichkeit internationalisation responsibilities_of"] * 20)[::-1]
+    ratio = secrets.Ratio(keys, ordinary)
+
+    def logs(words):
+        one, two, after = Counter(c for w in words for c in w), Counter(p for w in words for p in zip(w, w[1:], strict=False)), Counter(c for w in words for c in w[:-1])
+        total = sum(one.values()) + 0.2 * len(secrets.SIGNS)
+        share = {c: (one[c] + 0.2) / total for c in secrets.SIGNS}
+        return {c: math.log(share[c]) for c in secrets.SIGNS}, lambda a, b: math.log((two[a, b] + 5 * share[b]) / (after[a] + 5))
+
+    (f1, p1), (f0, p0) = logs(keys), logs(ordinary)
+    for word in ("xK9fQ2mZ7tR4wB8nL3vD6hJ1", "internationalisation", "a_b-c=d/e+f"):
+        want = (f1[word[0]] - f0[word[0]] + sum(p1(a, b) - p0(a, b) for a, b in zip(word, word[1:], strict=False))) / len(word)
+        assert abs(ratio(word) - want) < 1e-9
+
+    key = "xK9fQ2mZ7tR4wB8nL3vD6hJ1"
+    text = f"plain words {key} the_internationalisation_of_names={key} deadbeefdeadbeefdeadbeefdeadbeef password=p4ssw0rd99"
+    base, every = secrets.spans_of(text, ratio)
+    more = [text[a:b] for a, k, b in every if k == 3]
+    assert sorted(s for s in every if s[1] != 3) == base and more[0] == key and len(more) == 2 and more[1].endswith(key) and len(more[1]) < 40
+    assert all(b - a >= secrets.LEAST_CHARS and ratio(text[a:b]) >= secrets.LEAST_RATIO for a, k, b in every if k == 3)
+    assert not any(a < d and c < b for a, k, b in every if k == 3 for c, j, d in base)
+
+
+def test_a_very_long_text_without_spaces(spark):
+    import time
+
+    long = "abcdefghij" * 100_000 + "/" + "xK9fQ2mZ7tR4wB8nL3vD6hJ1"
+    ratio, began = secrets.Ratio(*secrets.labelled(["internationalisation " * 50])), time.time()
+    base, every = secrets.spans_of(long, ratio)
+    assert base == [] and time.time() - began < 20
+    assert any(k == 3 and b == len(long) for _, k, b in every)

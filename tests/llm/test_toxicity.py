@@ -55,3 +55,34 @@ def test_rows(spark):
     none = toxicity.train(no_documents(spark), labels)
     assert none.score("x") == 0.5
     assert no_documents(spark).select(toxicity.scorer(none)("text")).count() == 0
+
+
+def test_table_and_list_give_the_same_model(spark):
+    """``train`` over tables is ``fit`` over the same texts, in any order of rows and partitions."""
+    texts, labels = corpus(300, 7)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    marked = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int").repartition(3)
+    model = toxicity.train(docs, marked)
+    own = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    plain = toxicity.fit([texts[i] for i in own], [labels[i] for i in own])
+    assert model.weights.keys() == plain.weights.keys()
+    held = [texts[i] for i in range(300) if i not in own]
+    assert max(abs(model.score(t) - plain.score(t)) for t in held) < 0.02
+
+
+def test_gains_and_choice_by_counting():
+    texts, labels = ["scum here", "scum there", "moron here", "kind words", "kind here", "words there", "scum words", "kind there"] * 2, [1, 1, 1, 0, 0, 0, 1, 0] * 2
+    counts = toxicity.counted(texts, labels)
+    got = {f: (a, b) for f, a, b in zip(*(counts[c].to_pylist() for c in "fab"), strict=True)}
+    for f, (a, b) in got.items():
+        has = [f in toxicity.features_of(t) for t in texts]
+        assert (a, b) == (sum(h and y for h, y in zip(has, labels, strict=True)), sum(h and not y for h, y in zip(has, labels, strict=True)))
+    assert toxicity.choose(counts, 8, 8, 4)[0] in ("4:scum", "scum", "kind", "4:kind")
+
+
+def test_a_learned_score_is_the_logistic_of_its_weights():
+    model = toxicity.Model(0.5, {"scum": 2.0, "4:scum": 1.0, "kind": -3.0})
+    assert model.score("Scum!") == 1 / (1 + np.exp(-3.5))
+    assert model.score("kindly scummy") == 1 / (1 + np.exp(-1.5))
+    assert model.score(None) == model.score("") == 1 / (1 + np.exp(-0.5))
