@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mapsmith.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from mapsmith.llm.common import cut, table
 from mapsmith.llm.queries import tokenizer_path
+from mapsmith.plans.cutting import drop_cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage-{name}")
+            if k:
+                drop_cut(before)  # the next stage's table stands
     return docs
