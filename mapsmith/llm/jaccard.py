@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapsmith.llm import wordhash
-from mapsmith.llm.common import cut
+from mapsmith.llm.common import cut, release
 from mapsmith.operators.components import components
 
 ORDERS = 3
@@ -109,6 +109,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release()
         held: list[np.ndarray] = []
         size, known = 0, set()
 
@@ -153,6 +154,7 @@ def prefixes(rows: DataFrame, n: int, t: Fraction, common) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release()
         known: set[int] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
@@ -185,6 +187,8 @@ def classes_of(rows: DataFrame, n: int, t: Fraction, common) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release()
+
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
@@ -229,6 +233,7 @@ def compare(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release()
         last, left = None, None
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):

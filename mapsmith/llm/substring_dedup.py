@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mapsmith.llm import wordhash
-from mapsmith.llm.common import cut
+from mapsmith.llm.common import cut, release
 
 ANCHOR = 5
 #: Suffixes of a group; an anchor that more suffixes share is split by whole windows.
@@ -61,6 +61,7 @@ def packed_texts(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        release()
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -107,6 +108,7 @@ def suffixes(shared: DataFrame, length: int, groups: int) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        release()
         unpack = zstandard.ZstdDecompressor().decompress
         every = (1 << before + 1) - 1
         names = ["grp", "_id", "_th", "pos", "left", "words", "mask"]
@@ -285,6 +287,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         import pyarrow as pa
         import zstandard
 
+        release()
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(0, batch.num_rows, 512):

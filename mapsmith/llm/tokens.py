@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 
 #: Words kept by a worker; from so many on, its cache starts anew (about 200 bytes a word).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Characters that are encoded together.
 AT_ONCE = 7_000_000
 #: Words that are handed to the library as one text, a special token between them.
@@ -301,5 +301,9 @@ def encoder(path: str, end_id: int | None = None) -> Encoder:
     return _encoders[path, end_id]
 
 
+def forget_all() -> None:
+    _encoders.clear()
+
+
 def as_u32(ids: bytes, kind: np.dtype) -> bytes:
     return np.frombuffer(ids, kind).astype("<u4").tobytes()

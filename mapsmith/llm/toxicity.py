@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapsmith.llm.common import cut, least_hashed
+from mapsmith.llm.common import cut, least_hashed, release
 
 SAMPLE = 8_000
 #: A feature is counted if so many texts of the sample have it.
@@ -214,9 +214,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def scorer(model: Model):
     """A column function: text to score."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(model.score, na_action=None).astype("float64")
+    import pandas as pd
 
-    score.func.__annotations__.clear()
-    return score
+    def score(parts):
+        release()
+        for texts in parts:
+            yield texts.map(model.score, na_action=None).astype("float64")
+
+    score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(score, "double")
