@@ -23,6 +23,7 @@ within one document alone stays; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -297,14 +298,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     words = unpack(z).split()
                     n = len(words)
                     if found:
-                        edge = np.zeros(n + 1, np.int64)
+                        edge = [0] * (n + 1)
                         for x in found:
-                            pos = np.array(x["pos"])
-                            for o in range(length):
-                                if x["mask"] >> o & 1:
-                                    np.add.at(edge, pos - o, 1)
-                                    np.add.at(edge, pos - o + length, -1)
-                        words = [w for w, gone in zip(words, (np.cumsum(edge)[:-1] > 0).tolist(), strict=True) if not gone]
+                            # windows about one anchor overlap, so those marked are one run of words
+                            mask = x["mask"]
+                            first, stop = mask.bit_length() - 1, length - (mask & -mask).bit_length() + 1
+                            for p in x["pos"]:
+                                edge[p - first] += 1
+                                edge[p + stop] -= 1
+                        words = [w for w, depth in zip(words, accumulate(edge), strict=False) if not depth]
                     for column, value in zip(out, (n, n - len(words), b" ".join(words).decode()), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=schema.names)
