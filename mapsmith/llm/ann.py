@@ -3,8 +3,8 @@ queue over all trees, then exact reranking of the rows in the leaves it reached.
 
 The trees' hyperplanes are fitted on a bounded sample (``SAMPLE`` rows, those with the least hash of their id); every
 row is indexed. A query first visits a number of leaves that grows with the logarithm of their number, then twice as
-many, and so on, until a doubling brings in at most a fifth of its k nearest. Where vectors lie in groups, that is
-after the first rounds; among vectors without any structure it takes a large part of the leaves, as no tree can tell
+many, and so on, until a doubling brings in none of its k nearest. Where vectors lie in groups, that is after the
+first rounds; among vectors without any structure it takes a large part of the leaves, as no tree can tell
 there which are near. Rows and queries meet by leaf: a leaf of many rows or queries is split into parts, each
 compared for itself, and only the nearest k of each part go on.
 
@@ -30,8 +30,6 @@ TREES = 12
 LEAF = 96
 #: Leaves of the first round for each doubling of their number.
 VISITS_PER_LEVEL = 4
-#: A query is settled once a round brought in at most this part of its k nearest.
-SETTLED = 0.2
 #: Rows, and queries, of a leaf that are compared at once.
 ROWS_AT_ONCE, QUERIES_AT_ONCE = 2_000, 8_000
 
@@ -159,7 +157,7 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return found.where(F.size("_v") == sizes[0]["n"]) if sizes else found
 
 
-def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf_size: int = LEAF, settled: float = SETTLED) -> DataFrame:
+def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf_size: int = LEAF) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score and leaves (that the query visited).
     ``queries`` picks them by _id (default: ids divisible by 100)."""
     spark, valid = rows.sparkSession, usable(rows, id_col, vec_col)
@@ -228,7 +226,7 @@ def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_co
             break
         if level:
             new = best.groupBy("query_id").agg(F.count(F.when(F.col("level") == level, 1)).alias("new"), F.count("*").alias("n"))
-            done = new.where((F.col("new") <= settled * k) & (F.col("n") == k)).select(F.col("query_id").alias("_id"))
+            done = new.where((F.col("new") == 0) & (F.col("n") == k)).select(F.col("query_id").alias("_id"))
             waiting = cut(waiting.join(done, "_id", "left_anti"), "queries")
             if waiting.isEmpty():
                 break
