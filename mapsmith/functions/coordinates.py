@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from enum import Enum
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 X, Y, Z = 0, 1, 2
 
 
+class ExtendFrom(Enum):
+    """Which ends of a line are led on."""
+
+    END, START, BOTH, NONE = -1, 0, 1, None
+
+    @classmethod
+    def from_bools(cls, *, extend_start: bool, extend_end: bool) -> ExtendFrom:
+        return {(True, True): cls.BOTH, (True, False): cls.START, (False, True): cls.END}.get((extend_start, extend_end), cls.NONE)
+
+
 def _seg(p: Column, q: Column, k: int) -> Column:
     return q[k] - p[k]
 
@@ -63,10 +75,11 @@ def point_on_line(a: Column, b: Column, d: Column) -> Column:
     return F.when(d > 0, along(b, d)).when(d < 0, along(a, d)).otherwise(b)
 
 
-def extend(line: Column, d: float, start: bool, end: bool) -> Column:
-    """A vertex added beyond either end."""
+def extend(line: Column, d: float, where: ExtendFrom) -> Column:
+    """A vertex added beyond either end, or both; NONE counts as both."""
     if d <= 0:
         raise ValueError("distance must be positive")
+    start, end = where is not ExtendFrom.END, where is not ExtendFrom.START
     n = F.size(line)
     first = F.array(point_on_line(F.element_at(line, 1), F.element_at(line, 2), F.lit(-float(d))))
     last = F.array(point_on_line(F.element_at(line, n - 1), F.element_at(line, n), F.lit(float(d))))

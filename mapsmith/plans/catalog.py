@@ -287,7 +287,7 @@ def measures(spark, sf_dir):
 def edits(spark, sf_dir):
     t = triangle(spark, sf_dir)
     line = F.col("line")
-    end = F.element_at(co.extend(line, 10.0, False, True), -1)
+    end = F.element_at(co.extend(line, 10.0, co.ExtendFrom.END), -1)
     return t.select("fid", F.round(co.line_length(co.scale_to_length(line, 10.0)), 6).alias("scaled"), F.round(end[0], 6).alias("ex"), F.round(end[1], 6).alias("ey"), F.size(co.insert_vertex(line, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), -1)).cast("long").alias("inserted"), F.size(co.concatenate(line, F.reverse(line))).cast("long").alias("joined"), co.orient_toward(line, line[0], True)[0][0].alias("turned"))
 
 

@@ -264,7 +264,7 @@ def narrow(spark, sf_dir):
 def centre_lines(spark, sf_dir):
     """Of a long rectangle: about its length (from one end's corner, or fork, to the other's), all of it inside."""
     r = features(spark, sf_dir, "rects").where("x1 - x0 >= 3 * (y1 - y0)").withColumn("_c", g.with_double("center", "geom", 1.0))
-    n, w, h = g.length("_c"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    n, w, h = g.call("centrelength", "geom", F.lit(True), F.lit(1.0)), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     return r.select("fid", g.call("covers", g.buffer("geom", 1e-6), "_c").alias("inside"), ((n >= w - 1.5 * h) & (n <= w + 2 * h)).alias("long"))
 
 

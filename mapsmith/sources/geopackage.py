@@ -22,6 +22,8 @@ from mapsmith.operators.model import Features
 _TYPES = {"INT": LongType(), "REAL": DoubleType(), "DOUB": DoubleType(), "FLOA": DoubleType(), "BOOL": BooleanType(), "BLOB": BinaryType()}
 _ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 ROWS = 50_000
+#: Key column of the tables that are written here.
+ROW = "_row"
 
 
 def strip_header(blob: bytes | None) -> bytes | None:
@@ -96,9 +98,9 @@ def read_layer(spark: SparkSession, path: str, layer: str | None = None, unique_
     layer = layer or next(iter(known))
     df = spark.read.format("geopackage").option("path", path).option("layer", layer).load()
     geom, srs = known[layer]
-    own = next((f for f in df.columns if f in ("fid", "ogc_fid", "id") and dict(df.dtypes)[f] == "bigint"), None)
+    own = next((f for f in df.columns if f in ("fid", "ogc_fid", "id", ROW) and dict(df.dtypes)[f] == "bigint"), None)
     order = F.col(own) if own else F.monotonically_increasing_id()
-    df = df.withColumn("_ord", F.array(order.cast("long")))
+    df = df.withColumn("_ord", F.array(order.cast("long"))).drop(ROW)  # the key that write_layer makes is no attribute
     if unique_id_column is None:
         return Features(df.withColumn("fid", (F.col("_ord")[0] - (1 if own else 0)).cast("string")), geom, "fid", srs)
     return Features(df.withColumn(unique_id_column, F.col(unique_id_column).cast("string")), geom, unique_id_column, srs)
@@ -123,7 +125,7 @@ def write_layer(table: Features, path: str, layer: str) -> None:
         db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, ?, 'GEOMETRY', ?, 2, 2)", (layer, table.geom, srs))
         db.execute(f'DROP TABLE IF EXISTS "{layer}"')
         columns = ", ".join(f'"{c}" {names[t]}' for c, t in plain.dtypes)
-        db.execute(f'CREATE TABLE "{layer}" (_row INTEGER PRIMARY KEY AUTOINCREMENT, {columns})')
+        db.execute(f'CREATE TABLE "{layer}" ({ROW} INTEGER PRIMARY KEY AUTOINCREMENT, {columns})')
         marks = ", ".join("?" for _ in plain.columns)
         at = plain.columns.index(table.geom)
         for row in plain.toLocalIterator():

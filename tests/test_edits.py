@@ -216,3 +216,43 @@ def test_whole_algorithms_keep_their_promises(spark):
         rows = out.select("fid", g.is_empty("geom").alias("e"), g.geom_type("geom").alias("t"), F.exists(g.vertices("geom"), lambda p: F.isnan(p[2])).alias("flat")).collect()
         assert rows and len({r["fid"] for r in rows}) == len(rows), type(tool).__name__
         assert not any(r["e"] or r["flat"] for r in rows) and {r["t"] for r in rows} <= {"Polygon", "Point"}, (type(tool).__name__, rows)
+
+
+def test_which_ends(spark):
+    from mapsmith.functions import coordinates as co
+
+    of = co.ExtendFrom.from_bools
+    assert [of(extend_start=a, extend_end=b) for a, b in ((True, True), (True, False), (False, True), (False, False))] == [co.ExtendFrom.BOTH, co.ExtendFrom.START, co.ExtendFrom.END, co.ExtendFrom.NONE]
+    line = g.vertices(w("LINESTRING (0 0, 3 4)"))
+    sizes = [one(spark, F.size(co.extend(line, 5.0, where))) for where in co.ExtendFrom]
+    assert sorted(sizes) == [3, 3, 4, 4] and one(spark, F.element_at(co.extend(line, 5.0, co.ExtendFrom.END), -1))[:2] == [6.0, 8.0]
+
+
+def test_types_schemas_and_reports(spark, tmp_path):
+    from mapsmith.operators import model
+    from mapsmith.sources import geopackage as gp
+
+    assert model.parse_type("MultiPolygon") == "MultiPolygon"
+    with pytest.raises(ValueError):
+        model.parse_type("Circle")
+    df = table(spark, "POINT (0 0)", "POINT (1 1)")
+    none = model.empty_like(df, {"n": "long", None: "string"})
+    assert none.count() == 0 and dict(none.dtypes)["n"] == "bigint" and len(none.columns) == len(df.columns) + 1
+    assert model.check_types(none, {"Polygon"}) and not model.check_types(df, {"Polygon"})
+    gp.write_parquet(Features(df), str(tmp_path / "t"))
+    back = gp.read_parquet(spark, str(tmp_path / "t"))
+    assert sorted(wkts(back.plain())) == ["POINT (0 0)", "POINT (1 1)"]
+    gp.difference_report(df.select("fid"), df.select("fid").limit(0), str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d/left_only")).count() == 2 and spark.read.parquet(str(tmp_path / "d/right_only")).count() == 0
+
+
+def test_command_line_runs(spark, tmp_path):
+    """From file to file."""
+    from mapsmith import cli
+    from mapsmith.sources import geopackage as gp
+
+    src, out = str(tmp_path / "in.gpkg"), str(tmp_path / "out.gpkg")
+    gp.write_layer(Features(table(spark, "POINT (0 0)", "POINT (1 0)", "POINT (90 90)", kind=["a", "b", "c"])), src, "stones")
+    cli.run(["points", f"{src}@stones", f"{out}@few", "--cluster-distance", "5", "--unique-id-column", "fid"])
+    rows = gp.read_layer(spark, out, "few", "fid").df.select("kind", "is_cluster", g.wkt("geom").alias("w")).collect()
+    assert sorted((r["kind"], bool(r["is_cluster"]), r["w"]) for r in rows) == [("a", True, "POINT (0.5 0)"), ("c", False, "POINT (90 90)")]
