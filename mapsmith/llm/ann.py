@@ -127,8 +127,9 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest_in(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, exact distances) of the k nearest rows of each query, its own id left out."""
+def nearest_in(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, within: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query id, ids, exact distances) of the k nearest rows of each query that are no farther than ``within``, its
+    own id left out."""
     norms = (x * x).sum(1)
     for i in range(0, len(q), 256):
         part = q[i : i + 256]
@@ -143,6 +144,7 @@ def nearest_in(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
                 pick = np.arange(len(row))
             pick = pick[np.isfinite(row[pick])]
             d = np.sqrt(((x[pick] - part[j]) ** 2).sum(1))
+            pick, d = pick[d <= within[i + j]], d[d <= within[i + j]]
             best = np.lexsort((ids[pick], d))[:k]
             yield int(query_ids[i + j]), ids[pick][best], d[best]
 
@@ -171,11 +173,11 @@ def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_co
     leaf_schema = f"leaf int, _id long, _v {kind}"
 
     def spread(part, found: list[np.ndarray]):
-        """A row of ``part`` for each leaf found for it."""
+        """A row of ``part`` (two columns or three) for each leaf found for it."""
         import pyarrow as pa
 
         at = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), part.column(0).take(at), part.column(1).take(at)], names=["leaf", "_id", "_v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), *(c.take(at) for c in part.columns)], names=["leaf", "_id", "_v", "_far"][: 1 + part.num_columns])
 
     def indexed(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -201,21 +203,22 @@ def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_co
         vectors = [matrix(t.column("_v").combine_chunks()) for t in (a, b)]
         ids = a.column("_id").to_numpy()
         most = int(np.unique(ids, return_counts=True)[1].max())  # rows that repeat an id are one candidate
-        got = list(nearest_in(ids, vectors[0], b.column("_id").to_numpy(), vectors[1], k * most))
+        got = list(nearest_in(ids, vectors[0], b.column("_id").to_numpy(), vectors[1], b.column("_far").to_numpy(), k * most))
         return pa.table({"query_id": np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64), "vec_id": np.concatenate([g[1] for g in got]), "score": np.concatenate([g[2] for g in got])})
 
     index = cut(valid.mapInArrow(indexed, leaf_schema), "forest")
     # as many rows as the forest has leaves, which the sample bounds
     held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
-    waiting = cut(valid.where(asked), "queries")
+    # with each query the distance beyond which nothing new counts: that of its k-th nearest so far
+    waiting = cut(valid.where(asked).withColumn("_far", F.lit(float("inf"))), "queries")
     best, first, stop, level = None, 0, min(leaves, max(2 * trees, VISITS_PER_LEVEL * leaves.bit_length())), 0
     both = ["leaf", "_part", "_chunk"]
     while True:
-        visits = cut(waiting.mapInArrow(visited(first, stop), leaf_schema), "visits")
+        visits = cut(waiting.mapInArrow(visited(first, stop), f"{leaf_schema}, _far double"), "visits")
         wants = {r["leaf"]: r["count"] for r in visits.groupBy("leaf").count().collect()}
         parts = F.broadcast(spark.createDataFrame([(leaf, -(-held[leaf] // ROWS_AT_ONCE), -(-n // QUERIES_AT_ONCE)) for leaf, n in wants.items() if leaf in held], "leaf int, n_rows int, n_queries int"))
         left = index.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("_id"), "n_rows").cast("int").alias("_part"), F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)).alias("_chunk"), "_id", "_v")
-        right = visits.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("_part"), F.pmod(F.xxhash64("_id"), "n_queries").cast("int").alias("_chunk"), "_id", "_v")
+        right = visits.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("_part"), F.pmod(F.xxhash64("_id"), "n_queries").cast("int").alias("_chunk"), "_id", "_v", "_far")
         near = left.groupBy(*both).cogroup(right.groupBy(*both)).applyInArrow(compare, schema).withColumns({"level": F.lit(level), "leaves": F.lit(stop)})
         # a pair met again is an old one; the leaves of a query are those of its last round
         every = best.drop("rank").unionByName(near) if best else near
@@ -224,11 +227,12 @@ def search(rows: DataFrame, queries: Column | None = None, k: int = 10, *, id_co
         best = cut(ranked.where(F.col("rank") <= k), "nearest")
         if stop >= leaves:
             break
+        new = best.groupBy(F.col("query_id").alias("_id")).agg(F.count(F.when(F.col("level") == level, 1)).alias("new"), F.count("*").alias("n"), F.max("score").alias("far"))
         if level:
-            new = best.groupBy("query_id").agg(F.count(F.when(F.col("level") == level, 1)).alias("new"), F.count("*").alias("n"))
-            done = new.where((F.col("new") == 0) & (F.col("n") == k)).select(F.col("query_id").alias("_id"))
-            waiting = cut(waiting.join(done, "_id", "left_anti"), "queries")
-            if waiting.isEmpty():
-                break
+            waiting = waiting.join(new.where((F.col("new") == 0) & (F.col("n") == k)), "_id", "left_anti")
+        waiting = waiting.drop("_far").join(new.where(F.col("n") == k).select("_id", F.col("far").alias("_far")), "_id", "left")
+        waiting = cut(waiting.withColumn("_far", F.coalesce("_far", F.lit(float("inf")))), "queries")
+        if waiting.isEmpty():
+            break
         first, stop, level = stop, min(2 * stop, leaves), level + 1
     return best.select("query_id", "rank", "vec_id", "score", "leaves")
