@@ -33,3 +33,16 @@ def test_members_find_their_piece_by_tile(spark, monkeypatch):
         k = int(r["fid"])
         assert sorted(r["old_ids"]) == [f"{i:05d}" for i in range(k - k % 3, k - k % 3 + 3)]
     assert sum(len(r["old_ids"]) for r in out) == 300
+
+
+def test_union_of_lines_grows_with_their_number(spark):
+    """40,000 lines beside each other; before, each was compared with all of them."""
+    import time
+
+    g.install(spark)
+    y = F.col("id") / 1000
+    rows = lambda n: spark.range(n).select(g.line(F.array(F.array(F.lit(0.0), y), F.array(F.lit(9.0), y))).alias("geom"))
+    rows(10).select(g.length("geom")).collect()
+    began = time.time()
+    assert rows(40_000).agg(g.length(g.union(F.collect_list("geom"))).alias("n")).head()[0] == 360_000
+    assert time.time() - began < 15
