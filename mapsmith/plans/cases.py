@@ -10,7 +10,7 @@ from mapsmith.functions import geometry as g
 from mapsmith.operators.model import Features
 from mapsmith.plans.registry import AREA, query, rounded
 from mapsmith.plans.shapes import wkt_of
-from mapsmith.plans.views import duck, features, view
+from mapsmith.plans.views import duck, features, spread, view
 
 SHORT = ["fid", "geom", "_ord"]
 
@@ -18,7 +18,7 @@ SHORT = ["fid", "geom", "_ord"]
 def laid_out(spark, sf_dir: str, name: str, step: int) -> DataFrame:
     """A view with a: where a row's ground begins, w and h: its extent, if it has one."""
     g.install(spark)
-    df = view(spark, sf_dir, name).withColumn("_ord", F.array(F.col("k").cast("long"))).withColumn("a", F.col("k") * step)
+    df = spread(view(spark, sf_dir, name)).withColumn("_ord", F.array(F.col("k").cast("long"))).withColumn("a", F.col("k") * step)
     return df.withColumns({"w": F.expr("x1 - x0"), "h": F.expr("y1 - y0")}) if "x0" in df.columns else df
 
 
